@@ -217,22 +217,21 @@ def parse_date(col: Column, as_of: Column, day_first: bool = False) -> Column:
     return let(collapse(col), read)
 
 
-def infer_date(col: Column, as_of: Column, day_first: bool = False) -> Column:
-    """First date found in running text: five places are tried in order."""
+def date_places(text: Column) -> Column:
+    """The five places where running text may hold a date, in the order they are tried."""
+    patterns = (PHRASE, AGO, IL_Y_A, DAY_MONTH_YEAR, YEAR_MONTH_DAY)
+    return let(text, lambda t: F.array(*[F.regexp_extract(t, p, 0) for p in patterns]))
 
-    def read(text: Column) -> Column:
-        def at(pattern: str) -> Column:
-            return F.regexp_extract(text, pattern, 0)
 
-        return F.coalesce(
-            parse_date(at(PHRASE), as_of, day_first),
-            let(F.lower(collapse(at(AGO))), lambda t: _relative(t, as_of)),
-            let(F.lower(collapse(at(IL_Y_A))), lambda t: _relative(t, as_of)),
-            let(at(DAY_MONTH_YEAR), lambda t: _numeric(t, as_of, day_first)),
-            let(at(YEAR_MONTH_DAY), _iso),
-        )
+def first_date(texts: Column, as_of: Column, day_first: bool = False) -> Column:
+    """First of several texts that can be read as a date."""
+    dates = F.transform(texts, lambda t: parse_date(t, as_of, day_first))
+    return F.get(F.array_compact(dates), F.lit(0))
+
 
-    return let(F.coalesce(col, F.lit("")), read)
+def infer_date(col: Column, as_of: Column, day_first: bool = False) -> Column:
+    """First date found in running text."""
+    return first_date(date_places(F.coalesce(col, F.lit(""))), as_of, day_first)
 
 
 def age_text(posted_at: Column, as_of: Column) -> Column:

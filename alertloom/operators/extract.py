@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions import dom as D
-from alertloom.functions.dates import infer_date, parse_date
+from alertloom.functions.dates import date_places, first_date
 from alertloom.functions.text import SPACE_CLASS, collapse, let, strip, strip_html, url_join
 from alertloom.sources.dom import with_dom
 from alertloom.sources.feeds import feed_entries
@@ -446,9 +446,8 @@ def extract_listings(
     rows = trees.select(
         "task_id", "source", "page_url", F.posexplode(drafts_of(extractors)).alias("pos", "d")
     )
-    posted = F.coalesce(
-        parse_date(F.col("d.date_text"), as_of, day_first), infer_date(F.col("d.infer_text"), as_of, day_first)
-    )
+    places = F.concat(F.array(F.col("d.date_text")), date_places(F.col("d.infer_text")))
+    posted = first_date(places, as_of, day_first)
     return rows.select(
         F.col("task_id"),
         F.col("source"),
@@ -473,14 +472,10 @@ def detail_dates(pages: DataFrame, as_of: Column, day_first: bool = False) -> Da
     ``pages`` has ``html`` and key columns, which are kept.
     """
     keys = [c for c in pages.columns if c != "html"]
-    dated = F.filter(
-        F.transform(
-            F.col("postings"),
-            lambda p: parse_date(F.coalesce(F.try_variant_get(F.try_parse_json(p), "$.datePosted", "string"),
-                                            F.lit("")), as_of, day_first),
-        ),
-        lambda d: d.isNotNull(),
+    stated = F.transform(
+        F.col("postings"),
+        lambda p: F.coalesce(F.try_variant_get(F.try_parse_json(p), "$.datePosted", "string"), F.lit("")),
     )
     text = F.left(F.array_join(F.col("texts"), " "), F.lit(DETAIL_CHARS))
-    found = F.coalesce(F.get(dated, F.lit(0)), infer_date(text, as_of, day_first))
+    found = first_date(F.concat(stated, date_places(text)), as_of, day_first)
     return with_dom(pages).select(*keys, found.alias("found_at"))
