@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import dom as D
@@ -416,20 +417,28 @@ def page_trees(pages: DataFrame) -> DataFrame:
     return with_dom(tagged).withColumn("entries", feed_entries(F.col("feed"))).drop("feed")
 
 
-def drafts_of(extractors: dict[str, Callable[[Page], Column]] | None = None) -> Column:
-    """Draft rows of a page, by its kind; a kind nobody knows is read as ``generic``."""
-    chosen = extractors or EXTRACTORS
+@lru_cache(maxsize=32)
+def _drafts_of(_context_id: str, extractors: tuple) -> Column:
     page = Page.columns()
+    nothing = F.array().cast(f"array<{DRAFT}>")
+    known = dict(extractors)
+    rest = known.pop("generic")(page) if "generic" in known else nothing
     out = None
-    for kind, extractor in chosen.items():
-        if kind != "generic":
-            test = F.col("kind") == kind
-            rows = extractor(page).cast(f"array<{DRAFT}>")
-            out = F.when(test, rows) if out is None else out.when(test, rows)
-    rest = chosen.get("generic", generic)(page).cast(f"array<{DRAFT}>")
+    for kind, extractor in known.items():
+        test, rows = F.col("kind") == kind, extractor(page).cast(f"array<{DRAFT}>")
+        out = F.when(test, rows) if out is None else out.when(test, rows)
+    rest = rest.cast(f"array<{DRAFT}>")
     return rest if out is None else out.otherwise(rest)
 
 
+def drafts_of(spark: SparkSession, extractors: dict[str, Callable[[Page], Column]]) -> Column:
+    """Draft rows of a page, by its kind; a kind nobody knows is read as ``generic``.
+
+    The expression is large but names columns only, so it is built once per session.
+    """
+    return _drafts_of(spark.sparkContext.applicationId, tuple(extractors.items()))
+
+
 def extract_listings(
     pages: DataFrame,
     as_of: Column,
@@ -444,7 +453,7 @@ def extract_listings(
     """
     trees = page_trees(pages).where(F.col("error").isNull())
     rows = trees.select(
-        "task_id", "source", "page_url", F.posexplode(drafts_of(extractors)).alias("pos", "d")
+        "task_id", "source", "page_url", F.posexplode(drafts_of(pages.sparkSession, extractors or EXTRACTORS)).alias("pos", "d")
     )
     places = F.concat(F.array(F.col("d.date_text")), date_places(F.col("d.infer_text")))
     posted = first_date(places, as_of, day_first)
