@@ -265,7 +265,7 @@ SQL["top_listings"] = f"""WITH {ARTICLES}, {ranked(PAGE_RULES)} SELECT place, se
   {stamp('posted_at')} AS posted, match_reason FROM r WHERE place <= 40"""
 
 DOCS = f"""d AS (SELECT doc_id, source, lang, text, {TITLE} AS t, {strip('text')} AS body, doc_id * 7 % 30 + 1 AS n,
-  {posted('doc_id')} AS at, 'https://' || source || '.example' AS site FROM documents)"""
+  {posted('doc_id')} AS dated, 'https://' || source || '.example' AS site FROM documents)"""
 _SAID = f"{NOW} - to_days(CAST(n AS INTEGER))"
 
 
@@ -278,10 +278,10 @@ _LEVEL = strip("t || ' Niveau d''études: Bac+5'")
 _POSTED = "'posted ' || n || ' days ago.'"
 # kind: where, title, company, location, url, posted, summary
 EXTRACTED = {
-    "json_ld": ("true", "t", "source", "lang || ' X'", "site || '/offre/' || doc_id", "at", "left(body, 800)"),
+    "json_ld": ("true", "t", "source", "lang || ' X'", "site || '/offre/' || doc_id", "dated", "left(body, 800)"),
     "cards": ("t = '' OR length(t) >= 4", "CASE WHEN t = '' THEN 'open' ELSE t END", "source", "lang",
-              "site || '/offre?id=' || doc_id", "at", f"left({_words('t', q('open'), 'source', 'lang', 'body')}, 1000)"),
-    "wordpress": ("length(t) >= 6", "t", "'Unknown Company'", "lang", "site || '/offre/' || doc_id", "at", "left(body, 800)"),
+              "site || '/offre?id=' || doc_id", "dated", f"left({_words('t', q('open'), 'source', 'lang', 'body')}, 1000)"),
+    "wordpress": ("length(t) >= 6", "t", "'Unknown Company'", "lang", "site || '/offre/' || doc_id", "dated", "left(body, 800)"),
     "rekrute": ("true", f"coalesce(nullif({strip(chr(114) + 'eplace(t, ' + q('|') + ', ' + q('/') + ')')}, ''), {_PIPE})",
                 "source || ' group'", "lang",
                 "site || '/offre-emploi-x-recrutement-' || source || '-group-' || lang || '-' || doc_id || '.html?r=1'",
@@ -295,7 +295,7 @@ EXTRACTED = {
     "successfactors": ("true", "CASE WHEN length(t) >= 6 THEN t ELSE 'again again' END", "'Unknown Company'", "lang",
                        "site || '/JobDetail/' || doc_id", _SAID,
                        f"left({_words(_POSTED, 't', q('again again'), 'body')}, 600)"),
-    "rss": ("length(t) >= 4", "t", "source", "lang", "'https://f.example/' || doc_id", "at", "left(body, 800)"),
+    "rss": ("length(t) >= 4", "t", "source", "lang", "'https://f.example/' || doc_id", "dated", "left(body, 800)"),
 }
 for _kind, (_where, _title, _company, _location, _url, _at, _summary) in EXTRACTED.items():
     SQL[f"extract_{_kind}"] = f"""WITH {DOCS} SELECT doc_id * 2147483648 AS seq, source, {_title} AS title, {_company} AS company,
@@ -304,7 +304,7 @@ _KINDS = ("wordpress", "rekrute", "marocannonces", "talent", "successfactors", "
 SQL["extract_all_kinds"] = f"WITH {DOCS} " + " UNION ALL ".join(
     f"SELECT doc_id * 2147483648 AS seq, {EXTRACTED[k][1]} AS title, {EXTRACTED[k][4]} AS url FROM d "
     f"WHERE doc_id % 7 = {i} AND ({EXTRACTED[k][0]})" for i, k in enumerate(_KINDS))
-SQL["detail_dates"] = f"""WITH {DOCS} SELECT doc_id AS task_id, {stamp(f'''CASE doc_id % 4 WHEN 0 THEN at WHEN 1 THEN {_SAID}
+SQL["detail_dates"] = f"""WITH {DOCS} SELECT doc_id AS task_id, {stamp(f'''CASE doc_id % 4 WHEN 0 THEN dated WHEN 1 THEN {_SAID}
   WHEN 2 THEN TIMESTAMP '2024-01-15' END''')} AS found FROM d"""
 _SEG = "upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))"
 SQL["infer_company"] = f"""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN {_SEG} || ' Group' WHEN 1 THEN {_SEG}
@@ -385,7 +385,7 @@ SQL["raw_dump"] = f"""WITH {LISTINGS} SELECT source, title, company, location, u
   strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS posted_at, sha256(summary) AS summary_sha FROM l"""
 _WP = EXTRACTED["wordpress"]
 WORDPRESS = f"""{DOCS}, l AS (SELECT doc_id * 2147483648 AS seq, source, {_WP[1]} AS title, {_WP[2]} AS company, {_WP[3]} AS location,
-  {_WP[4]} AS url, at AS posted_at, {_WP[6]} AS summary FROM d WHERE {_WP[0]})"""
+  {_WP[4]} AS url, dated AS posted_at, {_WP[6]} AS summary FROM d WHERE {_WP[0]})"""
 _DIGEST_OUT = "SELECT place, chunk, title, url, description, color, company, posted, score, skills, source FROM d2"
 SQL["alert_run_batch"] = f"WITH {WORDPRESS}, {ranked(RULES)}, {digest(40).replace('d AS', 'd2 AS', 1)} {_DIGEST_OUT}"
 SQL["incremental_alerts"] = f"WITH {WORDPRESS}, {ranked(RULES)}, {digest().replace('d AS', 'd2 AS', 1)} {_DIGEST_OUT}"
