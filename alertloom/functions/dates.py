@@ -5,6 +5,8 @@ Every function takes ``as_of``, the clock of the run, so results can be repeated
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ _CLOCK = r"(?:,?\s+(?:at|à|-)?\s*(\d{1,2})[:h](\d{2})(?::(\d{2}))?)?"
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    pairs = [F.lit(v) for item in table.items() for v in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of a fixed table; the table becomes one literal when the plan is optimized."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,int>"), key)
 
 
 def _month(name: Column) -> Column:

@@ -1,8 +1,8 @@
 """Relevance, score and the texts that explain them.
 
-The keyword lists cost the most per row, so the predicate and the lists of hits are
-kept apart: filter with ``relevant`` first, then build ``hits`` for the rows that are
-left.  Never filter on the hits themselves, Catalyst would evaluate every pattern twice.
+Reading the text costs the most per row, so the predicate and the lists of hits are kept
+apart: filter with ``relevant`` first, then build ``hits`` for the rows that are left.
+Never filter on the hits themselves, Catalyst would build the lists twice.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from alertloom.config import Rules, Settings
 from alertloom.functions.dates import age_text
-from alertloom.functions.terms import any_hit, folded, matched
-from alertloom.functions.text import dedupe_key, detail_url, let, normalize_text, normalize_url, text_or_empty
+from alertloom.functions.terms import any_sql, let_sql, list_sql, low_sql, present_sql
+from alertloom.functions.text import dedupe_key, detail_url, normalize_text, normalize_url, text_or_empty
 
 # --- Fixed values: weights, limits and phrases -------------------------------
 TERM_POINTS, LOCATION_POINTS = 25, 20
@@ -27,52 +27,33 @@ RANK_PRIORITY, RANK_FRESH, RANK_UNDATED, RANK_OLD = 0, 1, 2, 9
 HOUR = 3600 * 1_000_000
 
 
+HAYSTACK = "concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(location, ''), coalesce(summary, ''))"
+
+
 def haystack() -> Column:
     """The text keywords are looked for in."""
-    return F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in ("title", "company", "location", "summary")])
-
-
-def _bound(body) -> Column:
-    """Evaluate ``body`` with the searched texts and their folded forms computed once."""
-    hay = haystack()
-    title = text_or_empty(F.col("title"))
-    texts = F.struct(hay.alias("hay"), title.alias("title"))
-    return let(
-        texts,
-        lambda t: let(
-            F.struct(t.hay.alias("hay"), folded(t.hay).alias("low"), t.title.alias("title"),
-                     folded(t.title).alias("title_low")),
-            body,
-        ),
-    )
+    return F.expr(HAYSTACK)
 
 
 def relevant(rules: Rules) -> Column:
     """A location, a term and a skill occur; an excluded title needs a term of its own."""
-
-    def check(t: Column) -> Column:
-        barred = any_hit(t.title, t.title_low, rules.excluded, rules) & ~any_hit(
-            t.title, t.title_low, rules.terms, rules
-        )
-        return (
-            any_hit(t.hay, t.low, rules.locations, rules)
-            & any_hit(t.hay, t.low, rules.terms, rules)
-            & any_hit(t.hay, t.low, rules.skills, rules)
-            & ~barred
-        )
-
-    return _bound(check)
+    head, hay = ("head", "head_low"), ("hay", "hay_low")
+    barred = f"{any_sql(rules.excluded, rules, *head)} AND NOT {any_sql(rules.terms, rules, *head)}"
+    found = " AND ".join(any_sql(kind, rules, *hay) for kind in (rules.locations, rules.terms, rules.skills))
+    in_title = let_sql("head", "coalesce(title, '')", let_sql("head_low", low_sql("head"), f"({barred})"))
+    in_text = let_sql("hay", HAYSTACK, let_sql("hay_low", low_sql("hay"), f"({found})"))
+    return F.expr(f"{in_text} AND NOT {in_title}")
 
 
 def hits(rules: Rules) -> Column:
     """Struct of the locations, terms and skills that occur, each in configured order."""
-    return _bound(
-        lambda t: F.struct(
-            matched(t.hay, t.low, rules.locations, rules).alias("locations"),
-            matched(t.hay, t.low, rules.terms, rules).alias("terms"),
-            matched(t.hay, t.low, rules.skills, rules).alias("skills"),
-        )
+    kinds = {"locations": rules.locations, "terms": rules.terms, "skills": rules.skills}
+    lists = ", ".join(
+        f"'{name}', {list_sql(kind, rules, 'hay', 'hay_low', 'hay_words')}" for name, kind in kinds.items()
     )
+    words = present_sql("hay_low", sum(kinds.values(), ()))
+    body = let_sql("hay_low", low_sql("hay"), let_sql("hay_words", words, f"named_struct({lists})"))
+    return F.expr(let_sql("hay", HAYSTACK, body))
 
 
 def valid() -> Column:

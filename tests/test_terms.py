@@ -4,10 +4,10 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from alertloom.config import Rules
 from pyspark.sql import functions as F
 
-from alertloom.config import Rules
-from alertloom.functions.terms import folded, is_exact, matched, term_hit
+from alertloom.functions.terms import any_sql, let_sql, low_sql, matched
 
 PROBES = [
     ("intern", "International Sales Director", False), ("intern", "international company", False),
@@ -19,6 +19,7 @@ PROBES = [
     ("IT", "Stage IT Casablanca", True), ("IT", "Apply for it today", False), ("", "anything", False),
     ("développement", "Le DÉVELOPPEMENT web", True), ("développement", "sousdéveloppement", False),
     ("stage", "ſtage", True), ("intern", "İntern", True), ("intern", "ıntern", True), ("CI/CD", "ci/cd", True),
+    ("pré-embauche", "Stage PRÉ-EMBAUCHE.", True), ("big data", "bigger data, big database", False),
     ("full  stack", "Full Stack", True), ("stage", "stage_2", False), ("étude", "Étude", True),
 ]
 
@@ -32,23 +33,27 @@ def model(term, text):
 
 
 def test_probes(spark):
-    rules = Rules()
-    for term, text, expected in PROBES:
-        df = spark.range(1).select(F.lit(text).alias("t"))
-        col = term_hit(F.col("t"), folded(F.col("t")), term, is_exact(term, rules))
-        assert df.select(col.alias("h")).first().h == expected == model(term, text), (term, text)
+    terms = list(dict.fromkeys(term for term, _, _ in PROBES))
+    df = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(PROBES)], "i int, v string")
+    got = df.select("i", matched("v", terms, Rules()).alias("hits")).orderBy("i").collect()
+    for (term, text, expected), row in zip(PROBES, got):
+        label = " ".join(term.split()).lower()
+        assert (label in row.hits) == expected == model(term, text), (term, text)
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(alphabet="stageSTAGEéÉ itIT+.c_-1ıſ", max_size=20), min_size=1, max_size=40))
+@given(st.lists(st.text(alphabet="stageSTAGEéÉ itIT+.c_-1ıſİœŒ", max_size=20), min_size=1, max_size=40))
 def test_matched_random(evaluate, texts):
     rules = Rules()
-    terms = ["stage", "IT", "c++", ".c", "é", "ta ge", "a", "1"]
-    got = evaluate(lambda c: matched(c, folded(c), terms, rules), texts)
-    for text, hit in zip(texts, got):
+    terms = ["stage", "IT", "c++", ".c", "é", "ta ge", "a", "1", "_a", "t_", "+", "œ", "é-s", "it", "a a"]
+    got = evaluate(lambda _: matched("v", terms, rules), texts)
+    each = ", ".join(any_sql([t], rules, "v", "l") for t in terms)
+    alone = evaluate(lambda _: F.expr(let_sql("l", low_sql("v"), f"array({each})")), texts)
+    for text, hit, singly in zip(texts, got, alone):
         assert hit == [t.lower() for t in terms if model(t, text)], text
+        assert singly == [model(t, text) for t in terms], text
 
 
 def test_matched_order_is_configured(evaluate):
-    got = evaluate(lambda c: matched(c, folded(c), ["web", "java", "Data"], Rules()), ["data JAVA web"])
+    got = evaluate(lambda _: matched("v", ["web", "java", "Data"], Rules()), ["data JAVA web"])
     assert got == [["web", "java", "data"]]
