@@ -14,7 +14,7 @@ BLOCK = 65536
 
 
 def _block(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / size).cast("long")
+    return F.expr(f"`{order}` div {size}")
 
 
 def running_offset(df: DataFrame, order: str, amount: Column, name: str, size: int = BLOCK) -> DataFrame:

@@ -29,7 +29,7 @@ def rank_listings(
     young = listings.where(matching.young_enough(as_of, settings))
     found = matching.match_listings(young, rules)
     scored = matching.score_listings(matching.with_keys(found), as_of, rules, settings)
-    return dedupe.rank_new(scored, seen, settings.max_results)
+    return dedupe.rank_new(scored.drop("hits", "detail_url"), seen, settings.max_results)
 
 
 @dataclass
@@ -78,7 +78,7 @@ def alert_run(
         checked = written(verify.check_dates(candidates, detail_pages, as_of, day_first), "checked")
         found = verify.apply_dates(found, pairs, checked)
     young = found.where(matching.young_enough(as_of, settings))
-    scored = matching.score_listings(young, as_of, rules, settings)
+    scored = matching.score_listings(young, as_of, rules, settings).drop("hits", "detail_url")
     collapsed = dedupe.collapse_offers(dedupe.drop_seen(dedupe.best_per_key(scored), seen))
     # at most ``max_results`` rows, but costly to make: shared by messages and state
     ranked = written(dedupe.rank_top(collapsed, settings.max_results), "ranked")

@@ -19,14 +19,17 @@ def article_listings(pages: DataFrame, posted_at: Column) -> DataFrame:
 
     ``pages`` has ``page_id, url, html``.  The page's language stands for the location.
     """
-    article = D.first(F.col("els"), D.tag("article"))
-    trees = with_dom(pages.select("page_id", "url", "html"))
-    chosen = trees.select(
-        "page_id", "url",
-        D.attr(D.first(F.col("els"), D.tag("html")), "lang").alias("location"),
-        D.text_of(F.col("texts"), D.first(D.inside(F.col("els"), article), D.tag("h1"))).alias("title"),
-        D.text_of(F.col("texts"), article).alias("text"),
+    els, texts = F.col("els"), F.col("texts")
+    article = D.first(els, D.tag("article"))
+    fields = F.struct(
+        D.attr(D.first(els, D.tag("html")), "lang").alias("location"),
+        D.text_of(texts, D.first(D.inside(els, article), D.tag("h1"))).alias("title"),
+        F.left(D.text_of(texts, article), F.lit(SUMMARY_CHARS)).alias("summary"),
     )
+    trees = with_dom(pages.select("page_id", "url", "html"))
+    # Exploding one struct keeps later filters above it, so that the tree is searched
+    # once per page instead of once for every filter that names a field.
+    chosen = trees.select("page_id", "url", F.inline(F.array(fields)))
     return chosen.select(
         F.lit("pages").alias("source"),
         F.coalesce("title", F.lit("")).alias("title"),
@@ -34,7 +37,7 @@ def article_listings(pages: DataFrame, posted_at: Column) -> DataFrame:
         "location",
         "url",
         posted_at.alias("posted_at"),
-        F.left(F.coalesce("text", F.lit("")), F.lit(SUMMARY_CHARS)).alias("summary"),
+        F.coalesce("summary", F.lit("")).alias("summary"),
         F.col("page_id").alias("seq"),
     )
 
