@@ -172,25 +172,36 @@ def url_join(base: Column, ref: Column) -> Column:
 # --- HTML fragments -----------------------------------------------------------
 
 def decode_entities(col: Column) -> Column:
-    """Replace character references, each exactly once (``&amp;lt;`` gives ``&lt;``)."""
+    """Replace character references, each exactly once (``&amp;lt;`` gives ``&lt;``).
+
+    The closing semicolon may be missing; of a name nobody knows only that is dropped.
+    """
     table = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
+    # numbers 128 to 159 are meant as Windows-1252
+    old = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    table |= {f"#{n}": text for n, text in old.items() if text}
     names = F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # folds to one literal
-    tokens = F.regexp_extract_all(col, F.lit(r"(&#?\w+;|[^&]+|&)"), F.lit(1))
+    tokens = F.regexp_extract_all(
+        col, F.lit(r"(&#(?:[0-9]+|[xX][0-9a-fA-F]+);?|&[a-zA-Z][\-.a-zA-Z0-9]*;?|[^&]+|&)"), F.lit(1)
+    )
 
     def number(digits: Column) -> Column:
-        code = F.when(digits.between(1, 0x10FFFF), digits)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        scalar = digits.between(0, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(scalar, digits)), 8, "0")), "UTF-32")
+        known = F.try_element_at(names, F.concat(F.lit("#"), digits.cast("string")))
+        return F.coalesce(known, char, F.lit("\ufffd"))
 
     def decode(name: Column) -> Column:
         hexa = F.conv(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), 16, 10)
         deci = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
         digits = F.coalesce(hexa, F.nullif(deci, F.lit(""))).try_cast("long")
-        return F.coalesce(let(digits, number), F.try_element_at(names, name))
+        return F.when(F.startswith(name, F.lit("#")), let(digits, number)).otherwise(
+            F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
+        )
 
     def replace(token: Column) -> Column:
-        named = F.startswith(token, F.lit("&")) & F.endswith(token, F.lit(";"))
-        name = F.substring(token, F.lit(2), F.length(token) - 2)
-        return F.when(named, F.coalesce(let(name, decode), token)).otherwise(token)
+        name = F.rtrim(F.substring(token, 2, 2_000_000_000), F.lit(";"))
+        return F.when(token.rlike("^&."), let(name, decode)).otherwise(token)
 
     decoded = F.array_join(F.transform(tokens, replace), "")
     return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)

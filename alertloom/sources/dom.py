@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -56,11 +57,18 @@ def postings_of(script: str) -> list[str]:
     return found
 
 
+def character(number: int) -> str:
+    """Text of a numeric reference; 128 to 159 are meant as Windows-1252."""
+    if 128 <= number < 160:
+        return bytes([number]).decode("cp1252", "ignore") or chr(number)
+    return chr(number) if number < 0xD800 or 0xDFFF < number < 0x110000 else "\ufffd"
+
+
 class _Outline(HTMLParser):
     """Collects elements, visible texts and JSON-LD scripts of one page."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.rows: list[list] = []  # tag, attrs, up, span, t0, tn
         self.texts: list[str] = []
         self.postings: list[str] = []
@@ -115,6 +123,12 @@ class _Outline(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._data.append(data)
 
+    def handle_entityref(self, name: str) -> None:
+        self._data.append(html5.get(f"{name};", f"&{name}"))
+
+    def handle_charref(self, name: str) -> None:
+        self._data.append(character(int(name[1:], 16) if name[0] in "xX" else int(name)))
+
     def _break(self, _: str) -> None:
         self._flush()
 

@@ -6,8 +6,6 @@ beyond them is computed from every row of a table, so its work grows with the ta
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +29,8 @@ PAGE_RULES = Rules(
 
 
 def as_of() -> Column:
-    return F.lit(dt.datetime(2024, 2, 1)).cast("timestamp")
+    """``AS_OF_TEXT`` in UTC, whatever the zone of the machine."""
+    return F.timestamp_seconds(F.lit(1_706_745_600))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

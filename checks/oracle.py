@@ -137,8 +137,8 @@ SQL["truncate"] = f"SELECT doc_id, {truncate('text', 256)} AS short, left(text,
 
 
 def decoded(x: str) -> str:
-    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        x = f"replace({x}, {q(name)}, {q(char)})"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name}(;|([^-.;a-zA-Z0-9])|$)', {q(char + chr(92) + '2')}, 'g')"
     return x
 
 
