@@ -37,13 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, searched: bool = False) -> DataFrame:
     """Spread a small input over all cores before costly work on its rows.
 
-    Inputs of many files are split by the scan already and stay where they are.
+    Inputs of many files are split by the scan already and stay as they are.  Catalyst
+    moves filters below a repartitioning, which for costly ones would undo it; with
+    ``searched`` the rows pass through a generator, and filters stay above that.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    wide = df.repartition(cores)
+    return wide.select(F.inline(F.array(F.struct(*df.columns)))) if searched else wide
 
 
 def posted(id_col: str) -> Column:
@@ -60,9 +65,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_listings(spark: SparkSession, sf_dir: str, searched: bool = False) -> DataFrame:
     """Documents as listings: the first line is the title, the whole text the summary."""
-    return documents(spark, sf_dir).select(
+    return spread(table(spark, sf_dir, "documents"), searched).select(
         "source",
         strip(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
         F.upper("lang").alias("company"),

@@ -162,7 +162,7 @@ def term_matches(spark, sf_dir):
 
 @query
 def relevance(spark, sf_dir):
-    return I.document_listings(spark, sf_dir).where(matching.relevant(I.RULES)).select("seq")
+    return I.document_listings(spark, sf_dir, searched=True).where(matching.relevant(I.RULES)).select("seq")
 
 
 @query
@@ -179,7 +179,7 @@ def age_filter(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    found = matching.match_listings(I.document_listings(spark, sf_dir), I.RULES)
+    found = matching.match_listings(I.document_listings(spark, sf_dir, searched=True), I.RULES)
     return matching.score_listings(matching.with_keys(found), I.as_of(), I.RULES, I.SETTINGS)
 
 
@@ -233,7 +233,7 @@ def anti_seen(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    return rank_listings(I.document_listings(spark, sf_dir), I.as_of(), I.RULES, I.SETTINGS)
+    return rank_listings(I.document_listings(spark, sf_dir, searched=True), I.as_of(), I.RULES, I.SETTINGS)
 
 
 @query
@@ -408,7 +408,7 @@ def source_breakdown(spark, sf_dir):
 
 @query
 def funnel(spark, sf_dir):
-    raw = I.document_listings(spark, sf_dir)
+    raw = I.document_listings(spark, sf_dir, searched=True)
     young = raw.where(matching.young_enough(I.as_of(), I.SETTINGS))
     found = matching.match_listings(young, I.RULES)
     scored = written(matching.score_listings(matching.with_keys(found), I.as_of(), I.RULES, I.SETTINGS), "scored")
