@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,3 +44,14 @@ def batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 yield from step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def text_function(setup: Callable[[], Callable], kind: str) -> Callable[[Column], Column]:
+    """A column function over texts that runs in tasks in Arrow batches; ``setup`` makes it once for each task."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        step = setup()
+        for part in parts:
+            yield pd.Series([step(value) for value in part], dtype=object if "<" in kind else None)
+
+    return F.pandas_udf(run, kind)

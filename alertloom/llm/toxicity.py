@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from alertloom.llm.common import batches, fold_of, narrow, whole
+from alertloom.llm.common import batches, fold_of, narrow, text_function, whole
 from alertloom.llm.language import letter_codes, sampled
 from alertloom.session import written
 
@@ -343,3 +343,14 @@ def score_documents(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
     """
     return score(documents, fit(documents, labels, most), threshold).select(
         "doc_id", (fold_of() == 2).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` whose score stays below ``threshold``, with all their columns."""
+    model = fit(documents, labels, most)
+
+    def setup():
+        judge = Judge(model.restorer, model.telling)
+        return lambda text: bool(model.scores(np.array([judge.facts(text)], float))[0] < threshold)
+
+    return documents.filter(text_function(setup, "boolean")(whole(documents["text"])))
