@@ -37,6 +37,7 @@ STANDS_FOR = {
 # Channel costs, in nats: a sign read as a letter, a sign left out, a separator left out, a repeat left out, a gap kept.
 AS_LETTER, SIGN_OUT, APART_OUT, REPEAT_OUT, GAP = 1.0, 12.0, 0.2, 0.7, 12.0
 TRIGRAMS = 200_000
+COUNTED_AT_ONCE = 2_000_000
 SMOOTH = 0.01
 
 SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .*_-][^\W_]){3,}(?![^\W_])")
@@ -51,7 +52,7 @@ LEAST_EVIDENCE = 30.0
 LEAST_SHARE = 0.6
 MOST_LABELLED = 40_000
 THRESHOLD = 0.3
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 FLOOR = 0.02
 
 
@@ -59,13 +60,16 @@ def trigram_counts(documents: DataFrame, most: int = TRIGRAMS) -> dict[int, int]
     """Counts of character trigrams over all texts; the ``most`` frequent ones form the model."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for value in batch.column(0):
+        parts, held = [], 0
+        for k, value in enumerate(batch.column(0), 1):
             codes = letter_codes(value.as_py())
             if len(codes) > 2:
                 parts.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
-        grams, counts = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
+                held += len(codes)
+            if parts and (held > COUNTED_AT_ONCE or k == batch.num_rows):
+                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+                parts, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
 
     counted = batches(narrow(documents).select(whole().alias("text")), work, "gram long, n long")
     totals = counted.groupBy("gram").agg(F.sum("n").alias("n"))
