@@ -159,15 +159,11 @@ def without_repeats(documents: DataFrame, edits: int = EDITS, least: int = LEAST
     key = documents["doc_id"].cast("long").eqNullSafe(own["_cut_id"]) & (F.xxhash64(documents["text"]) == own["_cut_key"])
     joined = documents.join(own, key, "left")
     text = F.when(F.col("_cut").isNull(), documents["text"]).otherwise(F.array_join(kept_lines("text", "_cut"), "\n"))
-    out = []
-    for name in documents.columns:
-        column = documents[name]
-        if name == "text":
-            column = text.alias("text")
-        elif name == "n_chars":
-            column = F.when(F.col("_cut").isNull(), column).otherwise(F.length(text)).cast(documents.schema[name].dataType).alias(name)
-        out.append(column)
-    return joined.select(*out)
+    cut = joined.select(*[text.alias(c) if c == "text" else documents[c] for c in documents.columns], "_cut")
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return cut.drop("_cut")
 
 
 def kept_lines(text: str, places: str) -> Column:

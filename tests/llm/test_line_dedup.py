@@ -3,7 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
-from pyspark.sql import functions as F
+import duckdb
+import pandas as pd
 
 from alertloom.llm import line_dedup
 from alertloom.llm.queries import op3_line_dedup
@@ -21,26 +22,38 @@ def distance(a, b):
 
 def brute(rows, edits=2, least=20):
     """Kept text of each row, the rows being in order of doc_id."""
-    classes: list[list[str]] = []
     lines = []
     for _, text in rows:
         for line in (text or "").split("\n"):
-            bare = line.replace("\r", " ").replace("\t", " ").strip(" ")
-            lines.append(bare if len(bare) >= least else None)
-    for line in dict.fromkeys(x for x in lines if x is not None):
-        near = [c for c in classes if any(abs(len(x) - len(line)) <= edits and distance(x, line) <= edits for x in c)]
-        classes = [c for c in classes if c not in near] + [[line, *(x for c in near for x in c)]]
-    of = {line: k for k, c in enumerate(classes) for line in c}
+            plain = line.replace("\r", " ").replace("\t", " ").strip(" ")
+            lines.append(plain if len(plain) >= least else None)
+    distinct = list(dict.fromkeys(x for x in lines if x is not None))
+    # pairs by the edit distance of another engine, which counts bytes: one byte per character
+    byte = {ord(c): k + 1 for k, c in enumerate(sorted(set("".join(distinct))))}
+    assert len(byte) < 128
+    bare = pd.DataFrame({"i": range(len(distinct)), "x": [x.translate(byte) for x in distinct]})
+    pairs = duckdb.sql(f"""SELECT a.i, b.i FROM bare a JOIN bare b ON abs(length(a.x) - length(b.x)) <= {edits} AND a.i < b.i
+                           WHERE levenshtein(a.x, b.x) <= {edits}""").fetchall() if distinct else []
+    top = {x: x for x in distinct}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        top[find(distinct[a])] = find(distinct[b])
+    of = {x: find(x) for x in distinct}
     seen, out = set(), []
     for doc_id, text in rows:
         kept, dropped = [], 0
         for line in (text or "").split("\n"):
-            bare = line.replace("\r", " ").replace("\t", " ").strip(" ")
-            if len(bare) >= least:
-                if of[bare] in seen:
+            plain = line.replace("\r", " ").replace("\t", " ").strip(" ")
+            if len(plain) >= least:
+                if of[plain] in seen:
                     dropped += 1
                     continue
-                seen.add(of[bare])
+                seen.add(of[plain])
             kept.append(line)
         out.append((doc_id, "\n".join(kept), dropped))
     return out
