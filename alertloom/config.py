@@ -98,7 +98,7 @@ class Settings:
     max_age_days: int = 7
     priority_hours: int = 24
     max_results: int = 40
-    date_check_max: int = 20
+    date_check_max: int | None = None
     retention_days: int = 90
     max_lanes: int = 8
     delay_seconds: float = 0.6

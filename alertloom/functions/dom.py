@@ -103,8 +103,16 @@ def pick(texts: Column, elements: Column, tests: list[Test]) -> Column:
 
 
 def first_per(rows: Column, key: Callable[[Column], Column]) -> Column:
-    """Keep the first row of every key, order unchanged.  Meant for capped lists."""
+    """Keep the first row of every key, order unchanged.
+
+    Rows are sorted by key and place, so that equal keys are neighbours, and sorted back.
+    """
+    def firsts(ordered: Column) -> Column:
+        kept = F.filter(ordered, lambda e, i: (i == 0) | (e.key != F.get(ordered, i - 1)["key"]))
+        return F.array_sort(F.transform(kept, lambda e: F.struct(e.place.alias("place"))))
+
+    keyed = F.transform(rows, lambda row, i: F.struct(key(row).alias("key"), i.alias("place")))
     return let(
-        F.transform(rows, key),
-        lambda keys: F.filter(rows, lambda row, i: F.array_position(keys, key(row)) == i + 1),
+        F.struct(rows.alias("rows"), let(F.array_sort(keyed), firsts).alias("kept")),
+        lambda v: F.transform(v.kept, lambda k: F.get(v.rows, k.place)),
     )

@@ -192,8 +192,8 @@ def decode_entities(col: Column) -> Column:
         return F.coalesce(known, char, F.lit("\ufffd"))
 
     def decode(name: Column) -> Column:
-        hexa = F.conv(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), 16, 10)
-        deci = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
+        hexa = F.conv(F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]{1,8})$", 1), 16, 10)
+        deci = F.regexp_extract(name, r"^#0*([0-9]{1,10})$", 1)
         digits = F.coalesce(hexa, F.nullif(deci, F.lit(""))).try_cast("long")
         return F.when(F.startswith(name, F.lit("#")), let(digits, number)).otherwise(
             F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))

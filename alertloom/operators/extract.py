@@ -18,13 +18,11 @@ from alertloom.functions import dom as D
 from alertloom.functions.dates import date_places, first_date
 from alertloom.functions.text import SPACE_CLASS, collapse, let, strip, strip_html, url_join
 from alertloom.sources.dom import with_dom
-from alertloom.sources.feeds import feed_entries
+from alertloom.sources.feeds import feed_entries, feed_error, parsed_feed
 
-# --- Fixed values: draft fields, caps, selectors and patterns ----------------
+# --- Fixed values: draft fields, selectors and patterns ----------------
 DRAFT = "struct<title:string,company:string,location:string,href:string,date_text:string,infer_text:string,summary:string>"
 UNKNOWN_COMPANY = "Unknown Company"
-CARD_CAPS = {"generic": 100, "wordpress": 60, "rekrute": 80, "marocannonces": 80, "talent": 60,
-             "successfactors": 80, "rss": 50}
 MIN_TITLE = 6
 MIN_CARD_TITLE = 4
 CARD_CLASSES = ("job_seen_beacon", "jobsearch-SerpJobCard", "job-card", "job", "offer", "annonce")
@@ -40,7 +38,6 @@ HEADLINE = (
 )
 SLUG = r"recrutement-(.+?)-\d+\.html?$"
 LEVEL_TAIL = rf"{_S}*Niveau d[’'][\s\S]*$"
-DETAIL_CHARS = 4000
 # --- end of fixed values ------------------------------------------------------
 
 LISTING_COLUMNS = ("source", "title", "company", "location", "url", "posted_at", "summary", "seq")
@@ -120,7 +117,7 @@ def json_ld(page: Page) -> Column:
             location=located,
             href=_json_text(v, "$.url"),
             date_text=_json_text(v, "$.datePosted"),
-            summary=F.left(strip_html(_json_text(v, "$.description")), F.lit(800)),
+            summary=strip_html(_json_text(v, "$.description")),
         )
 
     return F.transform(page.postings, lambda p: let(F.try_parse_json(p), row))
@@ -128,11 +125,10 @@ def json_ld(page: Page) -> Column:
 
 # --- card heuristics ----------------------------------------------------------
 
-def _cards(page: Page, test: D.Test, cap: int, row: Callable[[Column, Column, Column], Column]) -> Column:
-    """``row(card, inner, text)`` for the first ``cap`` elements that pass ``test``."""
-    chosen = F.slice(F.filter(page.els, test), 1, cap)
+def _cards(page: Page, test: D.Test, row: Callable[[Column, Column, Column], Column]) -> Column:
+    """``row(card, inner, text)`` for all elements that pass ``test``."""
     return F.transform(
-        chosen,
+        F.filter(page.els, test),
         lambda c: let(
             F.struct(D.inside(page.els, c).alias("inner"), D.text_of(page.texts, c).alias("text")),
             lambda v: row(c, v.inner, v.text),
@@ -172,13 +168,13 @@ def generic_cards(page: Page) -> Column:
             href=D.attr(anchor, "href"),
             date_text=D.pick(page.texts, inner, dates),
             infer_text=text,
-            summary=F.left(text, F.lit(1000)),
+            summary=text,
         )
         kept = let(full, lambda d: F.when(F.length(d.title) >= MIN_CARD_TITLE, d))
         return F.when(F.exists(inner, D.link()), kept)
 
     list_boxes = F.filter(page.els, D.any_of(D.css_class("list-jobs"), D.css_class("jobs-list")))
-    return let(list_boxes, lambda lists: _keep(_cards(page, is_card(lists), CARD_CAPS["generic"], row)))
+    return let(list_boxes, lambda lists: _keep(_cards(page, is_card(lists), row)))
 
 
 def generic(page: Page) -> Column:
@@ -235,7 +231,7 @@ def wordpress(page: Page) -> Column:
                         href=D.attr(v.link, "href"),
                         date_text=stamp,
                         infer_text=text,
-                        summary=F.left(F.coalesce(summary, F.lit("")), F.lit(800)),
+                        summary=F.coalesce(summary, F.lit("")),
                     ),
                 )
 
@@ -252,22 +248,21 @@ def wordpress(page: Page) -> Column:
 
     return let(
         F.filter(page.els, heading),
-        lambda heads: _keep(_cards(page, D.tag("article"), CARD_CAPS["wordpress"], row(heads))),
+        lambda heads: _keep(_cards(page, D.tag("article"), row(heads))),
     )
 
 
-def _anchors(page: Page, part: str, cap: int) -> Column:
-    """The first ``cap`` links whose address holds ``part``, with their text."""
-    chosen = F.slice(F.filter(page.els, D.link(part)), 1, cap)
+def _anchors(page: Page, part: str) -> Column:
+    """All links whose address holds ``part``, with their text."""
     return F.transform(
-        chosen,
+        F.filter(page.els, D.link(part)),
         lambda e: F.struct(
             D.attr(e, "href").alias("href"), D.text_of(page.texts, e).alias("text"), e.pos.alias("pos")
         ),
     )
 
 
-def pipe_titles(page: Page, part: str = "/offre-emploi-", cap: int = CARD_CAPS["rekrute"]) -> Column:
+def pipe_titles(page: Page, part: str = "/offre-emploi-") -> Column:
     """Links titled ``Title | City (Country)``; the company comes from the address."""
 
     def row(a: Column) -> Column:
@@ -289,7 +284,7 @@ def pipe_titles(page: Page, part: str = "/offre-emploi-", cap: int = CARD_CAPS["
             summary=a.text,
         )
 
-    unique = let(_anchors(page, part, cap), lambda rows: D.first_per(rows, lambda a: a.href))
+    unique = let(_anchors(page, part), lambda rows: D.first_per(rows, lambda a: a.href))
     return F.transform(F.filter(unique, lambda a: F.length(a.text) >= MIN_TITLE), row)
 
 
@@ -311,13 +306,13 @@ def marocannonces(page: Page) -> Column:
                     location=page.default_location,
                     href=D.attr(D.first(inner, D.link("/annonce/")), "href"),
                     infer_text=text,
-                    summary=F.left(text, F.lit(800)),
+                    summary=text,
                 ),
             )
 
         return let(D.text_of(page.texts, D.first(inner, D.link("/annonce/"))), read)
 
-    return _keep(_cards(page, D.tag("article"), CARD_CAPS["marocannonces"], row))
+    return _keep(_cards(page, D.tag("article"), row))
 
 
 def talent(page: Page) -> Column:
@@ -339,22 +334,20 @@ def talent(page: Page) -> Column:
                 location=page.default_location,
                 href=D.attr(D.first(inner, D.link()), "href"),
                 infer_text=text,
-                summary=F.left(text, F.lit(600)),
+                summary=text,
             ),
         )
 
-    rows = _keep(_cards(page, is_card, CARD_CAPS["talent"], row))
+    rows = _keep(_cards(page, is_card, row))
     return let(rows, lambda r: D.first_per(r, lambda d: d.href))
 
 
-def boxed_anchors(page: Page, part: str = "JobDetail", cap: int = CARD_CAPS["successfactors"]) -> Column:
+def boxed_anchors(page: Page, part: str = "JobDetail") -> Column:
     """Links to a detail page; the box around a link tells the rest."""
 
     def row(boxes: Column) -> Callable:
         def build(a: Column) -> Column:
-            text = F.left(
-                F.coalesce(let(D.nearest(a, boxes), lambda b: D.text_of(page.texts, b)), F.lit("")), F.lit(600)
-            )
+            text = F.coalesce(let(D.nearest(a, boxes), lambda b: D.text_of(page.texts, b)), F.lit(""))
             return let(
                 text,
                 lambda t: draft(
@@ -369,7 +362,7 @@ def boxed_anchors(page: Page, part: str = "JobDetail", cap: int = CARD_CAPS["suc
 
         return build
 
-    long_enough = F.filter(_anchors(page, part, cap), lambda a: F.length(a.text) >= MIN_TITLE)
+    long_enough = F.filter(_anchors(page, part), lambda a: F.length(a.text) >= MIN_TITLE)
     unique = let(long_enough, lambda rows: D.first_per(rows, lambda a: a.href))
     return let(F.filter(page.els, D.tag("li", "div", "tr", "article")), lambda boxes: F.transform(unique, row(boxes)))
 
@@ -388,11 +381,10 @@ def rss(page: Page) -> Column:
             location=page.default_location,
             href=e.link,
             date_text=F.coalesce(F.nullif(e.published, F.lit("")), e.updated),
-            summary=F.left(strip_html(e.summary), F.lit(800)),
+            summary=strip_html(e.summary),
         )
 
-    entries = F.slice(page.entries, 1, CARD_CAPS["rss"])
-    return F.transform(F.filter(entries, lambda e: F.length(e.title) >= MIN_CARD_TITLE), row)
+    return F.transform(F.filter(page.entries, lambda e: F.length(e.title) >= MIN_CARD_TITLE), row)
 
 
 EXTRACTORS: dict[str, Callable[[Page], Column]] = {
@@ -409,12 +401,18 @@ EXTRACTORS: dict[str, Callable[[Page], Column]] = {
 # --- the job ------------------------------------------------------------------
 
 def page_trees(pages: DataFrame) -> DataFrame:
-    """Pages with their element tree and, for feeds, their entries."""
+    """Pages with their element tree and, for feeds, their entries.
+
+    A page without a kind is ``generic``.  ``error`` says why a page or feed could not be read.
+    """
+    known = pages.withColumn("kind", F.coalesce("kind", F.lit("generic")))
     is_feed = F.col("kind") == "rss"
-    tagged = pages.withColumn("feed", F.when(is_feed, F.col("html"))).withColumn(
+    tagged = known.withColumn("feed", F.when(is_feed, F.col("html"))).withColumn(
         "html", F.when(~is_feed, F.col("html"))
     )
-    return with_dom(tagged).withColumn("entries", feed_entries(F.col("feed"))).drop("feed")
+    trees = with_dom(tagged).withColumn("parsed", parsed_feed(F.col("feed")))
+    return trees.withColumn("error", F.coalesce("error", feed_error(F.col("feed"), F.col("parsed")))).withColumn(
+        "entries", feed_entries(F.col("parsed"))).drop("feed", "parsed")
 
 
 @lru_cache(maxsize=32)
@@ -453,17 +451,19 @@ def extract_listings(
     """
     trees = page_trees(pages).where(F.col("error").isNull())
     rows = trees.select(
-        "task_id", "source", "page_url", F.posexplode(drafts_of(pages.sparkSession, extractors or EXTRACTORS)).alias("pos", "d")
+        "task_id", "source", "kind", "page_url", F.posexplode(drafts_of(pages.sparkSession, extractors or EXTRACTORS)).alias("pos", "d")
     )
     places = F.concat(F.array(F.col("d.date_text")), date_places(F.col("d.infer_text")))
     posted = first_date(places, as_of, day_first)
+    # an entry of a feed without an address is not found at the feed's own
+    unaddressed = (F.col("kind") == "rss") & (F.col("d.href") == "")
     return rows.select(
         F.col("task_id"),
         F.col("source"),
         F.col("d.title").alias("title"),
         F.col("d.company").alias("company"),
         F.col("d.location").alias("location"),
-        url_join(F.col("page_url"), F.col("d.href")).alias("url"),
+        F.when(unaddressed, "").otherwise(url_join(F.col("page_url"), F.col("d.href"))).alias("url"),
         posted.alias("posted_at"),
         F.col("d.summary").alias("summary"),
         (F.shiftleft(F.col("task_id").cast("long"), 31) + F.col("pos")).alias("seq"),
@@ -471,7 +471,7 @@ def extract_listings(
 
 
 def page_errors(pages: DataFrame) -> DataFrame:
-    """Pages whose tree could not be built, with the reason."""
+    """Pages and feeds that could not be read, with the reason."""
     return page_trees(pages).where(F.col("error").isNotNull()).select("task_id", "source", "page_url", "error")
 
 
@@ -485,6 +485,6 @@ def detail_dates(pages: DataFrame, as_of: Column, day_first: bool = False) -> Da
         F.col("postings"),
         lambda p: F.coalesce(F.try_variant_get(F.try_parse_json(p), "$.datePosted", "string"), F.lit("")),
     )
-    text = F.left(F.array_join(F.col("texts"), " "), F.lit(DETAIL_CHARS))
+    text = F.array_join(F.col("texts"), " ")
     found = first_date(F.concat(stated, date_places(text)), as_of, day_first)
     return with_dom(pages).select(*keys, found.alias("found_at"))

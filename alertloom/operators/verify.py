@@ -24,9 +24,10 @@ def undated_groups(matched: DataFrame) -> DataFrame:
     )
 
 
-def date_check_candidates(pairs: DataFrame, limit: int) -> DataFrame:
-    """The detail addresses to look at: in order of address, at most ``limit``."""
-    return pairs.select("detail_url").distinct().orderBy("detail_url").limit(limit)
+def date_check_candidates(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The detail addresses to look at: all, or the first ``limit`` by address."""
+    every = pairs.select("detail_url").distinct()
+    return every if limit is None else every.orderBy("detail_url").limit(limit)
 
 
 def check_dates(candidates: DataFrame, detail_pages: DataFrame, as_of: Column, day_first: bool = False) -> DataFrame:
@@ -56,9 +57,3 @@ def apply_dates(matched: DataFrame, pairs: DataFrame, checked: DataFrame) -> Dat
         .withColumn("posted_at", F.col("found_at"))
     )
     return dated.unionByName(filled.select(*dated.columns))
-
-
-def drop_unverifiable(rows: DataFrame, no_date_urls: DataFrame) -> DataFrame:
-    """Drop undated rows whose detail address is known to show no date."""
-    named = no_date_urls.select(F.col("detail_url").alias("_url"))
-    return rows.join(named, F.col("posted_at").isNull() & (F.col("detail_url") == F.col("_url")), "left_anti")

@@ -93,7 +93,7 @@ def finish(
     store: SeenStore,
     deliver: Callable[[DataFrame], bool] | None = None,
     dry_run: bool = False,
-    version: int | None = None,
+    tag: str = "",
 ) -> bool:
     """Deliver the messages, then write the state.
 
@@ -104,7 +104,7 @@ def finish(
     if dry_run:
         return False
     sent = bool(deliver(run.messages)) if deliver else False
-    store.write(run.next_seen(sent and not run.ranked.isEmpty()), version)
+    store.write(run.next_seen(sent and not run.ranked.isEmpty()), tag)
     return sent
 
 

@@ -11,8 +11,6 @@ from alertloom.functions.text import url_host
 from alertloom.plans.alert_run import rank_listings
 from alertloom.sources.dom import with_dom
 
-SUMMARY_CHARS = 800
-
 
 def article_listings(pages: DataFrame, posted_at: Column) -> DataFrame:
     """One row per page: its first article, titled by the first heading inside.
@@ -24,7 +22,7 @@ def article_listings(pages: DataFrame, posted_at: Column) -> DataFrame:
     fields = F.struct(
         D.attr(D.first(els, D.tag("html")), "lang").alias("location"),
         D.text_of(texts, D.first(D.inside(els, article), D.tag("h1"))).alias("title"),
-        F.left(D.text_of(texts, article), F.lit(SUMMARY_CHARS)).alias("summary"),
+        D.text_of(texts, article).alias("summary"),
     )
     trees = with_dom(pages.select("page_id", "url", "html"))
     # Exploding one struct keeps later filters above it, so that the tree is searched

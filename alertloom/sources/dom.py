@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -73,6 +74,7 @@ class _Outline(HTMLParser):
         self.texts: list[str] = []
         self.postings: list[str] = []
         self._open: list[int] = []
+        self._open_tags: Counter[str] = Counter()
         self._unseen = 0
         self._data: list[str] = []
 
@@ -89,6 +91,7 @@ class _Outline(HTMLParser):
 
     def _close_top(self) -> None:
         row = self.rows[self._open.pop()]
+        self._open_tags[row[0]] -= 1
         row[3] = len(self.rows) - row[3] - 1
         row[5] = len(self.texts) - row[4]
         self._unseen -= row[0] in UNSEEN_TAGS
@@ -100,6 +103,7 @@ class _Outline(HTMLParser):
             named["class"] = " ".join(named["class"].split())
         up = self._open[-1] if self._open else -1
         self._open.append(len(self.rows))
+        self._open_tags[tag] += 1
         self.rows.append([tag, named, up, len(self.rows), len(self.texts), 0])
         self._unseen += tag in UNSEEN_TAGS
         if tag in VOID_TAGS:
@@ -112,7 +116,7 @@ class _Outline(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        if any(self.rows[i][0] == tag for i in self._open):
+        if self._open_tags[tag] > 0:
             while self.rows[self._open[-1]][0] != tag:
                 self._close_top()
             self._close_top()
@@ -160,7 +164,7 @@ def _dom_columns(pages: list[str | None]) -> list[pa.Array]:
         try:
             outline.outline(html or "")
         except Exception as exc:  # one bad page must not end the job
-            outline, error = _Outline(), f"{type(exc).__name__}: {exc}"[:200]
+            outline, error = _Outline(), f"{type(exc).__name__}: {exc}"
         rows.extend([pos, *row] for pos, row in enumerate(outline.rows))
         texts.extend(outline.texts)
         postings.extend(outline.postings)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions.text import decode_entities, let
+
 ENTRY = "struct<title:string,link:string,author:string,published:string,updated:string,summary:string>"
 
 _TEXT = "struct<_VALUE:string,_type:string>"
 _ITEM = (
-    "struct<title:string,link:string,author:string,creator:string,pubDate:string,date:string,"
-    "description:string,encoded:string>"
+    "struct<title:string,link:string,guid:struct<_VALUE:string,_isPermaLink:string>,author:string,creator:string,"
+    "pubDate:string,date:string,description:string,encoded:string>"
 )
 _ATOM = (
     f"struct<title:{_TEXT},link:array<struct<_href:string,_rel:string>>,author:struct<name:string>,"
     f"published:string,issued:string,updated:string,summary:{_TEXT},content:{_TEXT}>"
 )
-FEED_SCHEMA = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ATOM}>"
+FEED_SCHEMA = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ATOM}>, broken string"
+CDATA_START, CDATA_END = "<![CDATA[", "]]>"
 
 
 def _entry(**fields: Column) -> Column:
@@ -29,14 +32,61 @@ def _first(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])
 
 
-def feed_entries(body: Column) -> Column:
-    """Entries of a feed document, in order; an unreadable document gives none."""
-    parsed = F.from_xml(body, FEED_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+def _permanent(guid: Column) -> Column:
+    """The identifier of an item where it is an address."""
+    return F.when(F.lower(F.coalesce(guid["_isPermaLink"], F.lit("true"))) != "false", guid["_VALUE"])
+
+
+def _well_formed(part: Column) -> Column:
+    """Text outside CDATA with names that XML lacks decoded and bare ampersands escaped."""
+    tokens = F.regexp_extract_all(
+        part, F.lit(r"(&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);|[^&]+|&)"), F.lit(1))
+
+    def mended(token: Column) -> Column:
+        decoded = let(decode_entities(token), lambda d: F.when(F.startswith(d, F.lit("&")), F.concat(F.lit("&amp;"), F.substring(d, 2, 1000))).otherwise(d))
+        return (
+            F.when(token == "&", "&amp;")
+            .when(token.rlike("^&(#|(amp|lt|gt|quot|apos);$)"), token)
+            .when(F.startswith(token, F.lit("&")), decoded)
+            .otherwise(token)
+        )
+
+    return F.when(F.contains(part, F.lit("&")), F.array_join(F.transform(tokens, mended), "")).otherwise(part)
+
+
+def mended_feed(body: Column) -> Column:
+    """A feed document without what XML forbids but feeds hold: blanks in front, names of HTML, bare ampersands."""
+    parts = F.split(F.regexp_replace(body, r"^[\s\uFEFF]+", ""), r"<!\[CDATA\[")
+
+    def after_cdata(part: Column) -> Column:
+        end = F.locate(CDATA_END, part)
+        return F.when(end == 0, part).otherwise(
+            F.concat(F.left(part, end + 2), _well_formed(F.substring(part, end + 3, F.length(part)))))
+
+    return F.array_join(
+        F.transform(parts, lambda p, i: F.when(i == 0, _well_formed(p)).otherwise(after_cdata(p))), CDATA_START)
+
+
+def parsed_feed(body: Column) -> Column:
+    """A feed document as one struct; ``broken`` holds a document that cannot be read."""
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    return F.when(body.isNotNull(), F.from_xml(mended_feed(body), FEED_SCHEMA, options))
+
+
+def feed_error(body: Column, parsed: Column) -> Column:
+    """Why a feed document has no entries; null if it has, or may have none."""
+    unknown = parsed["channel"].isNull() & parsed["item"].isNull() & parsed["entry"].isNull()
+    return F.when(body.isNotNull() & parsed["broken"].isNotNull(), "not well-formed XML").when(
+        body.isNotNull() & F.coalesce(unknown, F.lit(True)) & ~F.coalesce(body.rlike("(?i)<(rss|rdf|feed|channel)"), F.lit(False)), "not a feed")
+
+
+def feed_entries(parsed: Column) -> Column:
+    """Entries of a parsed feed, in order; an unreadable document has none."""
     items = F.coalesce(parsed["channel"]["item"], parsed["item"])
     from_rss = F.transform(
         items,
         lambda i: _entry(
-            title=_first(i.title), link=_first(i.link), author=_first(i.author, i.creator),
+            title=_first(i.title), link=_first(i.link, _permanent(i.guid)), author=_first(i.author, i.creator),
             published=_first(i.pubDate), updated=_first(i.date),
             summary=_first(i.description, i.encoded),
         ),
@@ -57,7 +107,7 @@ def feed_entries(body: Column) -> Column:
 def read_feed_files(spark, path: str) -> DataFrame:
     """Items of RSS files on disk; large files are split by item."""
     schema = (
-        "title string, link string, author string, creator string, pubDate string, date string, "
+        "title string, link string, guid struct<_VALUE:string,_isPermaLink:string>, author string, creator string, pubDate string, date string, "
         "description string, encoded string"
     )
     items = (
@@ -65,7 +115,7 @@ def read_feed_files(spark, path: str) -> DataFrame:
     )
     return items.select(
         *[F.coalesce(c, F.lit("")).alias(n) for n, c in (
-            ("title", _first(F.col("title"))), ("link", _first(F.col("link"))),
+            ("title", _first(F.col("title"))), ("link", _first(F.col("link"), _permanent(F.col("guid")))),
             ("author", _first(F.col("author"), F.col("creator"))), ("published", _first(F.col("pubDate"))),
             ("updated", _first(F.col("date"))), ("summary", _first(F.col("description"), F.col("encoded"))),
         )]

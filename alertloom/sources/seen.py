@@ -82,26 +82,34 @@ def write_seen_json(seen: DataFrame, path: str, as_of: Column) -> None:
 class SeenStore:
     """State as numbered parquet versions under one folder.
 
-    A version counts only once it is complete, and a run writes a version of its own
-    instead of replacing the one it reads.
+    A version counts only once it is complete.  Every write adds a version of its own
+    above all others and replaces none.  A version may carry a tag that names what wrote
+    it, so that work which is done again can read the state from before its first try.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _complete(self) -> list[tuple[int, str]]:
+        """Number and tag of complete versions, oldest first."""
+        names = [p.rsplit("/", 2)[-2].split("=")[1] for p in _files(self.spark, f"{self.path}/version=*/_SUCCESS")]
+        return sorted((int(n.partition(".")[0]), n.partition(".")[2]) for n in names)
+
     def versions(self) -> list[int]:
-        done = _files(self.spark, f"{self.path}/version=*/_SUCCESS")
-        return sorted(int(p.rsplit("/", 2)[-2].split("=")[1]) for p in done)
+        return [number for number, _ in self._complete()]
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Latest complete version, or the latest one below ``before``."""
-        known = [v for v in self.versions() if before is None or v < before]
+    def read(self, not_by: str | None = None) -> DataFrame:
+        """Latest complete version; with ``not_by``, the latest one without that tag."""
+        known = [v for v in self._complete() if not_by is None or v[1] != not_by]
         if not known:
             return empty_seen(self.spark)
-        return self.spark.read.schema(SEEN_SCHEMA).parquet(f"{self.path}/version={known[-1]}")
+        return self.spark.read.schema(SEEN_SCHEMA).parquet(self._folder(*known[-1]))
 
-    def write(self, seen: DataFrame, version: int | None = None) -> int:
-        """Write a version; writing the same number again replaces it (a retried batch)."""
-        number = (self.versions() or [0])[-1] + 1 if version is None else version
-        seen.select("dedupe_key", "first_seen").write.mode("overwrite").parquet(f"{self.path}/version={number}")
+    def write(self, seen: DataFrame, tag: str = "") -> int:
+        """Add a version and return its number."""
+        number = (self.versions() or [0])[-1] + 1
+        seen.select("dedupe_key", "first_seen").write.mode("overwrite").parquet(self._folder(number, tag))
         return number
+
+    def _folder(self, number: int, tag: str) -> str:
+        return f"{self.path}/version={number}.{tag}" if tag else f"{self.path}/version={number}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,26 +33,34 @@ def incremental_alerts(
     store: SeenStore,
     out_path: str,
     as_of: Callable[[int], Column],
+    checkpoint: str,
     rules: Rules = Rules(),
     settings: Settings = Settings(),
     deliver: Callable[[DataFrame], bool] | None = None,
-    checkpoint: str | None = None,
+    detail_pages: DataFrame | None = None,
+    day_first: bool = False,
 ) -> StreamingQuery:
     """Alert on every micro-batch of pages, with the state carried between batches.
 
-    A batch writes its digest, then its state, both under its own number.  It reads the
-    state below that number, so a batch that is run again after a failure replaces its
-    own output and nothing else.
+    ``checkpoint`` is the stream's identity and must stay the same from start to start.  A
+    batch reads the latest state that it did not write itself, so one that is run again
+    after a failure starts from the same state and replaces its own digest.  If
+    ``deliver`` fails, so does the batch: the stream stops, and its next start
+    delivers the same rows again.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        done = alert_run(batch, store.read(before=batch_id + 1), as_of(batch_id), rules, settings)
+        tag = f"{stream}-{batch_id}"
+        done = alert_run(batch, store.read(not_by=tag), as_of(batch_id), rules, settings, detail_pages, day_first)
         done.digest.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        finish(done, store, deliver or (lambda _: True), version=batch_id + 1)
+        if deliver and not deliver(done.messages):
+            raise RuntimeError(f"batch {batch_id} was not delivered")
+        finish(done, store, lambda _: True, tag=tag)
 
     return (
         pages.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint or new_path(pages.sparkSession, "alerts-stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -250,7 +250,7 @@ SQL["digest_messages"] = f"""WITH {LISTINGS}, {ranked(RULES)}, {digest()} SELECT
 # --- pages ------------------------------------------------------------------------
 
 _FIRST = f"""{ANCHORS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY i) AS k
-  FROM (SELECT * FROM a WHERE contains(href, '/') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 80){{guard}}) WHERE k = 1)"""
+  FROM (SELECT * FROM a WHERE contains(href, '/')){{guard}}) WHERE k = 1)"""
 _ANCHOR_ROWS = """SELECT page_id AS task_id, page_id * 2147483648 + row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq,
   text AS title, 'Unknown Company' AS company, 'Morocco' AS location,
   regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS url, text AS summary FROM u"""
@@ -258,7 +258,7 @@ SQL["pipe_anchor_listings"] = f"WITH {_FIRST.format(guard='')} {_ANCHOR_ROWS} WH
 SQL["boxed_anchor_listings"] = f"WITH {_FIRST.format(guard=' WHERE length(text) >= 6')} {_ANCHOR_ROWS}"
 ARTICLES = f"""l AS (SELECT page_id AS seq, 'pages' AS source, {visible("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title,
   {HOST} AS company, regexp_extract(html, '<html lang="([^"]*)"', 1) AS location, url, {posted('page_id')} AS posted_at,
-  left({visible("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}, 800) AS summary FROM pages)"""
+  {visible("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS summary FROM pages)"""
 SQL["page_articles"] = f"""WITH {ARTICLES} SELECT seq, title, company, location, url, summary, {stamp('posted_at')} AS posted FROM l"""
 SQL["top_listings"] = f"""WITH {ARTICLES}, {ranked(PAGE_RULES)} SELECT place, seq, title, company, location, url,
   CAST(match_score AS BIGINT) AS match_score, CAST(freshness_rank AS BIGINT) AS freshness_rank,
@@ -278,24 +278,24 @@ _LEVEL = strip("t || ' Niveau d''études: Bac+5'")
 _POSTED = "'posted ' || n || ' days ago.'"
 # kind: where, title, company, location, url, posted, summary
 EXTRACTED = {
-    "json_ld": ("true", "t", "source", "lang || ' X'", "site || '/offre/' || doc_id", "dated", "left(body, 800)"),
+    "json_ld": ("true", "t", "source", "lang || ' X'", "site || '/offre/' || doc_id", "dated", "body"),
     "cards": ("t = '' OR length(t) >= 4", "CASE WHEN t = '' THEN 'open' ELSE t END", "source", "lang",
-              "site || '/offre?id=' || doc_id", "dated", f"left({_words('t', q('open'), 'source', 'lang', 'body')}, 1000)"),
-    "wordpress": ("length(t) >= 6", "t", "'Unknown Company'", "lang", "site || '/offre/' || doc_id", "dated", "left(body, 800)"),
+              "site || '/offre?id=' || doc_id", "dated", f"{_words('t', q('open'), 'source', 'lang', 'body')}"),
+    "wordpress": ("length(t) >= 6", "t", "'Unknown Company'", "lang", "site || '/offre/' || doc_id", "dated", "body"),
     "rekrute": ("true", f"coalesce(nullif({strip(chr(114) + 'eplace(t, ' + q('|') + ', ' + q('/') + ')')}, ''), {_PIPE})",
                 "source || ' group'", "lang",
                 "site || '/offre-emploi-x-recrutement-' || source || '-group-' || lang || '-' || doc_id || '.html?r=1'",
                 "NULL::TIMESTAMP", _PIPE),
     "marocannonces": ("true", f"coalesce(nullif(t, ''), {_LEVEL})", "'Unknown Company'", "lang",
                       "site || '/list/cat/annonce/' || doc_id || '/x.html'", _SAID,
-                      f"left({_words(_POSTED, _LEVEL, 'body')}, 800)"),
+                      f"{_words(_POSTED, _LEVEL, 'body')}"),
     "talent": (f"length({strip('regexp_replace(t, ' + q(WS + '+') + ', chr(32), chr(103))')}) >= 6",
                "trim(regexp_replace(t, '" + WS + "+', ' ', 'g'))", "'Talent Co'", "lang", "site || '/view?id=' || doc_id", _SAID,
-               f"left({_words(_POSTED, 't', q('view'), 'body')}, 600)"),
+               f"{_words(_POSTED, 't', q('view'), 'body')}"),
     "successfactors": ("true", "CASE WHEN length(t) >= 6 THEN t ELSE 'again again' END", "'Unknown Company'", "lang",
                        "site || '/JobDetail/' || doc_id", _SAID,
-                       f"left({_words(_POSTED, 't', q('again again'), 'body')}, 600)"),
-    "rss": ("length(t) >= 4", "t", "source", "lang", "'https://f.example/' || doc_id", "dated", "left(body, 800)"),
+                       f"{_words(_POSTED, 't', q('again again'), 'body')}"),
+    "rss": ("length(t) >= 4", "t", "source", "lang", "'https://f.example/' || doc_id", "dated", "body"),
 }
 for _kind, (_where, _title, _company, _location, _url, _at, _summary) in EXTRACTED.items():
     SQL[f"extract_{_kind}"] = f"""WITH {DOCS} SELECT doc_id * 2147483648 AS seq, source, {_title} AS title, {_company} AS company,
@@ -362,7 +362,7 @@ SQL["undated_groups"] = f"""WITH {LISTINGS} SELECT url AS detail_url, count(*) A
 SQL["date_check"] = f"""WITH {LISTINGS}, k AS (SELECT l.seq, {key_of()} AS key, url, posted_at,
     CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) AS n FROM l),
   pairs AS (SELECT DISTINCT key, url, n FROM k WHERE posted_at IS NULL AND key NOT IN (SELECT key FROM k WHERE seq % 10 = 0)),
-  cand AS (SELECT DISTINCT url, n FROM pairs ORDER BY url LIMIT 20),
+  cand AS (SELECT DISTINCT url, n FROM pairs),
   checked AS (SELECT url, CASE WHEN n % 4 <> 1 THEN {NOW} - to_days(CAST(n % 30 + 1 AS INTEGER)) END AS found FROM cand WHERE n % 3 <> 0)
   SELECT k.seq, {stamp('coalesce(k.posted_at, p.found)')} AS posted FROM k
   LEFT JOIN (SELECT key, pairs.url, found FROM pairs JOIN checked USING (url)) p
@@ -388,5 +388,18 @@ WORDPRESS = f"""{DOCS}, l AS (SELECT doc_id * 2147483648 AS seq, source, {_WP[1]
   {_WP[4]} AS url, dated AS posted_at, {_WP[6]} AS summary FROM d WHERE {_WP[0]})"""
 _DIGEST_OUT = "SELECT place, chunk, title, url, description, color, company, posted, score, skills, source FROM d2"
 SQL["alert_run_batch"] = f"WITH {WORDPRESS}, {ranked(RULES)}, {digest(40).replace('d AS', 'd2 AS', 1)} {_DIGEST_OUT}"
-SQL["incremental_alerts"] = f"WITH {WORDPRESS}, {ranked(RULES)}, {digest().replace('d AS', 'd2 AS', 1)} {_DIGEST_OUT}"
+SQL["incremental_alerts"] = "\nUNION ALL ".join(
+    f"SELECT * FROM (WITH {WORDPRESS}, {ranked(RULES)}, {digest(40 * (n + 1)).replace('d AS', 'd2 AS', 1)} "
+    f"{_DIGEST_OUT.replace('SELECT ', f'SELECT CAST({n} AS BIGINT) AS batch, ')})" for n in range(3))
 SQL["ttl_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+SQL["page_errors"] = """SELECT doc_id AS task_id, source,
+  CASE doc_id % 3 WHEN 1 THEN 'not well-formed XML' ELSE 'not a feed' END AS error FROM documents WHERE doc_id % 3 > 0"""
+SQL["extract_many_cards"] = """SELECT doc_id // 150 AS task_id, 'Offer ' || doc_id AS title,
+  'https://site.example/o/' || doc_id AS url FROM documents"""
+SQL["extract_late_words"] = f"""WITH {DOCS} SELECT doc_id AS task_id,
+  sha256({_words(q('Offer at the end'), 'body', "'posted ' || n || chr(160) || 'days ago'")}) AS summary_sha FROM d"""
+SQL["extract_loose_feeds"] = """SELECT doc_id AS task_id, 'R&D' || chr(160) || 'café ' || doc_id AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://f.example/' || doc_id ELSE '' END AS url, 'a & b & c' AS summary FROM documents"""
+SQL["extract_atom"] = f"""WITH {DOCS} SELECT doc_id AS task_id, 'Entry ' || doc_id AS title, source AS company,
+  'https://f.example/' || doc_id AS url, {stamp('dated')} AS posted, lang AS summary FROM d"""

@@ -84,7 +84,7 @@ def truncate(spark, sf_dir):
 @query
 def url_join(spark, sf_dir):
     anchors = elements(with_dom(_pages(spark, sf_dir)), "page_id", "url").where("tag = 'a'")
-    word = F.substring(F.col("attrs")["href"], 2, 10000)
+    word = F.substring(F.col("attrs")["href"], 2, 2_000_000_000)
     refs = F.array(*[F.concat(F.lit(p), word) for p in ("/", "", "?q=", "#", "//o.example/", "../", "x/../y/./")])
     return anchors.select("page_id", "pos", "url", F.posexplode(refs).alias("form", "ref")).select(
         "page_id", _long("pos"), _long("form"), text.url_join(F.col("url"), F.col("ref")).alias("joined"))
@@ -339,6 +339,64 @@ def extract_all_kinds(spark, sf_dir):
     return rows.select("seq", "title", "url")
 
 
+@query
+def page_errors(spark, sf_dir):
+    """Feeds, every third of them broken in one of two ways; the readable ones give no row."""
+    whole = I.page_html("rss")
+    html = F.when(F.col("doc_id") % 3 == 1, F.replace(whole, F.lit("</item>"), F.lit("</itm>"))).when(
+        F.col("doc_id") % 3 == 2, F.lit("<p>moved</p>")).otherwise(whole)
+    return extract.page_errors(I.document_pages(spark, sf_dir, "rss", html)).select("task_id", "source", "error")
+
+
+@query
+def extract_many_cards(spark, sf_dir):
+    """Pages of 150 cards, one card per document."""
+    docs = I.table(spark, sf_dir, "documents")
+    card = F.concat(F.lit('<li data-job-id="1"><h2>Offer '), F.col("doc_id").cast("string"), F.lit('</h2><a href="/o/'),
+                    F.col("doc_id").cast("string"), F.lit('">open</a></li>'))
+    # at most 150 cards to a page, whatever the table holds
+    pages = docs.groupBy(F.expr("doc_id div 150").alias("task_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", card.alias("card")))), lambda c: c["card"]), "").alias("html"))
+    rows = extract.extract_listings(pages.select(
+        "task_id", F.lit("site").alias("source"), F.lit(None).cast("string").alias("kind"), F.lit("https://site.example/").alias("page_url"),
+        F.lit("Morocco").alias("default_location"), F.lit("").alias("company_hint"), "html"), I.as_of())
+    return rows.select("task_id", "title", "url")
+
+
+@query
+def extract_late_words(spark, sf_dir):
+    """Cards whose whole text stands before a date and an address at the end."""
+    html = F.concat(F.lit('<article><a href="cat/annonce/'), F.col("doc_id").cast("string"), F.lit('/x.html">Offer at the end</a><p>'),
+                    I.escaped(F.col("text")), F.lit("</p><b>posted "), F.col("days"), F.lit("\u00a0days ago</b></article>"))
+    rows = extract.extract_listings(I.document_pages(spark, sf_dir, "marocannonces", html), I.as_of())
+    return rows.select("task_id", F.sha2("summary", 256).alias("summary_sha"))
+
+
+@query
+def extract_loose_feeds(spark, sf_dir):
+    """Feeds as they are met: blanks in front, names of HTML, bare ampersands, CDATA, links only as identifiers."""
+    number = F.col("doc_id").cast("string")
+    guid = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<guid>https://f.example/"), number, F.lit("</guid>"))).otherwise(
+        F.concat(F.lit('<guid isPermaLink="false">'), number, F.lit("</guid>")))
+    html = F.concat(F.lit('\n  <?xml version="1.0"?><rss version="2.0"><channel><item><title>R&D&nbsp;caf&eacute; '), number,
+                    F.lit("</title>"), guid, F.lit("<description><![CDATA[<p>a &amp; b & c</p>]]></description></item></channel></rss>"))
+    rows = extract.extract_listings(I.document_pages(spark, sf_dir, "rss", html), I.as_of())
+    return rows.select("task_id", "title", "url", "summary")
+
+
+@query
+def extract_atom(spark, sf_dir):
+    """Atom feeds with one entry per document."""
+    number = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Entry '), number,
+        F.lit('</title><link rel="self" href="/self"/><link href="https://f.example/'), number, F.lit('"/><author><name>'), F.col("source"),
+        F.lit("</name></author><updated>"), F.coalesce("stamp", F.lit("")), F.lit('</updated><summary type="text">'), I.escaped(F.col("lang")),
+        F.lit("</summary></entry></feed>"))
+    rows = extract.extract_listings(I.document_pages(spark, sf_dir, "rss", html), I.as_of())
+    return rows.select("task_id", "title", "company", "url", I.stamp_text(F.col("posted_at")).alias("posted"), "summary")
+
+
 @query
 def detail_dates(spark, sf_dir):
     pages = I.document_pages(spark, sf_dir, "detail", I.page_html("detail")).select("task_id", "html")
@@ -435,7 +493,7 @@ def date_check(spark, sf_dir):
                           (F.col("n") % 3 != 0).alias("ok"), html.alias("html"))
     seen = found.where("seq % 10 = 0").select("dedupe_key")
     pairs = verify.unseen_undated(found, seen)
-    checked = verify.check_dates(verify.date_check_candidates(pairs, 20), pages, I.as_of())
+    checked = verify.check_dates(verify.date_check_candidates(pairs), pages, I.as_of())
     return verify.apply_dates(found, pairs, written(checked, "checked")).select(
         "seq", I.stamp_text(F.col("posted_at")).alias("posted"))
 
@@ -509,13 +567,21 @@ def alert_run_batch(spark, sf_dir):
 
 @query
 def incremental_alerts(spark, sf_dir):
-    """The same as a stream over page files."""
-    path, out = new_path(spark, "pages"), new_path(spark, "alerts")
-    _alert_pages(spark, sf_dir).write.parquet(path)
+    """Every page in three micro-batches, on a store that a batch run has filled before.
+
+    The first batch repeats the pages of the run, so it alerts what comes after its top; the
+    others carry on from there.
+    """
+    out, log = new_path(spark, "alerts"), new_path(spark, "alerts-log")
+    pages, path = _alert_pages(spark, sf_dir), new_path(spark, "pages")
     store = state.SeenStore(spark, new_path(spark, "state"))
-    incremental.incremental_alerts(
-        incremental.page_stream(spark, path), store, out, lambda _: I.as_of(), I.RULES, I.SETTINGS).awaitTermination()
-    return _digest_out(spark.read.parquet(out))
+    finish(alert_run(pages, store.read(), I.as_of(), I.RULES, I.SETTINGS), store, lambda messages: True)
+    for _ in range(3):
+        pages.write.mode("append").parquet(path)
+        incremental.incremental_alerts(
+            incremental.page_stream(spark, path), store, out, lambda _: I.as_of(), log, I.RULES, I.SETTINGS).awaitTermination()
+    rows = spark.read.parquet(out)
+    return _digest_out(rows).withColumn("batch", rows["batch"].cast("long"))
 
 
 @query

@@ -3,11 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from conftest import AS_OF
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from alertloom.config import Rules, Settings
-from alertloom.plans.alert_run import run
+from alertloom.plans.alert_run import alert_run, finish, run
 from alertloom.sources import seen as S
 from alertloom.sources.seen import SeenStore
 from alertloom.streaming.incremental import PAGES_SCHEMA, drain, first_alert_per_key, incremental_alerts, page_stream
@@ -60,8 +62,10 @@ def test_versions(spark, tmp_path):
     one = spark.createDataFrame([("a", "t")], S.SEEN_SCHEMA)
     assert store.write(one) == 1
     assert store.write(store.read().unionByName(one.select(F.lit("b").alias("dedupe_key"), "first_seen"))) == 2
-    (tmp_path / "state" / "version=3").mkdir()  # a write that never finished
-    assert store.versions() == [1, 2] and store.read().count() == 2 and store.read(before=2).count() == 1
+    (tmp_path / "state" / "version=9").mkdir()  # a write that never finished
+    assert store.versions() == [1, 2] and store.read().count() == 2
+    assert store.write(one, tag="job-0") == 3 and store.read().count() == 1 and store.read(not_by="job-0").count() == 2
+    assert store.write(one.limit(0), tag="job-0") == 4 and store.read(not_by="job-0").count() == 2
 
 
 def test_run_end_to_end(spark, tmp_path, as_of):
@@ -115,8 +119,7 @@ def test_stream_of_pages(spark, tmp_path, as_of):
 
     def go():
         stream = page_stream(spark, str(tmp_path / "pages"), files_per_batch=1)
-        incremental_alerts(stream, store, out, lambda _: as_of, RULES, Settings(),
-                           checkpoint=str(tmp_path / "log")).awaitTermination()
+        incremental_alerts(stream, store, out, lambda _: as_of, str(tmp_path / "log"), RULES, Settings()).awaitTermination()
         rows = spark.read.parquet(out).select("batch", "title").collect()
         return sorted((r.batch, r.title) for r in rows)
 
@@ -127,6 +130,45 @@ def test_stream_of_pages(spark, tmp_path, as_of):
     assert store.versions() == [1, 2] and store.read().count() == 3
 
 
+def test_stream_shares_a_store_with_runs(spark, tmp_path, as_of):
+    """Batch, stream, batch on one store: no key comes twice, whatever the numbers of batches and versions."""
+    def pages(*names):
+        rows = [(i, "s", "generic", "https://h.example/", "", "", CARD.format(n, 1)) for i, n in enumerate(names)]
+        return spark.createDataFrame(rows, PAGES_SCHEMA)
+
+    store, out, sent = SeenStore(spark, str(tmp_path / "state")), str(tmp_path / "out"), []
+
+    def batch(*names):
+        done = alert_run(pages(*names), store.read(), as_of, RULES, Settings())
+        titles = sorted(r.title for r in done.ranked.collect())
+        finish(done, store, lambda _: True)
+        return titles
+
+    def stream(*names, ok=True, checked=None):
+        pages(*names).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        incremental_alerts(page_stream(spark, str(tmp_path / "pages")), store, out, lambda _: as_of, str(tmp_path / "log"), RULES, Settings(),
+                           lambda m: sent.append([r.message for r in m.collect()]) or ok, checked).awaitTermination()
+
+    assert batch("a") == ["Stage Java a"] and batch("b") == ["Stage Java b"]
+    stream("a", "b", "c")
+    assert len(sent) == 1 and "Stage Java c" in sent[0][0] and "Stage Java a" not in sent[0][0]
+    assert batch("a", "b", "c", "d") == ["Stage Java d"]
+    # a batch that is not delivered stops the stream and comes again
+    with pytest.raises(StreamingQueryException, match="not delivered"):
+        stream("e", ok=False)
+    assert store.read().count() == 4
+    stream("f")
+    assert ["Stage Java e" in m[0] for m in sent] == [False, True, True, False] and "Stage Java f" in sent[3][0]
+    # undated rows are looked up as in a run
+    undated = '<div class="job"><a href="/{0}">Stage Java {0}</a> casablanca</div>'
+    spark.createDataFrame([(1, "s", "generic", "https://h.example/", "", "", undated.format("g") + undated.format("h"))], PAGES_SCHEMA) \
+        .coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    details = spark.createDataFrame([("https://h.example/g", True, "<p>2026-08-24</p>"), ("https://h.example/h", True, "<p>no</p>")],
+                                    "url string, ok boolean, html string")
+    stream("a", checked=details)
+    assert "Stage Java g" in sent[-1][0] and "Stage Java h" not in sent[-1][0]
+
+
 def test_ttl_dedupe_forgets(spark, tmp_path):
     schema = "key string, ts timestamp_ntz, n int"
     path = str(tmp_path / "events")

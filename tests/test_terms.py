@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from alertloom.functions.terms import any_sql, let_sql, low_sql, matched
 
 PROBES = [
-    ("intern", "International Sales Director", False), ("intern", "international company", False),
-    ("intern", "Business Intern wanted", True), ("internship", "Summer internship 2026", True),
-    ("java", "We use JavaScript everywhere", False), ("java", "Java backend developer", True),
-    ("java", "Java/Spring stack", True), ("c++", "Requires C++ experience", True),
-    ("c++", "Requires C programming", False), ("C++", "C++17", True), (".net", "ASP.NET developer", True),
-    ("node.js", "node.js runtime", True), ("stage", "Stage PFE Casablanca", True),
-    ("IT", "Stage IT Casablanca", True), ("IT", "Apply for it today", False), ("", "anything", False),
-    ("développement", "Le DÉVELOPPEMENT web", True), ("développement", "sousdéveloppement", False),
-    ("stage", "ſtage", True), ("intern", "İntern", True), ("intern", "ıntern", True), ("CI/CD", "ci/cd", True),
-    ("pré-embauche", "Stage PRÉ-EMBAUCHE.", True), ("big data", "bigger data, big database", False),
-    ("full  stack", "Full Stack", True), ("stage", "stage_2", False), ("étude", "Étude", True),
+    ("ox", "an oxbow lake", False), ("ox", "boxing", False), ("ox", "the ox, of course", True), ("ox", "OX", True),
+    ("sea salt", "sea  salt", False), ("sea  salt", "Sea Salt cellar", True), ("sea salt", "sea salts", False),
+    ("f#", "written in F#.", True), ("f#", "f# minor", True), ("f#", "ff#", False), (".md", "readme.md", True), (".md", "md", False),
+    ("a+b", "ka+b", False), ("a+b", "a+b=c", True), ("x/y", "max/yes", False), ("x/y", "(X/Y)", True),
+    ("IT", "the IT crowd", True), ("IT", "leave it", False), ("", "anything", False), ("é", "É!", True), ("été", "un été", True),
+    ("été", "répété", False), ("stage", "ſtage", True), ("intern", "İntern", True), ("intern", "ıntern", True), ("ox", "ox_2", False),
+    ("mi-temps", "Poste à MI-TEMPS.", True),
 ]
 
 
