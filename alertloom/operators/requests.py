@@ -73,13 +73,17 @@ def lane_plan(requests: DataFrame, delay_seconds: float, max_lanes: int) -> Data
     )
 
 
+FEW_RULES = 200
+
+
 def url_policy(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``allowed`` to rows with a unique ``id`` and a ``url``.
 
     ``rules`` has ``host, rule_pos, prefix, allow``.  The first rule of the host whose
-    prefix starts the path decides; no rule allows, no host refuses.  A path is compared
-    by equality with the prefix lengths its host uses, so a host with many addresses and
-    many rules is a plain equi-join and never a product of the two.
+    prefix starts the path decides; no rule allows, no host refuses.  The rules of a host
+    with at most ``FEW_RULES`` of them are a list that is looked through in the row, after
+    one join with a row per host.  Only addresses on hosts with more rules are compared by
+    equality with the prefix lengths that their host uses.
     """
     root = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
     path = F.regexp_replace(F.regexp_replace("url", root, ""), "#.*$", "")
@@ -88,10 +92,22 @@ def url_policy(urls: DataFrame, rules: DataFrame) -> DataFrame:
     unique = rules.groupBy("host", "prefix").agg(
         F.min("rule_pos").alias("rule_pos"), F.min_by("allow", "rule_pos").alias("allow")
     )
+    sizes = unique.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+    # at most FEW_RULES rules to a list
+    lists = (
+        unique.join(sizes.where(F.col("_n") <= FEW_RULES), "host").groupBy("host")
+        .agg(F.array_sort(F.collect_list(F.struct("rule_pos", "prefix", "allow"))).alias("_rules"))
+    )
+    many = sizes.where(F.col("_n") > FEW_RULES).select("host")
+    first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_path"), r.prefix)), F.lit(0))
+    few_decided = located.join(many, "host", "left_anti").join(lists, "host", "left").withColumn(
+        "_allow", first["allow"]).drop("_rules")
+
+    rest = located.join(many, "host", "left_semi")
     # at most as many lengths per host as an address has characters
-    lengths = unique.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    lengths = unique.join(many, "host", "left_semi").groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
     tried = (
-        located.select("id", "host", "_path")
+        rest.select("id", "host", "_path")
         .join(lengths, "host")
         .select("id", "host", F.explode(F.transform(
             F.filter("_lengths", lambda n: n <= F.length("_path")), lambda n: F.left(F.col("_path"), n)
@@ -102,17 +118,27 @@ def url_policy(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.min_by("allow", "rule_pos").alias("_allow"))
     )
+    every = few_decided.unionByName(rest.join(verdicts, "id", "left"))
     decided = F.when(F.col("host") == "", False).otherwise(F.coalesce("_allow", F.lit(True)))
-    return located.join(verdicts, "id", "left").withColumn("allowed", decided).drop("_path", "_allow")
+    return every.withColumn("allowed", decided).select(*urls.columns, "host", "allowed")
+
+
+PLAN_COLUMNS = ("source", "kind", "url", "default_location", "company")
 
 
 def fetched_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Requests with the page that answered them; failed and missing ones fall away.
 
-    ``pages`` has ``id, ok, final_url, html``.
+    ``pages`` has ``id, ok, final_url, html``.  Pages that also carry the request's own
+    columns (``PLAN_COLUMNS``, as a crawler that keeps the plan beside its answers writes
+    them) need no join, so ``html`` is never moved.
     """
-    good = pages.where("ok").select("id", "final_url", "html")
-    return requests.join(good, "id").select(
+    good = pages.where("ok")
+    if set(PLAN_COLUMNS) <= set(pages.columns):
+        answered = good.select("id", *PLAN_COLUMNS, "final_url", "html")
+    else:
+        answered = requests.join(good.select("id", "final_url", "html"), "id")
+    return answered.select(
         F.col("id").alias("task_id"),
         "source",
         "kind",

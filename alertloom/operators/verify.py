@@ -33,13 +33,12 @@ def date_check_candidates(pairs: DataFrame, limit: int | None = None) -> DataFra
 def check_dates(candidates: DataFrame, detail_pages: DataFrame, as_of: Column, day_first: bool = False) -> DataFrame:
     """``detail_url, found_at`` of the candidates whose page was fetched.
 
-    ``detail_pages`` has ``url, ok, html``.  Pages are cut down to the candidates before
-    their trees are built.
+    ``detail_pages`` has ``url, ok, html``.  Dates are read on the scan, and only they are
+    joined with the candidates, so ``html`` is never moved.
     """
     good = detail_pages.where("ok").select(F.col("url").alias("detail_url"), "html")
-    asked = good.join(candidates, "detail_url", "left_semi")
-    dated = detail_dates(asked, as_of, day_first)
-    return dated.groupBy("detail_url").agg(F.min("found_at").alias("found_at"))
+    dated = detail_dates(good, as_of, day_first).groupBy("detail_url").agg(F.min("found_at").alias("found_at"))
+    return dated.join(candidates, "detail_url", "left_semi")
 
 
 def apply_dates(matched: DataFrame, pairs: DataFrame, checked: DataFrame) -> DataFrame:

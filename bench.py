@@ -23,7 +23,8 @@ HEADLINE = (
     "extract_wordpress", "extract_json_ld", "extract_rss", "default_rules", "term_matches", "relevance", "score",
     "infer_date", "parse_date", "best_per_key", "collapse_url_company", "rank_topn", "rank_documents", "anti_seen",
     "digest_messages", "request_plan_all", "lane_plan_pages", "url_policy_pages", "source_breakdown", "date_check",
-    "seen_prune", "ttl_dedupe", "alert_run_batch",
+    "seen_prune", "ttl_dedupe", "alert_run_batch", "extract_many_cards", "extract_loose_feeds", "page_errors", "seen_versions",
+    "funnel", "incremental_alerts",
 )
 
 

@@ -403,3 +403,4 @@ SQL["extract_loose_feeds"] = """SELECT doc_id AS task_id, 'R&D' || chr(160) || '
   CASE WHEN doc_id % 2 = 0 THEN 'https://f.example/' || doc_id ELSE '' END AS url, 'a & b & c' AS summary FROM documents"""
 SQL["extract_atom"] = f"""WITH {DOCS} SELECT doc_id AS task_id, 'Entry ' || doc_id AS title, source AS company,
   'https://f.example/' || doc_id AS url, {stamp('dated')} AS posted, lang AS summary FROM d"""
+SQL["page_scan_planned"] = SQL["page_scan"]

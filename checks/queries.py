@@ -442,6 +442,16 @@ def url_policy_pages(spark, sf_dir):
     return url_policy(pages.select(F.col("page_id").alias("id"), "url"), I.path_rules(pages)).select("id", "host", "allowed")
 
 
+@query
+def page_scan_planned(spark, sf_dir):
+    """Pages that carry their request's columns."""
+    pages = I.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.lit("s").alias("source"), F.lit("generic").alias("kind"), "url", F.lit("Morocco").alias("default_location"),
+        F.lit("").alias("company"), (F.col("page_id") % 4 != 0).alias("ok"), "html",
+        F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat("url", F.lit("/moved"))).alias("final_url"))
+    return fetched_pages(pages, pages).select("task_id", "page_url", F.sha2("html", 256).alias("html_sha"))
+
+
 @query
 def page_scan(spark, sf_dir):
     pages = I.table(spark, sf_dir, "pages")
