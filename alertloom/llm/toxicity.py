@@ -317,10 +317,10 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic (0 or 1) of the labelled rows outside fold 2."""
+    """doc_id, text and toxic (0 or 1) of the labelled rows outside fold 2; ``labels`` is a bounded sample."""
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     marks = marks.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold_of() != 2)
-    return narrow(documents).select("doc_id", whole().alias("text")).join(marks, "doc_id")
+    return narrow(documents).select("doc_id", whole().alias("text")).join(F.broadcast(marks), "doc_id")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
