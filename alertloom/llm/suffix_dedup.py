@@ -36,8 +36,8 @@ SPAN = 400
 SEED = 48
 PART = 1 << 20
 POS_BITS = 21
-MOST_BLOCKS = 2000
-TASK_BYTES = 2_000_000
+MOST_BLOCKS = 1000
+TASK_BYTES = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15 | 1
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 777_767_777)
