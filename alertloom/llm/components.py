@@ -18,27 +18,22 @@ def components(links: DataFrame) -> DataFrame:
     Links fall fast from round to round.  A node with many links is one row per task
     after map-side minima.
     """
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(),
-                    "links")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     labels = None
     for _ in range(ROUNDS):
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).select(
             "node", F.least("node", "parent").alias("parent"))
-        parents = written(parents, "parents")
-        if parents.isEmpty():
-            break
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         jumped = written(parents.join(up, "parent").select("node", F.col("above").alias("parent")), "parents")
         if labels is None:
             labels = jumped.select("node", F.col("parent").alias("component"))
         else:
             step = jumped.select(F.col("node").alias("component"), "parent")
-            labels = written(labels.join(step, "component", "left").select(
-                "node", F.coalesce("parent", "component").alias("component")), "labels")
+            labels = labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
         left, right = (jumped.select(F.col("node").alias(n), F.col("parent").alias(f"{n}_top")) for n in ("a", "b"))
         links = written(links.join(left, "a").join(right, "b").select(
             F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).filter("a < b").distinct(), "links")
-    else:
-        raise RuntimeError("the links did not contract")
-    return labels if labels is not None else parents.select("node", F.col("parent").alias("component"))
+        if links.isEmpty():
+            return labels
+    raise RuntimeError("the links did not contract")
