@@ -559,8 +559,8 @@ def _alert_pages(spark, sf_dir) -> DataFrame:
     return I.document_pages(spark, sf_dir, "wordpress", I.page_html("wordpress"))
 
 
-def _digest_out(rows: DataFrame) -> DataFrame:
-    return rows.select(_long("place"), _long("chunk"), "title", "url", "description", _long("color"), "company", "posted",
+def _digest_out(rows: DataFrame, *more) -> DataFrame:
+    return rows.select(*more, _long("place"), _long("chunk"), "title", "url", "description", _long("color"), "company", "posted",
                        "score", "skills", "source")
 
 
@@ -590,8 +590,7 @@ def incremental_alerts(spark, sf_dir):
         pages.write.mode("append").parquet(path)
         incremental.incremental_alerts(
             incremental.page_stream(spark, path), store, out, lambda _: I.as_of(), log, I.RULES, I.SETTINGS).awaitTermination()
-    rows = spark.read.parquet(out)
-    return _digest_out(rows).withColumn("batch", rows["batch"].cast("long"))
+    return _digest_out(spark.read.parquet(out), _long("batch"))
 
 
 @query
