@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.components import components
@@ -26,11 +26,15 @@ from alertloom.session import written
 LEADER_ROUNDS = 2
 
 
-def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS) -> DataFrame:
+def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS,
+           alike: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """node and component of the nodes of ``posts`` (node long, key long) that have a link.
 
-    ``look`` takes distinct pairs (a, b: long) and returns those that are linked.
+    ``look`` takes distinct pairs (a, b: long) and returns those that are linked.  ``alike``
+    tells from the nodes' ``mark`` and the key's ``place``, two further columns of ``posts``, which
+    pairs are worth a look under this key; the last step then emits no others.
     """
+    carried = ["mark", "place"] if alike else []
     links: list[DataFrame] = []
     found = None
 
@@ -44,8 +48,8 @@ def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int
 
     def still_open(of: DataFrame) -> DataFrame:
         """Posts with components, under the keys that hold more than one."""
-        labelled = of.select("node", "key").join(found, "node", "left").select(
-            "node", "key", F.coalesce("component", "node").alias("component"))
+        labelled = of.select("node", "key", *carried).join(found, "node", "left").select(
+            "node", "key", *carried, F.coalesce("component", "node").alias("component"))
         keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         return written(labelled.join(keys.select("key"), "key", "left_semi"), "open_posts")
 
@@ -66,7 +70,10 @@ def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most")).select(
         "key", F.col("most.component").alias("largest"))
     outside = still.join(largest, "key").filter("component <> largest").select(
-        "key", F.col("node").alias("other"), F.col("component").alias("apart"))
-    compare(still.join(outside, "key").filter("component <> apart").select(
+        "key", F.col("node").alias("other"), F.col("component").alias("apart"), *[F.col("mark").alias("other_mark")] * bool(alike))
+    met = (still["key"] == outside["key"]) & (F.col("component") != F.col("apart"))
+    if alike:
+        met = met & alike(F.col("mark"), F.col("other_mark"), F.col("place"))
+    compare(still.join(outside, met).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     return found

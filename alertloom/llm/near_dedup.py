@@ -35,6 +35,7 @@ from alertloom.session import written
 COORDINATES = 24
 MATCHES = 11
 SEED = 9
+KEPT_SETS = 2000
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = 0xD6E8FEB86659FD93
 
@@ -129,22 +130,28 @@ def signed(documents: DataFrame, words: int, coordinates: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep, last, left = [], None, None
-        for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-            if a != last or left is None:
-                last, left = a, shingle_set(text_a.as_py(), words)
-            right = shingle_set(text_b.as_py(), words)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * both >= percent * (len(left) + len(right) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep))
+    def setup():
+        shingles = lru_cache(KEPT_SETS)(lambda text: shingle_set(text, words))
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keep = []
+            for text_a, text_b in zip(batch.column(2), batch.column(3)):
+                left, right = shingles(text_a.as_py()), shingles(text_b.as_py())
+                both = 0
+                if 100 * min(len(left), len(right)) >= percent * max(len(left), len(right)):
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return work
 
     of = {n: texts.select(F.col("rep").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b")}
-    return batches(pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", "text_a", "text_b"), work, "a long, b long")
+    return batches(pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", "text_a", "text_b"), None, "a long, b long", setup)
 
 
-def agreeing(matches: int) -> Column:
-    return F.expr(f"size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), z -> z)) >= {matches}")
+def agreeing(a: Column, b: Column, matches: int) -> Column:
+    """Whether two signatures agree in at least ``matches`` coordinates."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= matches
 
 
 def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES,
@@ -179,12 +186,19 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, coordin
     sigs = {n: suspects.select(F.col("rep").alias(n), F.col("sig").alias(f"sig_{n}")) for n in ("a", "b")}
 
     def look(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sigs["b"], "b").join(sigs["a"], "a").filter(agreeing(matches)).select("a", "b").distinct()
+        near = pairs.join(sigs["b"], "b").join(sigs["a"], "a").filter(agreeing(F.col("sig_a"), F.col("sig_b"), matches)).select(
+            "a", "b").distinct()
         return confirmed(near, texts, words, percent)
 
     prefix = coordinates - matches + 1
-    found = linked(written(suspects.select(F.col("rep").alias("node"), F.posexplode(F.slice("sig", 1, prefix)).alias("place", "value"))
-                           .select("node", F.xxhash64("place", "value").alias("key")), "posts"), look)
+    posts = suspects.select(F.col("rep").alias("node"), F.col("sig").alias("mark"), F.posexplode(F.slice("sig", 1, prefix)).alias("place", "value"))
+
+    def first_met(a: Column, b: Column, place: Column) -> Column:
+        """Enough coordinates agree, and this is the first of them, so that a pair is met once."""
+        return agreeing(a, b, matches) & (F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) == place + 1)
+
+    found = linked(written(posts.select("node", F.xxhash64("place", "value").alias("key"), "mark", "place"), "posts"), look,
+                   alike=first_met)
     named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
     result = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
