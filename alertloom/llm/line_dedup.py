@@ -74,8 +74,6 @@ def within(a: str, b: str, edits: int) -> Column:
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
-    m, n = F.length(a), F.length(b)
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
 
     def long(value: int) -> Column:
         return F.lit(value).cast("long")
@@ -83,34 +81,40 @@ def within(a: str, b: str, edits: int) -> Column:
     def inverse(vector: Column) -> Column:
         return vector.bitwiseXOR(long(full))
 
-    def equal_rows(at: Column) -> Column:
-        letter = F.get(letters_b, at)
-        bits = long(0)
-        for k in range(width):
-            bits += F.when(F.get(letters_a, at + (k - edits)) == letter, long(1 << k)).otherwise(long(0))
-        return bits
-
     def bit_at(vector: Column, place: Column) -> Column:
         return F.getbit(vector, F.greatest(place, F.lit(0))).cast("int")
 
-    def column_step(state: Column, cell: Column) -> Column:
-        eq, at, vp, vn = cell["eq"], cell["at"], state["vp"], state["vn"]
-        same = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(long(full))
-
-        def following(zero: Column) -> Column:
-            rise, fall = vn.bitwiseOR(inverse(zero.bitwiseOR(vp))), zero.bitwiseAND(vp)
-            down = F.shiftrightunsigned(zero, 1)
-            last = m - at + F.lit(edits - 1)  # the bit of the last row, once the band has reached it
-            change = F.when(at < m - edits, 1 - bit_at(zero, F.lit(2 * edits))).when(
-                last >= 0, bit_at(rise, last) - bit_at(fall, last)).otherwise(0)
-            return F.struct(fall.bitwiseOR(inverse(down.bitwiseOR(rise))).alias("vp"), down.bitwiseAND(rise).alias("vn"),
-                            (state["score"] + change).alias("score"))
-
-        return F.get(F.transform(F.array(same), following), F.lit(0))
-
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda at: F.struct(at.alias("at"), equal_rows(at).alias("eq")))
-    start = F.struct(long(full & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("score"))
-    score = F.aggregate(cells, start, column_step, lambda state: state["score"])
+    def distance(text: Column) -> Column:
+        def equal_rows(at: Column) -> Column:
+            letter = F.get(text["b"], at)
+            bits = long(0)
+            for k in range(width):
+                bits += F.when(F.get(text["a"], at + (k - edits)) == letter, long(1 << k)).otherwise(long(0))
+            return bits
+
+        def column_step(state: Column, cell: Column) -> Column:
+            eq, at, vp, vn = cell["eq"], cell["at"], state["vp"], state["vn"]
+            same = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(long(full))
+
+            def following(zero: Column) -> Column:
+                rise, fall = vn.bitwiseOR(inverse(zero.bitwiseOR(vp))), zero.bitwiseAND(vp)
+                down = F.shiftrightunsigned(zero, 1)
+                last = text["m"] - at + F.lit(edits - 1)  # the bit of the last row, once the band has reached it
+                change = F.when(at < text["m"] - edits, 1 - bit_at(zero, F.lit(2 * edits))).when(
+                    last >= 0, bit_at(rise, last) - bit_at(fall, last)).otherwise(0)
+                return F.struct(fall.bitwiseOR(inverse(down.bitwiseOR(rise))).alias("vp"), down.bitwiseAND(rise).alias("vn"),
+                                (state["score"] + change).alias("score"))
+
+            return F.get(F.transform(F.array(same), following), F.lit(0))
+
+        cells = F.transform(F.sequence(F.lit(0), text["n"] - 1), lambda at: F.struct(at.alias("at"), equal_rows(at).alias("eq")))
+        start = F.struct(long(full & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("score"))
+        return F.aggregate(cells, start, column_step, lambda state: state["score"])
+
+    # bound once for each pair: inside a lambda an expression would be worked out again at every step
+    texts = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n")))
+    score = F.get(F.transform(texts, distance), F.lit(0))
+    m, n = F.length(a), F.length(b)
     return F.when(F.abs(m - n) > edits, False).when(F.least(m, n) <= edits, F.levenshtein(a, b) <= edits).otherwise(
         score <= edits)
 
