@@ -38,20 +38,28 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of every run of q code points."""
-    n = len(codes) - q + 1
-    if n <= 0:
+    """A 64-bit hash of every run of q code points, put together from runs of half the length."""
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64)
-    for k in range(q):
-        total *= np.uint64(FACTOR)
-        total += wide[k:k + n]
+    total = polynomial(codes.astype(np.uint64), q)
     total ^= total >> np.uint64(31)
     total *= np.uint64(FACTOR)
     return total ^ (total >> np.uint64(29))
 
 
+def polynomial(codes: np.ndarray, q: int) -> np.ndarray:
+    """Polynomial of every run of q values, modulo 2 ** 64."""
+    if q == 1:
+        return codes
+    half = polynomial(codes, q // 2)
+    total = half[:len(half) - q // 2] * np.uint64(pow(FACTOR, q // 2, 1 << 64))
+    total += half[q // 2:]
+    if q % 2:
+        total = total[:-1] * np.uint64(FACTOR)
+        total += codes[q - 1:]
+    return total
+
+
 class Passages:
     """Windows of passages and a table of their q-grams."""
 
@@ -113,21 +121,30 @@ class Passages:
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of verified places in the plain text."""
         codes = codes_of(plain(text))
-        found = []
+        found, verified = [], {}
         for window, first, last in self.regions(codes):
             item, passage, edits = self.windows[window]
+            if last < -edits:  # more than that of the passage would stand before the text
+                continue
+            if any(first <= at <= last for at in verified.get(window, ())):
+                continue  # the overlapping band has it
             start = max(0, first - edits)
             got = aligned(passage, codes[start:last + len(passage) + edits], edits, last - start + edits)
             if got is not None:
                 found.append((item, start + got[0], start + got[1], got[2]))
+                verified.setdefault(window, []).append(start + got[0])
         return sorted(set(found))
 
 
 def aligned(passage: np.ndarray, region: np.ndarray, edits: int, reach: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of a passage in a region, if within ``edits``.
 
-    Only diagonals 0 to ``reach`` + ``edits`` are filled, one row of the passage at a time.
+    Only diagonals 0 to ``reach`` + ``edits`` are filled, one row of the passage at a time.  A
+    place without any edit is found at once.
     """
+    at = region.tobytes().find(passage.tobytes())
+    if at >= 0 and at % 4 == 0:
+        return at // 4, at // 4 + len(passage), 0
     far = edits + 1
     width = reach + edits + 1
     lane = np.arange(width)
