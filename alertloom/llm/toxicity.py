@@ -44,7 +44,8 @@ SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .*_-][^\W_]){3,}(?![^\W_])")
 DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€*._-]+[^\W\d_]|^[0-9@$!|(€]+[^\W\d_]{2}|([^\W\d_])\1\1")
 EDGES = ".,;:?\"'*#%&)[]{}<>~^/\\=_-"
-SIGNS = "!$@|+(€"
+MARKS = "!|+("
+SIGNS = "$@€"
 DIGITS = re.compile(r"[0-9]{4}|^[0-9.,:]+$")
 
 STARTS = (4, 5, 6)
@@ -131,7 +132,7 @@ class Restorer:
     def word(self, token: str) -> str:
         """What a blank-separated token says: stripped of signs at its edges, read if it is disguised."""
         low = token.lower()
-        core = low.strip(EDGES)
+        core = low.lstrip(EDGES).rstrip(EDGES + MARKS)
         if core.isalpha() and not DRAWN_OUT.search(core):
             return core
         shape = core.rstrip(SIGNS)
