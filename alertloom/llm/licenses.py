@@ -1,26 +1,36 @@
 """Licences of pages: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Statements are the lines of a page that speak of rights at all.  Their words and those of
-the templates are weighted by TF-IDF, counted over all statements, and compared by
-cosine; words meet in a join on the word.  A licence file, or the index page of a
+Statements are the sentences of a page that speak of rights at all; they end with the
+element they stand in.  A statement is compared by TF-IDF cosine with each template: with
+the best window of one to two times the template's words, so that what stands beside a
+notice does not weigh it down.  Words are weighted over the templates, so a statement
+means the same in every table.  A licence file, or the index page of a
 directory, speaks for all that lies below its directory; a page without a statement of
 its own takes the licence of the nearest directory above that has one.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.text import strip_html
+from alertloom.llm.common import text_function
 from alertloom.session import written
 
 # Licence names, and sentences by which they are stated.
 TEMPLATES = {
     "MIT": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy"),
     "Apache-2.0": ("licensed under the apache license version 2.0",),
-    "GPL-3.0": ("this work is licensed under the gnu general public license version 3",),
-    "GPL-2.0": ("this program is licensed under the gnu general public license version 2",),
+    "GPL-3.0": ("this work is licensed under the gnu general public license version 3",
+                "licensed under the gnu general public license version 3"),
+    "GPL-2.0": ("this program is licensed under the gnu general public license version 2",
+                "licensed under the gnu general public license version 2"),
     "LGPL-3.0": ("licensed under the gnu lesser general public license version 3",),
     "AGPL-3.0": ("licensed under the gnu affero general public license version 3",),
     "BSD-3-Clause": ("redistribution and use in source and binary forms with or without modification are permitted",
@@ -30,23 +40,77 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("licensed under cc by sa 4.0", "creative commons attribution sharealike 4.0 license"),
     "CC-BY-NC-4.0": ("licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 license"),
     "CC0-1.0": ("dedicated to the public domain cc0 1.0 universal",),
-    "Proprietary": ("all rights reserved no part may be reproduced without permission",),
+    "Proprietary": ("all rights reserved no part may be reproduced without permission", "all rights reserved"),
 }
 # Words of which a statement holds at least one.
 TRIGGER = r"(?i)licen[sc]e|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e|^copying|^notice|^index\.[a-z]+$|^$"
 LEAST_COSINE = 0.6
-WORD = r"[a-z]+|[0-9]+(\.[0-9]+)*"
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
+# Elements that stand inside a sentence; all others end it.
+INLINE = "a|abbr|acronym|b|bdi|bdo|big|cite|code|data|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr"
+HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<![^>]*>|<\?[^>]*>"
+END = "\ue000"
+SENTENCE_END = rf"{END}|\n\s*\n|(?<=[.!?])\s+(?=[^\sa-z0-9])"
+KEPT_STATEMENTS = 50_000
+FEW_WORDS = 4  # a template of fewer counts only where all its words occur: "some rights reserved" is none
+
+
+class Matcher:
+    """The templates, weighted, and the closest of them to a statement."""
+
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+        texts = [(name, text.split()) for name, several in templates.items() for text in several]
+        spread = Counter(word for _, words in texts for word in set(words))
+        self.rare = math.log(len(texts) + 1) + 1  # the weight of a word of no template
+        self.idf = {word: math.log((len(texts) + 1) / (n + 1)) + 1 for word, n in spread.items()}
+        self.templates = []
+        for name, words in texts:
+            weights = {w: (1 + math.log(n)) * self.idf[w] for w, n in Counter(words).items()}
+            self.templates.append((name, len(words), weights, math.sqrt(sum(w * w for w in weights.values()))))
+
+    @staticmethod
+    def bound(words: list[str], weights: dict[str, float], norm: float) -> float:
+        """What the cosine of any window of the words can be at most."""
+        return math.sqrt(sum(weights[w] ** 2 for w in weights.keys() & set(words))) / norm
+
+    def cosine(self, words: list[str], size: int, weights: dict[str, float], norm: float, least: float) -> float:
+        """The best cosine of a window of ``size`` to ``2 * size`` words, or of all if there are fewer; 0 if under ``least``."""
+        best, fewest = 0.0, min(size, len(words))
+        for start in range(len(words) - fewest + 1):
+            window = words[start:start + 2 * size]
+            if self.bound(window, weights, norm) < max(least, best):
+                continue
+            dot = squares = 0.0
+            counts: dict[str, int] = {}
+            for n, word in enumerate(window, 1):
+                before = counts.get(word, 0)
+                counts[word] = before + 1
+                idf = self.idf.get(word, self.rare)
+                now, then = (1 + math.log(before + 1)) * idf, (1 + math.log(before)) * idf if before else 0.0
+                squares += now * now - then * then
+                dot += (now - then) * weights.get(word, 0.0)
+                if n >= fewest:
+                    best = max(best, dot / (norm * math.sqrt(squares)))
+        return best
+
+    def best(self, statement: str, least: float) -> tuple[str, float] | None:
+        """The closest template's licence and cosine, if at least ``least``; ties go to the first by name."""
+        words = WORD.findall(statement.lower())
+        found = []
+        for name, size, weights, norm in self.templates:
+            missing = size < FEW_WORDS and not weights.keys() <= set(words)
+            if not missing and self.bound(words, weights, norm) >= least:
+                found.append((-round(self.cosine(words, size, weights, norm, least), 9), name))
+        less, name = min(found, default=(0.0, ""))
+        return (name, -less) if found and -less >= least else None
 
 
 def statements(pages: DataFrame) -> DataFrame:
-    """row_key and statement: the lines of each page, cut at sentence ends, that speak of rights."""
-    lines = F.split(strip_html(F.col("html")), r"\n|(?<=[^0-9A-Z][.!?])\s|(?<=[a-z]\.)\s")
-    return pages.filter(F.col("html").rlike(TRIGGER)).select("row_key", F.explode(lines).alias("statement")).filter(
+    """row_key and statement: what each page says of rights, cut at elements and sentence ends."""
+    bare = F.regexp_replace(F.regexp_replace("html", HIDDEN, "<wbr>"), rf"(?i)<(?!/?(?:{INLINE})(?![a-z0-9-]))[a-z/][^<>]*>", END)
+    said = F.split(strip_html(bare), SENTENCE_END)
+    return pages.filter(F.col("html").rlike(TRIGGER)).select("row_key", F.explode(said).alias("statement")).filter(
         F.col("statement").rlike(TRIGGER))
 
 
@@ -57,37 +121,21 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
 
 def own_licences(pages: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """row_key, licence and score of the pages whose best statement is close enough to a template."""
-    spark = pages.sparkSession
-    said = written(statements(pages).select("row_key", words_of(F.col("statement")).alias("words")).filter("size(words) > 0")
-                   .distinct().withColumn("said", F.xxhash64("words")), "statements")
-    kinds = said.select("said", "words").dropDuplicates(["said"])  # the same sentence on many pages is compared once
-    terms = kinds.select("said", F.explode("words").alias("word")).groupBy("said", "word").agg(F.count(F.lit(1)).alias("tf"))
-    spread = said.select("said").groupBy("said").agg(F.count(F.lit(1)).alias("pages"))
-    total = spread.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
-    known = terms.join(spread, "said").groupBy("word").agg(F.sum("pages").alias("df"))
-    templates = spark.createDataFrame(
-        [(name, number, word) for name, texts in TEMPLATES.items() for number, text in enumerate(texts)
-         for word in text.split()], "licence string, number int, word string")
-
-    def weigh(tf: DataFrame) -> DataFrame:
-        idf = F.log(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-        return tf.join(known, "word", "left").withColumn("weight", (1 + F.log("tf")) * idf).drop("df", "tf")
-
-    said_weights = weigh(terms)
-    said_norms = said_weights.groupBy("said").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    patterns = weigh(templates.groupBy("licence", "number", "word").agg(F.count(F.lit(1)).alias("tf")))
-    pattern_norms = patterns.groupBy("licence", "number").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("pattern_norm"))
-    met = said_weights.join(F.broadcast(patterns.withColumnRenamed("weight", "pattern_weight")), "word")  # bounded by TEMPLATES
-    scores = (
-        met.groupBy("said", "licence", "number").agg(F.sum(F.col("weight") * F.col("pattern_weight")).alias("dot"))
-        .join(said_norms, "said").join(F.broadcast(pattern_norms), ["licence", "number"])
-        .withColumn("score", F.col("dot") / (F.col("norm") * F.col("pattern_norm"))).filter(F.col("score") >= least)
-    )
-    best = scores.groupBy("said").agg(F.min(F.struct((-F.round("score", 9)).alias("less"), F.col("licence"))).alias("best"))
-    return (
-        said.select("row_key", "said").join(best, "said").groupBy("row_key").agg(F.min("best").alias("best"))
-        .select("row_key", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score"))
-    )
+
+    def setup():
+        matcher = Matcher()
+
+        @lru_cache(KEPT_STATEMENTS)
+        def closest(statement: str) -> list[dict]:
+            found = matcher.best(statement, least)
+            return [{"less": -found[1], "licence": found[0]}] if found else []
+
+        return closest
+
+    found = text_function(setup, "array<struct<less: double, licence: string>>")("statement")
+    said = statements(pages).select("row_key", F.explode(found).alias("best"))
+    return said.groupBy("row_key").agg(F.min("best").alias("best")).select(
+        "row_key", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score"))
 
 
 def located(pages: DataFrame) -> DataFrame:
