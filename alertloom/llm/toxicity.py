@@ -1,10 +1,10 @@
 """Toxicity of texts: undo disguised spelling by a noisy channel, then score the restored words.
 
-A suspicious stretch (digits or signs among letters, letters drawn out, letters set
+A suspicious stretch (digits or signs beside letters, a letter twice or more, letters set
 apart) is a lattice: a sign may stand for a letter, for nothing or for a gap, and one of
 a run of equal letters may be left out.  Viterbi finds the likeliest reading under a
 trigram model of characters that is counted over all documents.  Other words are read
-as they stand.
+as they stand, and so are tokens without any letter: they are numbers and marks.
 
 The score is learnt from labelled documents: words and beginnings of words that occur
 far more often in toxic documents, each with the share of toxic ones.  A document's
@@ -40,13 +40,18 @@ TRIGRAMS = 200_000
 COUNTED_AT_ONCE = 2_000_000
 SMOOTH = 0.01
 
-SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .*_-][^\W_]){3,}(?![^\W_])")
-DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
-DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(€*._-]+[^\W\d_]|^[0-9@$!|(€]+[^\W\d_]{2}|([^\W\d_])\1\1")
+# letters, digits and signs, each set apart by blanks or by one separator; a mark at the end belongs to the sentence
+SPACED = re.compile(r"(?<![^\s\"'\u2018\u201c\u00ab(\[{<])(?:[^\W_]|[@$!|+€])(?:(?:[ \t]+|[.*_-])(?:[^\W_]|[@$!|+(€]))+"
+                    r"(?:[ \t]+|[.*_-])(?:[^\W_]|[@$€])(?![^\W_])")
+SEPARATORS = " \t.*_-"
+TWICE = re.compile(r"([^\W\d_])\1")
+DISGUISED = re.compile(r"[0-9@$!|+(€]|[^\W\d_][*._-]+[^\W\d_]|([^\W\d_])\1")
+APOSTROPHE = re.compile(r"(['\u2019])")
+READ = "\ue001"  # around a word that has been read already
 EDGES = ".,;:?\"'*#%&)[]{}<>~^/\\=_-"
 MARKS = "!|+("
 SIGNS = "$@€"
-DIGITS = re.compile(r"[0-9]{4}|^[0-9.,:]+$")
+LETTER = re.compile(r"[^\W\d_]")
 
 STARTS = (4, 5, 6)
 LEAST_EVIDENCE = 30.0
@@ -94,16 +99,18 @@ class Restorer:
     @staticmethod
     def options(text: str) -> list[list[tuple[str, float]]]:
         """For every character what it may stand for (a letter, nothing, a gap) and the channel's cost."""
-        lattice = []
-        for place, char in enumerate(text):
+        lattice, before = [], ""
+        for char in text:
             if char.isalpha():
                 choices = [(char, 0.0)]
-                if place and text[place - 1] == char:
+                if char == before:
                     choices.append(("", REPEAT_OUT))
             else:
                 choices = [(letter, AS_LETTER) for letter in STANDS_FOR.get(char, "")]
                 choices += [("", SIGN_OUT if choices else APART_OUT), (" ", GAP)]
             lattice.append(choices)
+            if char not in SEPARATORS:
+                before = char
         return lattice
 
     def read(self, text: str) -> str:
@@ -131,16 +138,20 @@ class Restorer:
 
     def word(self, token: str) -> str:
         """What a blank-separated token says: stripped of signs at its edges, read if it is disguised."""
+        if READ in token:
+            return token.split(READ)[1]
         low = token.lower()
         core = low.lstrip(EDGES).rstrip(EDGES + MARKS)
-        if core.isalpha() and not DRAWN_OUT.search(core):
+        if core.isalpha() and not TWICE.search(core):
             return core
         shape = core.rstrip(SIGNS)
-        if len(core) - len(shape) <= 2 and shape != core and DISGUISED.search(shape):
+        if len(core) - len(shape) <= 2:
             shape = core
-        if DISGUISED.search(shape) and not DIGITS.search(shape):
-            return self.read(shape)
-        return shape
+        return "".join(map(self.part, APOSTROPHE.split(shape))) if DISGUISED.search(shape) else shape
+
+    def part(self, shape: str) -> str:
+        """A token's part beside an apostrophe, read if it has letters and may be disguised."""
+        return self.read(shape) if DISGUISED.search(shape) and LETTER.search(shape) else shape
 
     def restore(self, text: str) -> str:
         """The whole text as it is meant."""
@@ -148,7 +159,16 @@ class Restorer:
 
     def joined(self, text: str) -> str:
         """The text with letters that were set apart put together again."""
-        return SPACED.sub(lambda m: self.read(m.group().lower()), text)
+        return SPACED.sub(self.together, text.replace(READ, ""))
+
+    def together(self, found: re.Match) -> str:
+        """The word that letters set apart make; sums, tables and numbers stay."""
+        said = found.group().lower()
+        letters = len(LETTER.findall(said))
+        bars = said.count("+") + said.count("|")
+        if not letters or bars and 2 * bars >= letters:
+            return found.group()
+        return " ".join(READ + word + READ for word in self.read(said).split())
 
 
 def word_features(word: str) -> tuple[int, ...]:

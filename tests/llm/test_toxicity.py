@@ -73,3 +73,16 @@ def test_odd_rows(spark, docs_of, odd_texts):
     assert kept.columns == docs_of(rows).columns and kept.count() == len(rows) - sum(r.predicted for r in got)
     assert toxicity.score_documents(docs_of([]), labels).count() == 0
     assert {r.score for r in toxicity.score_documents(docs_of(rows), labels.filter("toxic = 0")).collect()} == {toxicity.FLOOR}
+
+
+def test_every_disguise_of_the_lattice_is_read():
+    restorer = model(["you are an idiot and a loser, what stupid trash and scum is this", "the worthless moron reads on, so dumb it is"] * 30)
+    for said, meant in {
+        "mooron": "moron", "looser": "loser", "scuum": "scum", "stuupid": "stupid", "iddiot": "idiot", "dum8": "dumb",
+        "$ c u m": "scum", "l o $ e r": "loser", "i  d  i  o  t": "idiot", '"s c u m"': "scum", "(m o r o n)": "moron", "a n d": "and",
+        "l o o s e r": "loser", "iddiot's": "idiot's", "i d i o t!": "idiot", "12 345 678": "12 345 678",
+    }.items():
+        assert restorer.restore(said) == meant, said
+    assert restorer.restore("1d1075").startswith("idiot")
+    for said in ("3 4 5", "1 2 3 4", "a + b", "a | b | c"):
+        assert restorer.joined(said) == said
