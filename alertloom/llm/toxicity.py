@@ -3,7 +3,8 @@
 A suspicious stretch (digits or signs beside letters, a letter twice or more, letters set
 apart) is a lattice: a sign may stand for a letter, for nothing or for a gap, and one of
 a run of equal letters may be left out.  Viterbi finds the likeliest reading under a
-trigram model of characters that is counted over all documents.  Other words are read
+trigram model of characters that is counted over all documents; of its counts the tasks
+get those that some lattice can ask for.  Other words are read
 as they stand, and so are tokens without any letter: they are numbers and marks.
 
 The score is learnt from labelled documents: words and beginnings of words that occur
@@ -36,7 +37,6 @@ STANDS_FOR = {
 }
 # Channel costs, in nats: a sign read as a letter, a sign left out, a separator left out, a repeat left out, a gap kept.
 AS_LETTER, SIGN_OUT, APART_OUT, REPEAT_OUT, GAP = 1.0, 12.0, 0.2, 0.7, 12.0
-TRIGRAMS = 200_000
 COUNTED_AT_ONCE = 2_000_000
 SMOOTH = 0.01
 
@@ -62,35 +62,77 @@ KEPT_WORDS = 150_000
 FLOOR = 0.02
 
 
-def trigram_counts(documents: DataFrame, most: int = TRIGRAMS) -> dict[int, int]:
-    """Counts of character trigrams over all texts; the ``most`` frequent ones form the model."""
+def trigram_counts(documents: DataFrame) -> DataFrame:
+    """gram, n and asked: character trigrams of all texts, and those that a lattice of a text can ask for.
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for k, value in enumerate(batch.column(0), 1):
-            codes = letter_codes(value.as_py())
-            if len(codes) > 2:
-                parts.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
-                held += len(codes)
-            if parts and (held > COUNTED_AT_ONCE or k == batch.num_rows):
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-                parts, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
+    Each is counted inside tasks first; the frame is written, as it grows with the texts.
+    """
+
+    def setup():
+        asker = Asker()
+        known: set[str] = set()
+
+        def flushed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+            asked = np.fromiter(asker.asked, np.int64, len(asker.asked))
+            asker.asked.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([grams, asked])), pa.array(np.concatenate([counts, np.zeros(len(asked), np.int64)])),
+                 pa.array(np.arange(len(grams) + len(asked)) >= len(grams))], ["gram", "n", "asked"])
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            parts, held = [np.zeros(0, np.int64)], 0
+            for value in batch.column(0):
+                text = value.as_py()
+                codes = letter_codes(text)
+                if len(codes) > 2:
+                    parts.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
+                    held += len(codes)
+                for token in set(asker.joined(text).split()) - known:
+                    asker.word(token)
+                    if len(known) >= KEPT_WORDS:
+                        known.clear()
+                    known.add(token)
+                if held + len(asker.asked) > COUNTED_AT_ONCE:
+                    yield flushed(parts)
+                    parts, held = [np.zeros(0, np.int64)], 0
+            yield flushed(parts)
+
+        return work
 
-    counted = batches(narrow(documents).select(whole().alias("text")), work, "gram long, n long")
-    totals = counted.groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in totals.orderBy(F.desc("n"), "gram").limit(most).collect()}
+    counted = batches(narrow(documents).select(whole().alias("text")), None, "gram long, n long, asked boolean", setup)
+    return written(counted.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")), "trigrams")
+
+
+def character_model(documents: DataFrame) -> Restorer:
+    """The reader of these documents: what their lattices can ask for, with totals over all trigrams."""
+    grams = trigram_counts(documents)
+    two = F.shiftright("gram", 21)
+    asked = grams.filter("asked").select("gram", "n", two.alias("two"))
+    seen = grams.filter("n > 0")
+    totals = seen.groupBy(two.alias("two")).agg(F.sum("n").alias("total"))
+    rows = asked.join(totals, "two", "left").select("gram", "n", F.coalesce("total", F.lit(0)).alias("total")).filter("total > 0")
+    found = rows.toPandas()
+    letters = seen.agg(F.count_distinct(F.col("gram").bitwiseAND(0x1FFFFF)).alias("n")).first().n
+    counts = {gram: n for gram, n in zip(found["gram"].tolist(), found["n"].tolist()) if n}
+    before = {gram >> 21: total for gram, total in zip(found["gram"].tolist(), found["total"].tolist())}
+    return Restorer(counts, before, letters)
 
 
 class Restorer:
-    """Reads disguised words under a character model."""
+    """Reads disguised words under a character model.
 
-    def __init__(self, counts: dict[int, int]):
+    ``before`` (counts by the two letters before) and ``letters`` (the size of the
+    alphabet) come from ``counts`` if they are not given.
+    """
+
+    def __init__(self, counts: dict[int, int], before: dict[int, int] | None = None, letters: int | None = None):
         self.counts = counts
-        self.before: dict[int, int] = {}
-        for gram, n in counts.items():
-            self.before[gram >> 21] = self.before.get(gram >> 21, 0) + n
-        self.letters = max(2, len({gram & 0x1FFFFF for gram in counts}))
+        self.before = {} if before is None else before
+        if before is None:
+            for gram, n in counts.items():
+                self.before[gram >> 21] = self.before.get(gram >> 21, 0) + n
+        self.letters = max(2, len({gram & 0x1FFFFF for gram in counts}) if letters is None else letters)
 
     def cost(self, two: int, letter: int) -> float:
         n = self.counts.get(two << 21 | letter, 0)
@@ -171,6 +213,18 @@ class Restorer:
         return " ".join(READ + word + READ for word in self.read(said).split())
 
 
+class Asker(Restorer):
+    """Goes through the lattices without a model and notes every trigram whose cost they need."""
+
+    def __init__(self):
+        super().__init__({})
+        self.asked: set[int] = set()
+
+    def cost(self, two: int, letter: int) -> float:
+        self.asked.add(two << 21 | letter)
+        return 0.0
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """64-bit hashes of what a token says: its words and their beginnings."""
     found = []
@@ -346,7 +400,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """The character model of all documents, and what at most about ``most`` labelled rows tell."""
-    restorer = Restorer(trigram_counts(documents))
+    restorer = character_model(documents)
     marks = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic"))
     chosen = sampled(marks.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold_of() != 2), most)
     labelled = written(labelled_rows(documents, chosen), "labelled")

@@ -86,3 +86,21 @@ def test_every_disguise_of_the_lattice_is_read():
     assert restorer.restore("1d1075").startswith("idiot")
     for said in ("3 4 5", "1 2 3 4", "a + b", "a | b | c"):
         assert restorer.joined(said) == said
+
+
+def test_model_has_all_that_lattices_ask_for(spark, docs_of):
+    # more distinct trigrams than any fixed number that was kept before, each more frequent than those of the last rows
+    letters = [chr(0x4E00 + k) for k in range(620)]
+    common = [a + b + "一" for a in letters for b in letters[:340]]
+    rows = [*((k, " ".join(common[k::40] * 2)) for k in range(40)), (50, "rare ködfüm 7ödfüm k0dfum ko$$er l i $ a ködd")]
+    got = toxicity.character_model(docs_of(rows))
+    whole = model([text for _, text in rows])
+    assert len(whole.counts) > 200_000 and got.letters == whole.letters and len(got.counts) < 5000
+    asker = toxicity.Asker()
+    for _, text in rows[-1:]:
+        asker.restore(text)
+        assert got.restore(text) == whole.restore(text)
+    assert asker.asked
+    for gram in asker.asked:
+        two, letter = gram >> 21, gram & 0x1FFFFF
+        assert got.cost(two, letter) == whole.cost(two, letter)
