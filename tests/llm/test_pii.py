@@ -70,3 +70,12 @@ def test_odd_rows(docs_of, odd_texts):
     got = pii.find_pii(docs_of(rows)).collect()
     assert sorted((str(r.doc_id), r.n_email) for r in got if r.n_email) == [("1", 1), ("None", 1)] and len(got) == len(rows)
     assert pii.find_pii(docs_of([])).count() == 0
+
+
+def test_iban_before_other_blocks():
+    for number in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for text in (f"{number} BIC COBADEFF", f"{number} 12 EUR", f"{number} BIC COBADEFFXXX AND MORE CAPITALS", f"{number} Bank",
+                     f"XY12 {number}", f"{number} {number} X", f"{number}."):
+            got = [text[start:end] for kind, start, end in pii.more_spans(text) if kind == "iban"]
+            assert got == [number] * text.count(number), text
+    assert pii.more_spans("DE89 3704 0044 0532 0130 01 BIC") == []
