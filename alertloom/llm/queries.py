@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.llm import (
-    decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii, suffix_dedup, toxicity,
+    bpe, decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii, suffix_dedup, toxicity,
 )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its tables from this module
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_exact_dedup, op6_pii,
-        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, pipeline,
+        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, op12_bpe, pipeline,
     )
 }
 
