@@ -3,25 +3,32 @@
 A text is cut into the words that the tokenizer never merges across, so its ids follow
 from those of its words:
 
-1. Tasks cut documents into words and number them in blocks of ``block_words`` words.  A
-   block sends one row per distinct word, with the word's positions in the block as the
-   gaps between them, so a word goes out once per block however often it occurs.
-2. Rows are dealt out and sorted by word; a word is encoded once, where it first comes up.
-   Words that fill more than 1 / ``HOT`` of a block are dealt over ``SALTS`` tasks by their
-   block, and are then encoded once in each.
-3. Rows go back to their block with the ids instead of the word, and every document takes
-   its ids in by position.
+1. Tasks cut documents into words and gather blocks of about ``block_words`` words.  A block
+   numbers its distinct words, the most frequent first.  It sends the words in packs, one for
+   each of ``ROUTES`` shares of all words, and every document as the numbers of its words.
+   One exchange deals out both: packs by their share, documents by the block.
+2. A share's packs of all blocks lie together after a sort inside the partition, and each
+   distinct word of the share is encoded once.  A word that fills a third of all texts
+   is there once per block.
+3. Numbers and ids of the words go back to their block; there the documents take the ids in
+   by position (a co-grouping, one block at a time).
 4. Decoding looks every id's piece up in the vocabulary, whose size is fixed.
 
-The texts themselves are never moved, nothing is broadcast, and a task holds one block at most.
+The texts themselves are never moved, nothing is broadcast, and a task holds one block, or the
+distinct words of one share, at most.  Blocks are made in the order of the rows, so a task
+that runs again must read documents in the same order, as it does from files; a block whose
+parts do not belong together raises an error.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +38,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from alertloom.llm.common import narrow, whole
 
-BLOCK_WORDS = 4_000_000
-HOT = 1000
-SALTS = 256
-SENT = "block long, place long, doc_id long, words long, word string, salt int, at binary"
-RETURNED = "block long, place long, doc_id long, words long, at binary, ids binary"
+BLOCK_WORDS = 5_000_000
+ROUTES = 1 << 14
+ROWS = 5_000
+SENT = "route long, block long, place long, doc_id long, numbers binary, sizes binary, data binary"
+NAMES = ["route", "block", "place", "doc_id", "numbers", "sizes", "data"]
 
 # Fixed: how the tokenizer cuts a text into words, for the characters that COMMON lets through.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+"
@@ -81,7 +88,7 @@ def byte_pieces(tokenizer) -> list[bytes]:
             for i in range(max(spelled) + 1)]
 
 
-def to_gaps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers in groups of seven bits, the lowest first and all but the last marked: bytes, and each number's size."""
     size = 1 + sum((values >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
     start = np.cumsum(size) - size
@@ -92,7 +99,7 @@ def to_gaps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def from_gaps(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def from_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers, and the place of each one's last byte."""
     last = np.flatnonzero(data < 128)
     if not len(last):
@@ -102,44 +109,53 @@ def from_gaps(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat((data & 127).astype(np.int64) << shift, start), last
 
 
-def binary_of(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A binary column whose values are consecutive parts of ``data``."""
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+def parts_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the size of every value."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.array(list(map(len, values)), np.int64)
 
 
-def parts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and the size of every value."""
-    joined = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    if not len(joined):
-        return np.empty(0, np.uint8), np.empty(0, np.int64)
-    offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1].astype(np.int64)
-    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
-    return data[offsets[0]:offsets[-1]], np.diff(offsets)
-
-
-def block_rows(block: int, docs: list[tuple[int | None, int]], known: list[str], codes: array) -> Iterator[pa.RecordBatch]:
-    """The rows of a block: one for each document, one for each distinct word."""
-    names = ["block", "place", "doc_id", "words", "word", "salt", "at"]
-    n = len(docs)
-    if n:
+def numbers_as_bytes(values) -> bytes:
+    return to_bytes(np.fromiter(values, np.int64))[0].tobytes()
+
+
+def block_rows(block: int, docs: list[tuple[int | None, int]], words: list[str], codes: array) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its distinct words in packs, and its documents, which have no ``block``.
+
+    A document's data is a checksum of the block's words in their order.
+    """
+    code = np.frombuffer(codes, np.int32)
+    order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    mark, packs = 0, defaultdict(lambda: ([], []))
+    for number, i in enumerate(order.tolist()):
+        word = words[i].encode()
+        mark = zlib.crc32(word, mark)
+        numbers, held = packs[zlib.crc32(word) % ROUTES]
+        numbers.append(number)
+        held.append(word)
+    routes = sorted(packs)
+    for first in range(0, len(routes), ROWS):
+        part = routes[first:first + ROWS]
+        n, rows = len(part), []
+        for numbers, held in map(packs.pop, part):
+            gaps = np.diff(np.array(numbers), prepend=0)
+            rows.append((numbers_as_bytes(gaps), numbers_as_bytes(map(len, held)), b"".join(held)))
         yield pa.RecordBatch.from_arrays([
-            pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([d for d, _ in docs], pa.int64()),
-            pa.array([w for _, w in docs], pa.int64()), pa.nulls(n, pa.string()), pa.array([block % SALTS] * n, pa.int32()),
-            pa.nulls(n, pa.binary())], names)
-    n = len(known)
-    if n:
-        code = np.frombuffer(codes, np.int32)
-        order = np.argsort(code, kind="stable")
-        times = np.bincount(code, minlength=n)
-        first = np.cumsum(times) - times
-        gaps = np.diff(order, prepend=0)
-        gaps[first] = order[first]
-        data, size = to_gaps(gaps)
-        salt = np.where(times * HOT > len(code), block % SALTS, 0)
+            pa.array(part, pa.int64()), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+            *(pa.array(c, pa.binary()) for c in zip(*rows))], NAMES)
+    low, mark = 0, struct.pack("<I", mark)
+    for first in range(0, len(docs), ROWS):
+        part = docs[first:first + ROWS]
+        n, numbers = len(part), []
+        for _, length in part:
+            numbers.append(numbers_as_bytes(rank[code[low:low + length]]))
+            low += length
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-            pa.array(known, pa.string()), pa.array(salt, pa.int32()), binary_of(data, np.add.reduceat(size, first))], names)
+            pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(first, first + n), pa.int64()),
+            pa.array([d for d, _ in part], pa.int64()), pa.array(numbers, pa.binary()), pa.nulls(n, pa.binary()),
+            pa.array([mark] * n, pa.binary())], NAMES)
 
 
 def words_by_block(documents: DataFrame, tokenizer_path: str, block_words: int) -> DataFrame:
@@ -148,14 +164,14 @@ def words_by_block(documents: DataFrame, tokenizer_path: str, block_words: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = word_splitter(load(tokenizer_path))
+        cut = word_splitter(load(tokenizer_path))
         block = TaskContext.get().partitionId() << 32
-        docs, known, codes = [], defaultdict(), array("i")
+        docs, codes, known = [], array("i"), defaultdict()
         known.default_factory = known.__len__
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 before = len(codes)
-                codes.extend(map(known.__getitem__, words(text.as_py())))
+                codes.extend(map(known.__getitem__, cut(text.as_py())))
                 docs.append((doc_id, len(codes) - before))
                 if len(codes) >= block_words:
                     yield from block_rows(block, docs, list(known), codes)
@@ -166,73 +182,58 @@ def words_by_block(documents: DataFrame, tokenizer_path: str, block_words: int)
     return narrow(documents).select("doc_id", whole().alias("text")).mapInArrow(run, SENT)
 
 
-def encoded_words(sent: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``RETURNED``: ids in place of words.  A word's rows come one after another, so it is encoded once."""
+def encoded_words(packs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The packs with ids in place of words, on the way back to their blocks.
+
+    All packs of a share come one after another, so each of its words is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
-        last, last_ids = None, b""
+        share, known = None, {}
         for batch in batches:
-            found = []
-            for word in batch.column("word").to_pylist():
-                if word is not None and word != last:
-                    last, last_ids = word, np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                found.append(None if word is None else last_ids)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("block", "place", "doc_id", "words", "at")), pa.array(found, pa.binary())],
-                ["block", "place", "doc_id", "words", "at", "ids"])
-
-    return sent.repartition("word", "salt").sortWithinPartitions("word").mapInArrow(run, RETURNED)
-
-
-def filled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """doc_id and ids of the documents of one block."""
-    is_doc = rows["place"].is_valid()
-    held, docs = rows.filter(rows["place"].is_null()), rows.filter(is_doc).sort_by("place")
-    data, size = parts_of(held["at"].combine_chunks())
-    gaps, last = from_gaps(data)
-    times = np.diff(np.searchsorted(last, np.concatenate([[0], np.cumsum(size)])))
-    flat, id_bytes = parts_of(held["ids"].combine_chunks())
-    flat, lengths = np.frombuffer(flat.tobytes(), "<u4"), id_bytes // 4
+            rows = []
+            for route, gaps, sizes, data in zip(*(batch.column(NAMES.index(c)).to_pylist() for c in ("route", "numbers", "sizes", "data"))):
+                if route != share:
+                    share, known = route, {}
+                at, found = 0, []
+                for size in from_bytes(np.frombuffer(sizes, np.uint8))[0].tolist():
+                    word = data[at:at + size]
+                    at += size
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                    found.append(ids)
+                rows.append((gaps, numbers_as_bytes(map(len, found)), numbers_as_bytes(chain.from_iterable(found))))
+            block, none = batch.column(NAMES.index("block")), pa.nulls(batch.num_rows, pa.int64())
+            if rows:
+                yield pa.RecordBatch.from_arrays([block, block, none, none, *(pa.array(c, pa.binary()) for c in zip(*rows))], NAMES)
+
+    return packs.sortWithinPartitions("route").mapInArrow(run, SENT)
+
+
+def fill(pieces: list[bytes], docs: pa.Table, packs: pa.Table) -> pa.Table:
+    """doc_id and ids of the documents of a block."""
+    gaps, held = parts_of(packs["numbers"])
+    gaps, last = from_bytes(gaps)
+    in_pack = np.diff(np.searchsorted(last, np.concatenate([[0], np.cumsum(held)])))
     ended = np.cumsum(gaps)
-    base = np.concatenate([[0], ended])[np.cumsum(times) - times]
-    number = np.empty(len(gaps), np.int64)
-    number[ended - np.repeat(base, times)] = np.repeat(np.arange(len(times)), times)
-    start, lengths = (np.cumsum(lengths) - lengths)[number], lengths[number]
-    low, out, out_ids = 0, [], []
-    for doc_id, words in zip(docs["doc_id"].to_pylist(), docs["words"].to_pylist()):
-        own = lengths[low:low + words]
+    number = ended - np.repeat(np.concatenate([[0], ended])[np.cumsum(in_pack) - in_pack], in_pack)
+    flat, sizes = from_bytes(parts_of(packs["data"])[0])[0], from_bytes(parts_of(packs["sizes"])[0])[0]
+    lengths, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    lengths[number], start[number] = sizes, np.cumsum(sizes) - sizes
+    mark = 0
+    for a, n in zip(start.tolist(), lengths.tolist()):
+        mark = zlib.crc32(b"".join(map(pieces.__getitem__, flat[a:a + n].tolist())), mark)
+    mark, out = struct.pack("<I", mark), []
+    for numbers, own_mark in zip(docs["numbers"], docs["data"]):
+        if own_mark.as_py() != mark:
+            raise ValueError("a block's words are not those of its documents; write documents to files first")
+        numbers, _ = from_bytes(np.frombuffer(numbers.as_py(), np.uint8))
+        own = lengths[numbers]
         before = np.cumsum(own) - own
-        out.append(doc_id)
-        out_ids.append(flat[np.repeat(start[low:low + words] - before, own) + np.arange(own.sum())].astype("<u4").tobytes())
-        low += words
-        if len(out) >= 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(out_ids, pa.binary())], ["doc_id", "ids"])
-            out, out_ids = [], []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(out_ids, pa.binary())], ["doc_id", "ids"])
-
-
-def joined_by_place(returned: DataFrame) -> DataFrame:
-    """doc_id and ids of every document, put together block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            marks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and marks[a] != block:
-                    yield from filled(pa.Table.from_batches(held))
-                    held = []
-                block = marks[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from filled(pa.Table.from_batches(held))
-
-    return returned.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, ids binary")
+        out.append(flat[np.repeat(start[numbers] - before, own) + np.arange(own.sum())].astype("<u4").tobytes())
+    return pa.table({"doc_id": docs["doc_id"], "ids": pa.array(out, pa.binary())})
 
 
 def encode(documents: DataFrame, tokenizer_path: str, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -244,7 +245,18 @@ def encode(documents: DataFrame, tokenizer_path: str, block_words: int = BLOCK_W
     carried along, further columns are ignored, and an empty table gives an empty result.
     A text of any length is encoded whole, in a block of its own if it has more words.
     """
-    return joined_by_place(encoded_words(words_by_block(documents, tokenizer_path, block_words), tokenizer_path))
+    dealt = words_by_block(documents, tokenizer_path, block_words).repartition("route")
+    # documents have no block; the task's number keeps the filter above the exchange, so that both sides share it
+    docs = dealt.filter(F.coalesce("block", -1 - F.spark_partition_id()) < 0)
+    words = encoded_words(dealt.filter(F.coalesce("block", -1 - F.spark_partition_id()) >= 0), tokenizer_path)
+    known: list[bytes] = []
+
+    def put_together(docs: pa.Table, packs: pa.Table) -> pa.Table:
+        if not known:
+            known.extend(byte_pieces(load(tokenizer_path)))
+        return fill(known, docs, packs)
+
+    return docs.groupBy("route").cogroup(words.groupBy("route")).applyInArrow(put_together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

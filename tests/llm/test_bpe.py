@@ -43,15 +43,37 @@ def test_odd_rows(docs_of, odd_texts, block_words):
     assert bpe.round_trip(docs_of([]), PATH).count() == 0
 
 
-def test_hot_word_is_dealt_out(docs_of, monkeypatch):
-    monkeypatch.setattr(bpe, "HOT", 2)
+def test_a_word_goes_out_once_per_block(docs_of):
     rows = [(i, " the" * 200 + f" rare{i}") for i in range(40)]
-    sent = bpe.words_by_block(docs_of(rows), PATH, 300).collect()
-    assert len({r.salt for r in sent if r.word == " the"}) > 4 and {r.salt for r in sent if r.word and "rare" in r.word} == {0}
-    assert len({(r.block, r.word) for r in sent if r.word}) == len([r for r in sent if r.word])
+    packs = [r for r in bpe.words_by_block(docs_of(rows), PATH, 300).collect() if r.block is not None]
+    assert sum(r.data.count(b" the") for r in packs) == len({r.block for r in packs}) < 30
     assert sorted(map(tuple, bpe.round_trip(docs_of(rows), PATH).collect()), key=str) == expected(rows)
 
 
+def test_documents_are_cut_once(spark):
+    """Both sides of the co-grouping read one exchange."""
+    from pyspark.sql import functions as F
+
+    out = bpe.encode(spark.read.parquet(f"{SF}/documents.parquet"), PATH)
+    out.agg(F.count(F.lit(1))).collect()
+    out = bpe.encode(spark.read.parquet(f"{SF}/documents.parquet"), PATH)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+
+
+def test_blocks_that_do_not_belong_together(docs_of):
+    import pyarrow as pa
+
+    sent = bpe.words_by_block(docs_of([(1, "one two")]), PATH, 100).toArrow()
+    docs, words = sent.filter(sent["block"].is_null()), sent.filter(sent["block"].is_valid())
+    ids = bpe.numbers_as_bytes([5])
+    wrong = pa.table({"numbers": words["numbers"], "sizes": pa.array([b"\x01"] * len(words), pa.binary()),
+                      "data": pa.array([ids] * len(words), pa.binary())})
+    with pytest.raises(ValueError, match="belong|not those"):
+        bpe.fill(bpe.byte_pieces(bpe.load(PATH)), docs, wrong)
+
+
 def test_words_join_to_the_tokenizer(spark):
     """Random strings: a text's ids are those of its words, and pieces give the bytes back."""
     tokenizer, draw = bpe.load(PATH), random.Random(3)
@@ -66,10 +88,10 @@ def test_words_join_to_the_tokenizer(spark):
         assert b"".join(pieces[i] for i in ids).decode() == text
 
 
-def test_gaps_round_trip():
+def test_numbers_round_trip():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 2**31 - 1])
-    data, size = bpe.to_gaps(values)
-    back, last = bpe.from_gaps(data)
+    data, size = bpe.to_bytes(values)
+    back, last = bpe.from_bytes(data)
     assert back.tolist() == values.tolist() and (np.cumsum(size) - 1).tolist() == last.tolist()
 
 
