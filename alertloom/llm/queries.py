@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.llm import (
-    bpe, decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii, suffix_dedup, toxicity,
+    alignment, bpe, decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii, suffix_dedup, toxicity,
 )
 
 
@@ -61,6 +61,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_exact_dedup, op6_pii,
-        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, op12_bpe, pipeline,
+        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, op11_alignment, op12_bpe, pipeline,
     )
 }
 
