@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.llm import (
-    alignment, bpe, decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii, suffix_dedup, toxicity,
+    alignment, bpe, conversations, decontamination, exact_dedup, language, licenses, line_dedup, near_dedup, packing, pii,
+    suffix_dedup, toxicity,
 )
 
 
@@ -70,6 +71,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its tables from this module
 
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_exact_dedup, op6_pii,
-        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, op11_alignment, op12_bpe, pipeline,
+        op7_license_scan, op8_language, op9_near_dedup, op10_toxicity, op11_alignment, op12_bpe, op13_conversation_repair, pipeline,
     )
 }
 
