@@ -36,9 +36,9 @@ ZONE_HOURS = {
     "UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5,
     "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AST": -4, "ADT": -3,
 }
-PHRASE = r"(?iuU)\b(?:posted|published|il\sy\sa|publi[ée]e?|date de publication)\s*[^\n,.]{0,60}"
+PHRASE = r"(?iuU)\b(?:posted|published|il y a|publi[ée]e?|date de publication)\s*[^\n,.]{0,60}"
 AGO = r"(?iuU)\b\d+\s+(?:hours?|days?|heures?|jours?|weeks?|semaines?)\s+ago\b"
-IL_Y_A = r"(?iuU)\bil\sy\sa\s+\d+\s+(?:heures?|jours?|semaines?|mois)\b"
+IL_Y_A = r"(?iuU)\bil y a\s+\d+\s+(?:heures?|jours?|semaines?|mois)\b"
 DAY_MONTH_YEAR = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 YEAR_MONTH_DAY = r"\b\d{4}-\d{2}-\d{2}\b"
 UNKNOWN_AGE = "Unknown Date"

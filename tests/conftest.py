@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -10,8 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from alertloom.session import build_session  # noqa: E402
-
-AS_OF = dt.datetime(2026, 8, 25, 12, 0, 0)
+from tests.clock import AS_OF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -2,9 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import AS_OF
-
 from alertloom.functions import dates as D
+from tests.clock import AS_OF
 
 DAY = dt.timedelta(days=1)
 

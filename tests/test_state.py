@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import AS_OF
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from alertloom.plans.alert_run import alert_run, finish, run
 from alertloom.sources import seen as S
 from alertloom.sources.seen import SeenStore
 from alertloom.streaming.incremental import PAGES_SCHEMA, drain, first_alert_per_key, incremental_alerts, page_stream
+from tests.clock import AS_OF
 
 RULES = Rules(locations=("casablanca",), terms=("stage",), skills=("java",), excluded=())
 CARD = '<div class="job"><a href="/{0}">Stage Java {0}</a> casablanca posted {1} days ago</div>'
