@@ -44,6 +44,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Texts of these characters are the same after NFC, and lower case changes them one by one.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ɏ]+")
+# A sign that is a word of its own, since it stands behind a letter or digit.
+STOP = re.compile("[a-z0-9ß-öø-ɏ][,.]")
 # Fixed: how the tokenizer cuts a lower-cased text into words, for such characters.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
 
@@ -97,7 +99,7 @@ def word_ids(tokenizer_path: str):
             return b""
         low = text.lower()
         ids = parts_older.get(text) or words_known.get(low)
-        if ids is None and low[-1] in ",." and (ids := words_known.get(low[:-1])) is not None:
+        if ids is None and STOP.fullmatch(low[-2:]) and (ids := words_known.get(low[:-1])) is not None:
             ids += word(low[-1])
         if ids is None:
             if PLAIN.fullmatch(text) and "<|" not in text:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,17 @@ def test_odd_rows(docs_of, odd_texts):
     assert packing.pack(docs_of([]), tokenizer_path()).count() == 0
 
 
+def test_ids_do_not_depend_on_what_was_seen_before():
+    """Random parts, each encoded by one function whose tables fill up, against the tokenizer."""
+    tokenizer, encode, draw = Tokenizer.from_file(tokenizer_path()), packing.word_ids(tokenizer_path()), random.Random(11)
+    texts = ["a . ..", "see ) ). end", "x ( (, ", "a ! !. b", "Wait . .. ... !", "ª ª. ª, x. x,. x.."]
+    texts += [" ".join("".join(draw.choices("aAbé's9.,!()…ªÀ漢", k=draw.randint(1, 5))) for _ in range(draw.randint(1, 8)))
+              for _ in range(4000)]
+    for text in texts * 2:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text) == np.array(ids, "<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("histogram", [{}, {2048: 3}, {1: 5}, {1500: 4, 600: 4, 548: 4}, {1025: 7, 1024: 2, 1023: 7}, {1000: 9, 24: 40, 3: 1}])
 def test_plan_holds_every_piece(histogram):
     plan = packing.sequence_plan(histogram)
