@@ -46,23 +46,16 @@ def missed(percent: int, coordinates: int = COORDINATES, matches: int = MATCHES)
     return sum(comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k) for k in range(matches))
 
 
-@lru_cache(1)
-def powers() -> np.ndarray:
-    """BASE ** i modulo 2 ** 64 for offsets inside a word."""
-    return np.concatenate([[1], np.cumprod(np.full(255, BASE, np.uint64))]).astype(np.uint64)
-
-
-@lru_cache(1)
-def white_table() -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[[9, 10, 11, 12, 13, 32]] = True
-    return table
+# BASE ** i modulo 2 ** 64 for offsets inside a word, and which bytes are white; small arrays, which
+# travel with the functions that use them (a cached function would be looked up in the package)
+POWERS = np.concatenate([[1], np.cumprod(np.full(255, BASE, np.uint64))]).astype(np.uint64)
+IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of a text, in order; A-Z count as a-z."""
     data = np.frombuffer(text.lower(), np.uint8)
-    blank = white_table()[data]
+    blank = IS_WHITE[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -71,7 +64,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     begin = np.zeros(len(data), np.int64)
     begin[starts] = starts
     place = np.arange(len(data)) - np.maximum.accumulate(begin)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * powers()[place & 255]
+    terms = (data.astype(np.uint64) + np.uint64(1)) * POWERS[place & 255]
     if lengths.max() > 256:
         terms *= np.uint64(1) + np.uint64(MIX) * (place >> 8).astype(np.uint64)
     terms[blank] = 0

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +42,22 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 777_767_777)
 
 
-@lru_cache(1)
+KNOWN_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def powers() -> tuple[np.ndarray, np.ndarray]:
-    """FACTOR ** i and its inverse modulo 2 ** 64."""
+    """FACTOR ** i and its inverse modulo 2 ** 64, made once in a process.
+
+    They are kept in a list, since a cached function would be looked up in the package, which
+    executors need not have.
+    """
+    if KNOWN_POWERS:
+        return KNOWN_POWERS[0]
     n = PART + 2 * SPAN + 8
     factor, inverse = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
     factor[0] = inverse[0] = 1
-    return np.cumprod(factor), np.cumprod(inverse)
+    KNOWN_POWERS.append((np.cumprod(factor), np.cumprod(inverse)))
+    return KNOWN_POWERS[0]
 
 
 def seed_hashes(data: np.ndarray, seed: int) -> np.ndarray:
