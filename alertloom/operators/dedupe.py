@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.sources.seen_log import SeenView
+
 
 def _best(df: DataFrame, keys: list[str], tie: str, slot: str) -> DataFrame:
     """Highest score per key; ties go to the smallest ``tie``, which also names the slot."""
@@ -32,12 +34,15 @@ def collapse_offers(unique: DataFrame) -> DataFrame:
     return _best(unique, ["norm_url", "norm_company"], tie="key_slot", slot="slot")
 
 
-def drop_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:
+def drop_seen(rows: DataFrame, seen: DataFrame | SeenView) -> DataFrame:
     """Rows whose key has not been alerted.
 
     Used after ``best_per_key``, whose output is already partitioned by the key, and
-    without a broadcast hint: the state grows, Spark decides by its measured size.
+    without a broadcast hint: the state grows, Spark decides by its measured size.  A view
+    of a state log compares with its runs as they lie.
     """
+    if isinstance(seen, SeenView):
+        return seen.drop_from(rows)
     return rows.join(seen.select("dedupe_key"), "dedupe_key", "left_anti")
 
 
@@ -61,7 +66,7 @@ def rank_top(rows: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(*ranking())))
 
 
-def rank_new(scored: DataFrame, seen: DataFrame | None, limit: int) -> DataFrame:
+def rank_new(scored: DataFrame, seen: DataFrame | SeenView | None, limit: int) -> DataFrame:
     """Duplicates removed, seen keys removed, offers collapsed, top rows kept."""
     unique = best_per_key(scored)
     if seen is not None:

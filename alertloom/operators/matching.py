@@ -146,6 +146,13 @@ def mark_listings(listings: DataFrame, rules: Rules) -> DataFrame:
     return listings.withColumn("hits", F.when(relevant(rules), hits(rules)))
 
 
+def score_keys(matched_rows: DataFrame, as_of: Column, rules: Rules, settings: Settings) -> DataFrame:
+    """What rows are ranked by and nothing else; ``score_listings`` tells the rest."""
+    return matched_rows.select(
+        "dedupe_key", "norm_url", "norm_company", score(as_of, settings, rules).alias("match_score"),
+        freshness_rank(as_of, settings).alias("freshness_rank"), "posted_at", "seq")
+
+
 def score_listings(matched_rows: DataFrame, as_of: Column, rules: Rules, settings: Settings) -> DataFrame:
     """Add score, freshness rank, reason and the sorted list of skills."""
     return matched_rows.withColumns({

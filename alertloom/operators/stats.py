@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+STEPS = ("raw", "relevant", "new_unique", "returned")
 # What is noted about a failed request.
 NOTES = {"robots": "robots.txt disallow", "403": "HTTP 403", "429": "HTTP 429"}
 
@@ -54,10 +55,16 @@ def funnel(listings: DataFrame, scored: DataFrame, collapsed: DataFrame, ranked:
     counts = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "rows")
         for i, (name, df) in enumerate(
-            (("raw", listings), ("relevant", scored), ("new_unique", collapsed), ("returned", ranked))
+            zip(STEPS, (listings, scored, collapsed, ranked))
         )
     ]
     out = counts[0]
     for more in counts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def watched_funnel(spark: SparkSession, watched: dict[str, Observation]) -> DataFrame:
+    """``funnel`` from counts that were taken while the steps ran."""
+    rows = [(i, step, watched[step].get["rows"]) for i, step in enumerate(STEPS)]
+    return spark.createDataFrame(rows, "step_no int, step string, rows long")

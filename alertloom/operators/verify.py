@@ -30,15 +30,19 @@ def date_check_candidates(pairs: DataFrame, limit: int | None = None) -> DataFra
     return every if limit is None else every.orderBy("detail_url").limit(limit)
 
 
-def check_dates(candidates: DataFrame, detail_pages: DataFrame, as_of: Column, day_first: bool = False) -> DataFrame:
+def check_dates(candidates: DataFrame, detail_pages: DataFrame, as_of: Column, day_first: bool = False,
+                limit: int | None = None) -> DataFrame:
     """``detail_url, found_at`` of the candidates whose page was fetched.
 
-    ``detail_pages`` has ``url, ok, html``.  Dates are read on the scan, and only they are
-    joined with the candidates, so ``html`` is never moved.
+    ``detail_pages`` has ``url, ok, html``.  With ``limit``, the most candidates there can be, they are
+    sent to the scan and no other page is parsed.  Without it dates are read on the scan of
+    all pages, and only they are joined with the candidates.  ``html`` is never moved.
     """
     good = detail_pages.where("ok").select(F.col("url").alias("detail_url"), "html")
+    if limit is not None:
+        good = good.join(F.broadcast(candidates.limit(limit)), "detail_url", "left_semi")
     dated = detail_dates(good, as_of, day_first).groupBy("detail_url").agg(F.min("found_at").alias("found_at"))
-    return dated.join(candidates, "detail_url", "left_semi")
+    return dated if limit is not None else dated.join(candidates, "detail_url", "left_semi")
 
 
 def apply_dates(matched: DataFrame, pairs: DataFrame, checked: DataFrame) -> DataFrame:

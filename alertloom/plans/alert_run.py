@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.config import Rules, Settings
@@ -15,21 +15,24 @@ from alertloom.operators.requests import fetched_pages, request_plan
 from alertloom.session import written
 from alertloom.sources import seen as state
 from alertloom.sources.seen import SeenStore
+from alertloom.sources.seen_log import SeenLog, SeenView
 from alertloom.sources.sinks import dump_raw, write_digest
 
 
 def rank_listings(
-    listings: DataFrame, as_of: Column, rules: Rules, settings: Settings, seen: DataFrame | None = None
+    listings: DataFrame, as_of: Column, rules: Rules, settings: Settings, seen: DataFrame | SeenView | None = None
 ) -> DataFrame:
-    """Filter, score, de-duplicate and rank rows in one pass.
+    """Filter, score, de-duplicate and rank rows.
 
-    Cheap filters come first, keyword lists are built for relevant rows only, and
-    nothing is moved before the first grouping has shrunk it.
+    Duplicates and order are decided on keys, scores and times; no text takes part in a
+    shuffle.  The rows that win, at most ``max_results``, are fetched by ``seq`` from
+    ``listings``, which are read a second time for that, and only they are explained.
     """
     young = listings.where(matching.young_enough(as_of, settings))
-    found = matching.match_listings(young, rules)
-    scored = matching.score_listings(matching.with_keys(found), as_of, rules, settings)
-    return dedupe.rank_new(scored.drop("hits", "detail_url"), seen, settings.max_results)
+    keys = matching.with_keys(matching.match_listings(young, rules))
+    top = dedupe.rank_new(matching.score_keys(keys, as_of, rules, settings), seen, settings.max_results)
+    won = listings.join(top.select("seq", "key_slot", "slot", "place"), "seq").withColumn("hits", matching.hits(rules))
+    return matching.score_listings(matching.with_keys(won), as_of, rules, settings).drop("hits", "detail_url")
 
 
 @dataclass
@@ -44,20 +47,23 @@ class AlertRun:
     messages: DataFrame
     as_of: Column
     settings: Settings
-    seen: DataFrame
+    seen: DataFrame | SeenView
+    watched: dict[str, Observation]
 
     def funnel(self) -> DataFrame:
-        return stats.funnel(self.listings, self.scored, self.collapsed, self.ranked)
+        """Rows after each step, counted while they passed by; nothing is computed again."""
+        return stats.watched_funnel(self.listings.sparkSession, self.watched)
 
     def next_seen(self, delivered: bool) -> DataFrame:
         """State after the run: only rows that were sent count as seen."""
-        merged = state.merge(self.seen, self.ranked, self.as_of) if delivered else self.seen
+        seen = self.seen.read() if isinstance(self.seen, SeenView) else self.seen
+        merged = state.merge(seen, self.ranked, self.as_of) if delivered else seen
         return state.prune(merged, self.as_of, self.settings.retention_days)
 
 
 def alert_run(
     pages: DataFrame,
-    seen: DataFrame,
+    seen: DataFrame | SeenView,
     as_of: Column,
     rules: Rules = Rules(),
     settings: Settings = Settings(),
@@ -67,30 +73,41 @@ def alert_run(
     """Run over fetched pages (columns as ``extract_listings`` asks for).
 
     Extraction and keyword matching are the expensive part and feed several results, so
-    their output is written once to the shared folder and read from there.
+    their output is written once to the shared folder and read from there.  Ranking reads
+    its narrow columns; the rows that win are fetched by ``seq``.
     """
+    watched = {step: Observation() for step in stats.STEPS}
+
+    def watch(df: DataFrame, step: str) -> DataFrame:
+        return df.observe(watched[step], F.count(F.lit(1)).alias("rows"))
+
     marked = matching.mark_listings(extract_listings(pages, as_of, day_first=day_first), rules)
-    listings = written(matching.with_keys(marked), "listings")
+    listings = written(watch(matching.with_keys(marked), "raw"), "listings")
     found = listings.where(F.col("hits").isNotNull()).where(matching.valid())
     if detail_pages is not None:
         pairs = verify.unseen_undated(found, seen)
         candidates = verify.date_check_candidates(pairs, settings.date_check_max)
-        checked = written(verify.check_dates(candidates, detail_pages, as_of, day_first), "checked")
+        checked = written(verify.check_dates(
+            candidates, detail_pages, as_of, day_first, settings.date_check_max), "checked")
         found = verify.apply_dates(found, pairs, checked)
     young = found.where(matching.young_enough(as_of, settings))
-    scored = matching.score_listings(young, as_of, rules, settings).drop("hits", "detail_url")
-    collapsed = dedupe.collapse_offers(dedupe.drop_seen(dedupe.best_per_key(scored), seen))
-    # at most ``max_results`` rows, but costly to make: shared by messages and state
-    ranked = written(dedupe.rank_top(collapsed, settings.max_results), "ranked")
+    scored = matching.score_keys(young, as_of, rules, settings)
+    unique = dedupe.best_per_key(watch(scored, "relevant"))
+    collapsed = dedupe.collapse_offers(dedupe.drop_seen(unique, seen))
+    top = dedupe.rank_top(watch(collapsed, "new_unique"), settings.max_results)
+    # at most ``max_results`` rows, with the date that was found for them
+    won = listings.drop("posted_at").join(top.select("seq", "posted_at", "key_slot", "slot", "place"), "seq")
+    texts = matching.score_listings(won, as_of, rules, settings).drop("hits", "detail_url")
+    ranked = written(watch(texts, "returned"), "ranked")
     rows = digest.digest_rows(ranked, as_of)
     return AlertRun(
-        listings, scored, collapsed, ranked, rows, digest.digest_messages(rows), as_of, settings, seen
+        listings, scored, collapsed, ranked, rows, digest.digest_messages(rows), as_of, settings, seen, watched
     )
 
 
 def finish(
     run: AlertRun,
-    store: SeenStore,
+    store: SeenStore | SeenLog,
     deliver: Callable[[DataFrame], bool] | None = None,
     dry_run: bool = False,
     tag: str = "",
@@ -104,7 +121,7 @@ def finish(
     if dry_run:
         return False
     sent = bool(deliver(run.messages)) if deliver else False
-    store.write(run.next_seen(sent and not run.ranked.isEmpty()), tag)
+    store.after_run(run, sent and not run.ranked.isEmpty(), tag)
     return sent
 
 
@@ -112,7 +129,7 @@ def run(
     spark: SparkSession,
     sources: DataFrame,
     pages_for: Callable[[DataFrame], DataFrame],
-    store: SeenStore,
+    store: SeenStore | SeenLog,
     as_of: Column,
     rules: Rules = Rules(),
     settings: Settings = Settings(),
@@ -132,7 +149,7 @@ def run(
     plan = request_plan(sources, settings.queries, only_sources, limit_queries)
     results = pages_for(plan)
     done = alert_run(
-        fetched_pages(plan, results), store.read(), as_of, rules, settings, detail_pages
+        fetched_pages(plan, results), store.current(), as_of, rules, settings, detail_pages
     )
     breakdown = stats.source_breakdown(plan, results, done.listings)
     if debug_path:

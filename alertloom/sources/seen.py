@@ -85,6 +85,7 @@ class SeenStore:
     A version counts only once it is complete.  Every write adds a version of its own
     above all others and replaces none.  A version may carry a tag that names what wrote
     it, so that work which is done again can read the state from before its first try.
+    One writer at a time; ``seen_log.SeenLog`` takes several, and writes only what is new.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -105,6 +106,14 @@ class SeenStore:
             return empty_seen(self.spark)
         return self.spark.read.schema(SEEN_SCHEMA).parquet(self._folder(*known[-1]))
 
+    def current(self, not_by: str | None = None) -> DataFrame:
+        """The state a run compares with."""
+        return self.read(not_by)
+
+    def after_run(self, run, sent: bool, tag: str = "") -> None:
+        """Write the whole state as it is after a run."""
+        self.write(run.next_seen(sent), tag)
+
     def write(self, seen: DataFrame, tag: str = "") -> int:
         """Add a version and return its number."""
         number = (self.versions() or [0])[-1] + 1

@@ -13,6 +13,7 @@ from alertloom.config import Rules, Settings
 from alertloom.plans.alert_run import alert_run, finish
 from alertloom.session import new_path
 from alertloom.sources.seen import SeenStore
+from alertloom.sources.seen_log import SeenLog
 
 PAGES_SCHEMA = (
     "task_id long, source string, kind string, page_url string, default_location string, "
@@ -30,7 +31,7 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 def incremental_alerts(
     pages: DataFrame,
-    store: SeenStore,
+    store: SeenStore | SeenLog,
     out_path: str,
     as_of: Callable[[int], Column],
     checkpoint: str,
@@ -52,7 +53,7 @@ def incremental_alerts(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         tag = f"{stream}-{batch_id}"
-        done = alert_run(batch, store.read(not_by=tag), as_of(batch_id), rules, settings, detail_pages, day_first)
+        done = alert_run(batch, store.current(not_by=tag), as_of(batch_id), rules, settings, detail_pages, day_first)
         done.digest.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         if deliver and not deliver(done.messages):
             raise RuntimeError(f"batch {batch_id} was not delivered")

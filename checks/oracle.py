@@ -198,6 +198,24 @@ SQL["term_matches"] = f"""WITH {LISTINGS} SELECT seq, {joined(hit_list(HAY, RULE
 SQL["default_rules"] = f"""WITH {LISTINGS} SELECT seq, {joined(hit_list(HAY, Rules().terms))} AS terms,
   {joined(hit_list(HAY, Rules().skills))} AS skills FROM l"""
 SQL["relevance"] = f"WITH {LISTINGS} SELECT seq FROM l WHERE {relevant(RULES)}"
+def _marked(x: str) -> str:
+    """A mark on both sides of all that is no word character, so that borders are part of the text."""
+    return f"regexp_replace({x}, '([^\\p{{L}}\\p{{N}}_])', chr(2) || '\\1' || chr(2), 'g')"
+
+
+SQL["match_rule_table"] = f"""WITH d AS (SELECT doc_id, text, {TITLE} AS title FROM documents),
+  said AS (SELECT doc_id, chr(2) || {_marked("lower(text || coalesce(' ' || p_name || '+', ''))")} || chr(2) AS marked
+    FROM d LEFT JOIN part ON doc_id = p_partkey),
+  raw AS (SELECT 'openings' AS list, array_to_string(string_split(title, ' ')[1:2], ' ') AS term, doc_id AS pos FROM d
+    UNION ALL SELECT 'names', p_name, p_partkey FROM part
+    UNION ALL SELECT 'words', unnest(string_split(p_name, ' ')), p_partkey * 2 + generate_subscripts(string_split(p_name, ' '), 1) - 1 FROM part
+    UNION ALL SELECT 'signs', string_split(p_name, ' ')[-1] || '+', p_partkey FROM part),
+  t AS (SELECT list, trim(regexp_replace(lower(term), '{WS}+', ' ', 'g')) AS label, min(pos) AS pos FROM raw GROUP BY list, lower(term)),
+  p AS (SELECT *, CASE WHEN regexp_matches(label, '^[\\p{{L}}\\p{{N}}]') THEN chr(2) ELSE '' END || trim({_marked("label")}, chr(2))
+    || CASE WHEN regexp_matches(label, '[\\p{{L}}\\p{{N}}]$') THEN chr(2) ELSE '' END AS pattern FROM t WHERE label <> '')
+  SELECT doc_id, list, string_agg(label, ',' ORDER BY pos) AS hits FROM said JOIN p ON contains(marked, pattern) GROUP BY doc_id, list"""
+SQL["term_matches_table"] = SQL["term_matches"]
+SQL["relevance_table"] = SQL["relevance"]
 SQL["age_filter"] = f"WITH {LISTINGS} SELECT seq, title FROM l WHERE title <> '' AND {YOUNG}"
 SQL["score"] = f"""WITH {LISTINGS}, {scored(RULES)} SELECT seq, CAST(match_score AS BIGINT) AS match_score,
   CAST(freshness_rank AS BIGINT) AS freshness_rank, {joined('matched_skills')} AS matched_skills FROM s"""
@@ -213,6 +231,7 @@ SQL["collapse_url_company"] = f"WITH {EVENTS}, {BEST}, {COLLAPSE} SELECT norm_ur
 SQL["rank_topn"] = f"WITH {EVENTS}, {BEST}, {COLLAPSE}, {RANK} SELECT place, seq, dedupe_key FROM r WHERE place <= 40"
 SQL["anti_seen"] = f"""WITH {EVENTS}, {BEST} SELECT dedupe_key, seq FROM b WHERE dedupe_key NOT IN (
   SELECT user_id || '|view|' || (props ->> '$.k') FROM events WHERE event_type = 'purchase')"""
+SQL["anti_seen_log"] = SQL["anti_seen"]
 SQL["rank_documents"] = f"""WITH {LISTINGS}, {ranked(RULES)} SELECT place, seq, CAST(match_score AS BIGINT) AS match_score,
   CAST(freshness_rank AS BIGINT) AS freshness_rank, match_reason FROM r WHERE place <= 40"""
 
@@ -369,6 +388,8 @@ SQL["date_check"] = f"""WITH {LISTINGS}, k AS (SELECT l.seq, {key_of()} AS key,
     ON k.posted_at IS NULL AND p.key = k.key AND p.url = k.url
   WHERE k.posted_at IS NOT NULL OR k.url NOT IN (SELECT url FROM checked WHERE found IS NULL)"""
 
+SQL["date_check_limited"] = SQL["date_check"].replace("SELECT DISTINCT url, n FROM pairs)", "SELECT DISTINCT url, n FROM pairs ORDER BY url LIMIT 20)")
+
 # --- state, sinks, streams --------------------------------------------------------------
 
 KEYS = """k AS (SELECT user_id, event_type, user_id || '|' || event_type AS dedupe_key,
@@ -381,6 +402,8 @@ SQL["seen_merge"] = f"""WITH {KEYS} SELECT dedupe_key, CASE WHEN event_type IN (
 SQL["seen_json"] = f"""WITH {KEYS} SELECT dedupe_key, CASE WHEN user_id % 5 = 0 THEN {_STAMPED} ELSE first_seen END AS first_seen
   FROM k WHERE user_id % 5 = 0 OR user_id % 7 <> 0"""
 SQL["seen_versions"] = f"WITH {KEYS} SELECT dedupe_key, first_seen FROM k WHERE ts >= {NOW} - INTERVAL 3 DAY"
+SQL["seen_log"] = f"""WITH {KEYS} SELECT dedupe_key, CASE WHEN event_type = 'purchase' THEN {_STAMPED} ELSE first_seen END AS first_seen
+  FROM k WHERE event_type = 'purchase' OR ts >= {NOW} - INTERVAL 3 DAY"""
 SQL["raw_dump"] = f"""WITH {LISTINGS} SELECT source, title, company, location, url,
   strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS posted_at, sha256(summary) AS summary_sha FROM l"""
 _WP = EXTRACTED["wordpress"]
@@ -388,6 +411,7 @@ WORDPRESS = f"""{DOCS}, l AS (SELECT doc_id * 2147483648 AS seq, source, {_WP[1]
   {_WP[4]} AS url, dated AS posted_at, {_WP[6]} AS summary FROM d WHERE {_WP[0]})"""
 _DIGEST_OUT = "SELECT place, chunk, title, url, description, color, company, posted, score, skills, source FROM d2"
 SQL["alert_run_batch"] = f"WITH {WORDPRESS}, {ranked(RULES)}, {digest(40).replace('d AS', 'd2 AS', 1)} {_DIGEST_OUT}"
+SQL["run_funnel"] = SQL["funnel"].replace(LISTINGS, WORDPRESS)
 SQL["incremental_alerts"] = "\nUNION ALL ".join(
     f"SELECT * FROM (WITH {WORDPRESS}, {ranked(RULES)}, {digest(40 * (n + 1)).replace('d AS', 'd2 AS', 1)} "
     f"{_DIGEST_OUT.replace('SELECT ', f'SELECT CAST({n} AS BIGINT) AS batch, ')})" for n in range(3))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import dates, text
-from alertloom.operators import dedupe, digest, extract, matching, stats, verify
+from alertloom.operators import dedupe, digest, extract, matching, rule_table, stats, verify
 from alertloom.operators.requests import fetched_pages, lane_plan, request_plan, url_policy
 from alertloom.plans.alert_run import alert_run, finish, rank_listings
 from alertloom.plans.articles import article_listings, top_listings as ranked_articles
 from alertloom.session import new_path, written
 from alertloom.sources import seen as state
 from alertloom.sources.dom import elements, with_dom
+from alertloom.sources.seen_log import SeenLog
 from alertloom.sources.sinks import dump_raw
 from alertloom.streaming import incremental
 from checks import inputs as I
@@ -172,6 +173,44 @@ def default_rules(spark, sf_dir):
     return rows.select("seq", _joined("terms", "hits.terms"), _joined("skills", "hits.skills"))
 
 
+@query
+def match_rule_table(spark, sf_dir):
+    """Terms from tables: the opening words of all documents, names, words and signs of parts."""
+    parts = I.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("words"))
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text", I.strip(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+    opening = F.array_join(F.slice(F.split("title", " "), 1, 2), " ")
+    lists = {
+        "openings": docs.select(F.lower(opening).alias("term"), F.col("doc_id").alias("pos")),
+        "names": parts.select(F.col("p_name").alias("term"), F.col("p_partkey").alias("pos")),
+        "words": parts.select(F.posexplode("words").alias("i", "term"), "p_partkey").select("term", (F.col("p_partkey") * 2 + F.col("i")).alias("pos")),
+        "signs": parts.select(F.concat(F.element_at("words", -1), F.lit("+")).alias("term"), F.col("p_partkey").alias("pos")),
+    }
+    rules = None
+    for name, terms in lists.items():
+        # a term once, at its first place
+        rows = terms.groupBy("term").agg(F.min("pos").alias("pos")).select(F.lit(name).alias("list"), "pos", "term", F.lit(False).alias("exact"))
+        rules = rows if rules is None else rules.unionByName(rows)
+    said = docs.join(parts, F.col("doc_id") == F.col("p_partkey"), "left").select("doc_id", F.concat(
+        "text", F.coalesce(F.concat(F.lit(" "), F.upper("p_name"), F.lit("+")), F.lit(""))).alias("text"))
+    return rule_table.match_table(said, rules, "doc_id").select("doc_id", "list", _joined("hits").alias("hits"))
+
+
+@query
+def term_matches_table(spark, sf_dir):
+    """The configured rules as a table."""
+    rows = I.document_listings(spark, sf_dir).select("seq", matching.haystack().alias("hay"))
+    kinds = ["locations", "terms", "skills"]
+    hits = rule_table.match_table(rows, rule_table.rules_frame(spark, I.RULES), text="hay").where(F.col("list").isin(kinds))
+    wide = hits.groupBy("seq").pivot("list", kinds).agg(F.first(F.array_join("hits", ",")))
+    return rows.select("seq").join(wide, "seq", "left").na.fill("", kinds)
+
+
+@query
+def relevance_table(spark, sf_dir):
+    rules = rule_table.rules_frame(spark, I.RULES)
+    return rule_table.match_listings_by_table(I.document_listings(spark, sf_dir), rules).select("seq")
+
+
 @query
 def age_filter(spark, sf_dir):
     rows = I.document_listings(spark, sf_dir)
@@ -232,6 +271,20 @@ def anti_seen(spark, sf_dir):
     return dedupe.drop_seen(best, kept).select("dedupe_key", "seq")
 
 
+@query
+def anti_seen_log(spark, sf_dir):
+    """The same keys from a log of runs, one of them merged and bucketed."""
+    best = dedupe.best_per_key(_event_scores(spark, sf_dir))
+    kept = I.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(
+        "user_id", state.iso_text(F.col("ts").cast("timestamp")).alias("first_seen"),
+        F.concat_ws("|", F.col("user_id").cast("string"), F.lit("view"), F.get_json_object("props", "$.k")).alias("dedupe_key"))
+    log = SeenLog(spark, new_path(spark, "state-log"), buckets=8, bucket_rows=1, fan=3)
+    for n in range(4):
+        log.append(kept.where(F.col("user_id") % 4 == n))
+        log.compact()
+    return dedupe.drop_seen(best, log.current()).select("dedupe_key", "seq")
+
+
 def _ranked(spark, sf_dir) -> DataFrame:
     return rank_listings(I.document_listings(spark, sf_dir, searched=True), I.as_of(), I.RULES, I.SETTINGS)
 
@@ -491,9 +544,7 @@ def undated_groups(spark, sf_dir):
     return verify.undated_groups(found).select("detail_url", "rows", "first_seq")
 
 
-@query
-def date_check(spark, sf_dir):
-    """Undated documents look at the page behind their address."""
+def _date_check(spark, sf_dir, limit: int | None) -> DataFrame:
     found = matching.with_keys(I.document_listings(spark, sf_dir)).select(
         "seq", "dedupe_key", "detail_url", "posted_at")
     places = I.table(spark, sf_dir, "documents").select("lang", F.expr("n_chars div 20").alias("n")).distinct()
@@ -503,11 +554,23 @@ def date_check(spark, sf_dir):
                           (F.col("n") % 3 != 0).alias("ok"), html.alias("html"))
     seen = found.where("seq % 10 = 0").select("dedupe_key")
     pairs = verify.unseen_undated(found, seen)
-    checked = verify.check_dates(verify.date_check_candidates(pairs), pages, I.as_of())
+    checked = verify.check_dates(verify.date_check_candidates(pairs, limit), pages, I.as_of(), limit=limit)
     return verify.apply_dates(found, pairs, written(checked, "checked")).select(
         "seq", I.stamp_text(F.col("posted_at")).alias("posted"))
 
 
+@query
+def date_check(spark, sf_dir):
+    """Undated documents look at the page behind their address."""
+    return _date_check(spark, sf_dir, None)
+
+
+@query
+def date_check_limited(spark, sf_dir):
+    """Only the first 20 addresses are looked at, as a run with a limit does."""
+    return _date_check(spark, sf_dir, 20)
+
+
 # --- state, sinks, streams --------------------------------------------------------------
 
 @query
@@ -546,6 +609,20 @@ def seen_versions(spark, sf_dir):
     return store.read()
 
 
+@query
+def seen_log(spark, sf_dir):
+    """Small writes to a log, some keys twice, then forgetting; runs are merged on the way."""
+    log = SeenLog(spark, new_path(spark, "state-log"), buckets=8, bucket_rows=1, fan=3)
+    keys = I.event_keys(spark, sf_dir)
+    for n in range(7):
+        log.append(keys.where(F.col("user_id") % 7 == n).select("dedupe_key", "first_seen"))
+        log.compact()
+    log.append(keys.where("event_type = 'purchase'").select("dedupe_key", state.iso_text(I.as_of()).alias("first_seen")))
+    log.prune(I.as_of(), 3)
+    log.compact()
+    return log.read()
+
+
 @query
 def raw_dump(spark, sf_dir):
     path = new_path(spark, "raw")
@@ -575,6 +652,13 @@ def alert_run_batch(spark, sf_dir):
     return _digest_out(second.digest)
 
 
+@query
+def run_funnel(spark, sf_dir):
+    """Rows after each step of a run, counted as they passed."""
+    done = alert_run(_alert_pages(spark, sf_dir), state.empty_seen(spark), I.as_of(), I.RULES, I.SETTINGS)
+    return done.funnel().select("step", "rows")
+
+
 @query
 def incremental_alerts(spark, sf_dir):
     """Every page in three micro-batches, on a store that a batch run has filled before.
@@ -584,7 +668,7 @@ def incremental_alerts(spark, sf_dir):
     """
     out, log = new_path(spark, "alerts"), new_path(spark, "alerts-log")
     pages, path = _alert_pages(spark, sf_dir), new_path(spark, "pages")
-    store = state.SeenStore(spark, new_path(spark, "state"))
+    store = SeenLog(spark, new_path(spark, "state-log"))
     finish(alert_run(pages, store.read(), I.as_of(), I.RULES, I.SETTINGS), store, lambda messages: True)
     for _ in range(3):
         pages.write.mode("append").parquet(path)
