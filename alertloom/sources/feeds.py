@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from alertloom.functions.text import decode_entities, let
 
@@ -80,43 +81,50 @@ def feed_error(body: Column, parsed: Column) -> Column:
         body.isNotNull() & F.coalesce(unknown, F.lit(True)) & ~F.coalesce(body.rlike("(?i)<(rss|rdf|feed|channel)"), F.lit(False)), "not a feed")
 
 
-def feed_entries(parsed: Column) -> Column:
-    """Entries of a parsed feed, in order; an unreadable document has none."""
-    items = F.coalesce(parsed["channel"]["item"], parsed["item"])
-    from_rss = F.transform(
-        items,
-        lambda i: _entry(
-            title=_first(i.title), link=_first(i.link, _permanent(i.guid)), author=_first(i.author, i.creator),
-            published=_first(i.pubDate), updated=_first(i.date),
-            summary=_first(i.description, i.encoded),
-        ),
+def _rss_entry(i: Column) -> Column:
+    return _entry(
+        title=_first(i["title"]), link=_first(i["link"], _permanent(i["guid"])), author=_first(i["author"], i["creator"]),
+        published=_first(i["pubDate"]), updated=_first(i["date"]), summary=_first(i["description"], i["encoded"]),
+    )
+
+
+def _atom_entry(e: Column) -> Column:
+    links = F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    return _entry(
+        title=_first(e["title"]["_VALUE"]), link=_first(F.get(links, F.lit(0))["_href"]), author=_first(e["author"]["name"]),
+        published=_first(e["published"], e["issued"]), updated=_first(e["updated"]),
+        summary=_first(e["summary"]["_VALUE"], e["content"]["_VALUE"]),
     )
 
-    def atom(e: Column) -> Column:
-        links = F.filter(e.link, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
-        return _entry(
-            title=_first(e.title["_VALUE"]), link=_first(F.get(links, F.lit(0))["_href"]),
-            author=_first(e.author["name"]), published=_first(e.published, e.issued),
-            updated=_first(e.updated), summary=_first(e.summary["_VALUE"], e.content["_VALUE"]),
-        )
 
+def feed_entries(parsed: Column) -> Column:
+    """Entries of a parsed feed, in order; an unreadable document has none."""
+    items = F.coalesce(parsed["channel"]["item"], parsed["item"])
     nothing = F.array().cast(f"array<{ENTRY}>")
-    return F.coalesce(from_rss, F.transform(parsed["entry"], atom), nothing)
+    return F.coalesce(F.transform(items, _rss_entry), F.transform(parsed["entry"], _atom_entry), nothing)
 
 
 def read_feed_files(spark, path: str) -> DataFrame:
-    """Items of RSS files on disk; large files are split by item."""
-    schema = (
-        "title string, link string, guid struct<_VALUE:string,_isPermaLink:string>, author string, creator string, pubDate string, date string, "
-        "description string, encoded string"
-    )
-    items = (
-        spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").schema(schema).load(path)
-    )
-    return items.select(
-        *[F.coalesce(c, F.lit("")).alias(n) for n, c in (
-            ("title", _first(F.col("title"))), ("link", _first(F.col("link"), _permanent(F.col("guid")))),
-            ("author", _first(F.col("author"), F.col("creator"))), ("published", _first(F.col("pubDate"))),
-            ("updated", _first(F.col("date"))), ("summary", _first(F.col("description"), F.col("encoded"))),
-        )]
-    )
+    """Items and Atom entries of feed files, with their place: file, block of the file, place in the block.
+
+    Large files are split by item, so a file of any size is read by many tasks.  Sorting by the
+    place gives the order of the files and of the entries in them.  An element that cannot be
+    read is left out; for whole documents with their errors see ``parsed_feed``.
+    """
+    def elements(tag: str, kind: str) -> DataFrame:
+        rows = (
+            spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("mode", "DROPMALFORMED")
+            .schema(StructType.fromDDL(f"e {kind}")["e"].dataType).load(path)
+        )
+        fields = [F.col(name) for name in rows.columns]
+        return rows.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"), F.struct(*fields).alias("e"))
+
+    def read(tag: str, kind: str, entry) -> DataFrame:
+        # a block is bounded by the split size, and so is the window
+        place = F.row_number().over(Window.partitionBy("file", "block").orderBy("row"))
+        return elements(tag, kind).select("file", "block", place.alias("place"), entry(F.col("e")).alias("entry"))
+
+    both = read("item", _ITEM, _rss_entry).unionByName(read("entry", _ATOM, _atom_entry))
+    return both.select("entry.*", "file", "block", "place")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions.dates import iso_parse
+from alertloom.sources.bucketed import read_bucketed, read_text, rename, write_bucketed, write_text
 from alertloom.sources.seen import SEEN_SCHEMA, _files, empty_seen, iso_text
 
 RUN_SCHEMA = f"{SEEN_SCHEMA}, seen_us long"
@@ -60,7 +61,7 @@ class SeenView:
         """Live rows: all plain runs in one frame, each bucketed run in one of its own."""
         plain = [self.log.folder(run) for run in self.runs if not run["buckets"]]
         frames = [self.log.spark.read.schema(RUN_SCHEMA).parquet(*plain)] if plain else []
-        return [self._alive(f) for f in frames + [self.log.table(run) for run in self.runs if run["buckets"]]]
+        return [self._alive(f) for f in frames + [read_bucketed(self.log.spark, self.log.folder(run)) for run in self.runs if run["buckets"]]]
 
     def read(self) -> DataFrame:
         """``dedupe_key, first_seen``, once per key."""
@@ -92,28 +93,14 @@ class SeenLog:
 
     # --- the log -----------------------------------------------------------------
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
-
     def _commit(self, **said) -> None:
         """Write a file of the log; it counts from its renaming on, which is one step."""
         name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
-        fs, draft = self._fs(f"{self.path}/log/_{name}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(said).encode()))
-        out.close()
-        if not fs.rename(draft, self._fs(f"{self.path}/log/{name}.json")[1]):
-            raise RuntimeError(f"could not commit {name}")
+        write_text(self.spark, f"{self.path}/log/_{name}", json.dumps(said))
+        rename(self.spark, f"{self.path}/log/_{name}", f"{self.path}/log/{name}.json")
 
     def _entries(self) -> dict[str, dict]:
-        jvm, entries = self.spark.sparkContext._jvm, {}
-        for path in _files(self.spark, f"{self.path}/log/*.json"):
-            fs, place = self._fs(path)
-            stream = fs.open(place)
-            entries[path.rsplit("/", 1)[-1]] = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            stream.close()
+        entries = {path.rsplit("/", 1)[-1]: json.loads(read_text(self.spark, path)) for path in _files(self.spark, f"{self.path}/log/*.json")}
         covered = {name for entry in entries.values() for name in entry.get("covers", ())}
         return {name: entry for name, entry in entries.items() if name not in covered}
 
@@ -130,26 +117,16 @@ class SeenLog:
     def folder(self, run: dict) -> str:
         return f"{self.path}/runs/{run['id']}"
 
-    def table(self, run: dict) -> DataFrame:
-        """A bucketed run, known to this session by a name of its own."""
-        name = f"seen_run_{run['id']}"
-        if not self.spark.catalog.tableExists(name):
-            place = self.folder(run).replace("\\", "\\\\").replace("'", "\\'")
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (dedupe_key STRING, first_seen STRING, seen_us BIGINT) USING parquet "
-                           f"CLUSTERED BY (dedupe_key) INTO {run['buckets']} BUCKETS LOCATION '{place}'")
-        return self.spark.table(name)
-
     def _write(self, rows: DataFrame, tag: str = "", buckets: int = 0) -> dict | None:
         """Write a run and return what the log has to know of it; nothing for no rows."""
         run, watch = {"id": uuid.uuid4().hex, "tag": tag, "buckets": buckets}, Observation()
         seen = rows.select("dedupe_key", "first_seen", F.unix_micros(iso_parse(F.col("first_seen"))).alias("seen_us"))
-        dealt = seen.repartition(buckets, "dedupe_key") if buckets else seen
-        dealt = dealt.observe(watch, F.count(F.lit(1)).alias("rows"), F.max("seen_us").alias("high"),
-                              F.count_if(F.col("seen_us").isNull()).alias("undated"))
+        watched = seen.observe(watch, F.count(F.lit(1)).alias("rows"), F.max("seen_us").alias("high"),
+                               F.count_if(F.col("seen_us").isNull()).alias("undated"))
         if buckets:
-            dealt.write.format("parquet").bucketBy(buckets, "dedupe_key").option("path", self.folder(run)).saveAsTable(f"seen_run_{run['id']}")
+            write_bucketed(watched, self.folder(run), "dedupe_key", buckets)
         else:
-            dealt.write.parquet(self.folder(run))
+            watched.write.parquet(self.folder(run))
         run |= watch.get
         return run if run["rows"] else None
 

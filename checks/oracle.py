@@ -428,3 +428,14 @@ SQL["extract_loose_feeds"] = """SELECT doc_id AS task_id, 'R&D' || chr(160) || '
 SQL["extract_atom"] = f"""WITH {DOCS} SELECT doc_id AS task_id, 'Entry ' || doc_id AS title, source AS company,
   'https://f.example/' || doc_id AS url, {stamp('dated')} AS posted, lang AS summary FROM d"""
 SQL["page_scan_planned"] = SQL["page_scan"]
+SQL["page_scan_bucketed"] = SQL["page_scan"]
+SQL["feed_files"] = f"""SELECT CASE WHEN doc_id // 50 % 2 = 0 THEN 'Item ' ELSE 'Entry ' END || doc_id AS title, 'https://f.example/' || doc_id AS link,
+  source AS author, sha256({norm_text('text')}) AS summary_sha, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS place FROM documents"""
+SQL["seen_json_files"] = f"WITH {KEYS} SELECT dedupe_key, first_seen FROM k"
+SQL["digest_files"] = f"SELECT message FROM ({SQL['digest_messages']})"
+# kept for five days, a key goes when the clock is ten days past it, which is three periods later
+SQL["ttl_dedupe_again"] = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, least(4, (day(ts) - 1) // 6) AS period FROM events),
+  r AS (SELECT user_id, event_type, min(period) AS period FROM e GROUP BY ALL
+    UNION ALL SELECT * FROM (SELECT r.user_id, r.event_type, min(e.period) AS period FROM r JOIN e ON e.user_id = r.user_id
+      AND e.event_type = r.event_type AND e.period >= r.period + 3 GROUP BY r.user_id, r.event_type))
+  SELECT user_id, event_type, CAST(period AS BIGINT) AS period FROM r"""

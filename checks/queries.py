@@ -14,9 +14,11 @@ from alertloom.plans.alert_run import alert_run, finish, rank_listings
 from alertloom.plans.articles import article_listings, top_listings as ranked_articles
 from alertloom.session import new_path, written
 from alertloom.sources import seen as state
+from alertloom.sources.bucketed import read_bucketed, write_bucketed
 from alertloom.sources.dom import elements, with_dom
 from alertloom.sources.seen_log import SeenLog
-from alertloom.sources.sinks import dump_raw
+from alertloom.sources.feeds import read_feed_files
+from alertloom.sources.sinks import dump_raw, write_digest
 from alertloom.streaming import incremental
 from checks import inputs as I
 
@@ -305,6 +307,14 @@ def digest_messages(spark, sf_dir):
     return digest.digest_messages(digest.digest_rows(_ranked(spark, sf_dir), I.as_of()))
 
 
+@query
+def digest_files(spark, sf_dir):
+    """The messages as they are written to files."""
+    path = new_path(spark, "digest")
+    write_digest(digest.digest_messages(digest.digest_rows(_ranked(spark, sf_dir), I.as_of())), path)
+    return spark.read.text(path).select(F.col("value").alias("message"))
+
+
 # --- pages ------------------------------------------------------------------------
 
 @query
@@ -450,6 +460,26 @@ def extract_atom(spark, sf_dir):
     return rows.select("task_id", "title", "company", "url", I.stamp_text(F.col("posted_at")).alias("posted"), "summary")
 
 
+@query
+def feed_files(spark, sf_dir):
+    """Files of 50 documents each, RSS and Atom in turn, read back entry by entry."""
+    docs, path = I.documents(spark, sf_dir), new_path(spark, "feeds")
+    number, body, is_rss = F.col("doc_id").cast("string"), I.escaped(F.col("text")), F.expr("doc_id div 50 % 2 = 0")
+    item = F.concat(F.lit("<item><title>Item "), number, F.lit("</title><guid>https://f.example/"), number,
+                    F.lit("</guid><author>"), F.col("source"), F.lit("</author><description>"), body, F.lit("</description></item>"))
+    entry = F.concat(F.lit('<entry><title type="text">Entry '), number, F.lit('</title><link rel="self" href="/s"/><link href="https://f.example/'),
+                     number, F.lit('"/><author><name>'), F.col("source"), F.lit("</name></author><summary>"), body, F.lit("</summary></entry>"))
+    # at most 50 documents to a feed, whatever the table holds
+    feeds = docs.groupBy(F.expr("doc_id div 50").alias("feed")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.when(is_rss, item).otherwise(entry).alias("x")))), lambda d: d["x"]), ""
+                     ).alias("entries"))
+    whole = F.when(F.col("feed") % 2 == 0, F.concat(F.lit("<rss><channel>"), "entries", F.lit("</channel></rss>"))).otherwise(
+        F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")))
+    feeds.select("feed", whole.alias("value")).write.partitionBy("feed").text(path)
+    return read_feed_files(spark, f"{path}/feed=*").select(
+        "title", "link", "author", F.sha2(text.normalize_text(F.col("summary")), 256).alias("summary_sha"), _long("place"))
+
+
 @query
 def detail_dates(spark, sf_dir):
     pages = I.document_pages(spark, sf_dir, "detail", I.page_html("detail")).select("task_id", "html")
@@ -515,6 +545,17 @@ def page_scan(spark, sf_dir):
     return fetched_pages(requests, results).select("task_id", "page_url", F.sha2("html", 256).alias("html_sha"))
 
 
+@query
+def page_scan_bucketed(spark, sf_dir):
+    """Pages that lie in buckets of their number; only the plan is dealt out for the join."""
+    pages, path = I.table(spark, sf_dir, "pages"), new_path(spark, "pages")
+    write_bucketed(pages.select(F.col("page_id").alias("id"), (F.col("page_id") % 4 != 0).alias("ok"), "html", F.when(
+        F.col("page_id") % 3 == 0, "").otherwise(F.concat("url", F.lit("/moved"))).alias("final_url")), path, "id", 16)
+    requests = pages.select(F.col("page_id").alias("id"), F.lit("s").alias("source"), F.lit("generic").alias("kind"), "url",
+                            F.lit("Morocco").alias("default_location"), F.lit("").alias("company"))
+    return fetched_pages(requests, read_bucketed(spark, path)).select("task_id", "page_url", F.sha2("html", 256).alias("html_sha"))
+
+
 # --- counts --------------------------------------------------------------------------
 
 @query
@@ -600,6 +641,14 @@ def seen_json(spark, sf_dir):
     return state.parse_seen(docs.select(value.alias("value")), I.as_of())
 
 
+@query
+def seen_json_files(spark, sf_dir):
+    """State written as JSON documents and read back, beside a path where nothing is."""
+    keys, path = I.event_keys(spark, sf_dir).select("dedupe_key", "first_seen"), new_path(spark, "seen-json")
+    state.write_seen_json(keys, path, I.as_of())
+    return state.read_seen_json(spark, path, I.as_of()).unionByName(state.read_seen_json(spark, new_path(spark, "nothing"), I.as_of()))
+
+
 @query
 def seen_versions(spark, sf_dir):
     """State written and read back through the versioned store."""
@@ -683,3 +732,19 @@ def ttl_dedupe(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     keys = incremental.first_alert_per_key(events.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
     return incremental.drain(keys, "ttl").select("user_id", "event_type")
+
+
+@query
+def ttl_dedupe_again(spark, sf_dir):
+    """Users and types alerted again once they are forgotten: arrivals of six days at a time, kept for five."""
+    path, out, log = new_path(spark, "arrivals"), new_path(spark, "ttl-again"), new_path(spark, "ttl-again-log")
+    period = F.least(F.lit(4), F.expr("(dayofmonth(ts) - 1) div 6")).cast("int")
+    events = I.table(spark, sf_dir, "events").select("user_id", "event_type", period.alias("period")).withColumn(
+        "ts", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(6 * period)"))
+    schema = events.schema
+    for n in range(5):
+        events.where(F.col("period") == n).write.mode("append").parquet(path)
+        arrivals = spark.readStream.schema(schema).parquet(path)
+        incremental.first_alert_per_key(arrivals, ["user_id", "event_type"], "ts", "5 days").writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out).select("user_id", "event_type", _long("period"))

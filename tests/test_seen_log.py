@@ -133,7 +133,25 @@ def test_bucketed_runs_are_not_moved(spark, tmp_path, rows_of):
         right = plan[plan.index("LeftAnti"):]
         state = right[right.index("seen_us"):] if "seen_us" in right else right
         assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in state
-        spark.sql(f"DROP TABLE seen_run_{log.current().runs[0]['id']}")
+        for name in spark.catalog.listTables():
+            if name.name.startswith("bucketed_"):
+                spark.sql(f"DROP TABLE {name.name}")
         assert len(as_dict(other.read())) == 90 and dedupe.drop_seen(scored, log.current()).count() == 110
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_expired_keys_leave_the_stream_state(spark, tmp_path):
+    """The stream's own state shrinks once the clock has passed the retention."""
+    from alertloom.streaming.incremental import first_alert_per_key
+
+    path, held = str(tmp_path / "events"), []
+    for day in range(4):
+        rows = [(f"k{day}-{n}", dt.datetime(2026, 1, 1) + dt.timedelta(days=4 * day)) for n in range(20 if day < 2 else 1)]
+        spark.createDataFrame(rows, "key string, ts timestamp").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("key string, ts timestamp").parquet(path)
+        query = first_alert_per_key(stream, ["key"], "ts", "1 day").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(held) >= 20 and held[-1] <= 2
