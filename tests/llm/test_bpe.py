@@ -43,6 +43,14 @@ def test_odd_rows(docs_of, odd_texts, block_words):
     assert bpe.round_trip(docs_of([]), PATH).count() == 0
 
 
+def test_parts_between_blanks(docs_of):
+    """Random white space around words: parts that are cut once give what whole texts give."""
+    draw = random.Random(6)
+    pieces = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x1c", "\x85", "the", "it's", "'s", "x.", "...", "9²", "é", "漢", "<|endoftext|>", "<|"]
+    rows = [(i, "".join(draw.choices(pieces, k=draw.randint(0, 14)))) for i in range(1500)]
+    assert sorted(map(tuple, bpe.round_trip(docs_of(rows), PATH).collect()), key=str) == expected(rows)
+
+
 def test_a_word_goes_out_once_per_block(docs_of):
     rows = [(i, " the" * 200 + f" rare{i}") for i in range(40)]
     packs = [r for r in bpe.words_by_block(docs_of(rows), PATH, 300).collect() if r.block is not None]
