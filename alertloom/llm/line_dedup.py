@@ -5,11 +5,14 @@ shifted by a few places.  A line is an index entry under its own segments and pr
 lines of its own length and down to ``edits`` less, at the places that a match
 allows.  Keys are hashes of segment number, indexed length and substring; whatever meets
 under a key is verified by banded bit-parallel edit distance, whose band of
-``2 * edits + 1`` diagonals fits one word.
-
-A line of fewer than ``least`` characters (blanks at its ends not counted) says too
-little and is left alone.  Lines linked by edits, directly or through others, are one
-class; the first of a class stays: smallest doc_id, then first in the text.
+``2 * edits + 1`` diagonals fits one word.  Before that, marks are compared: an edit changes
+the parity of at most two characters and four pairs of characters, so lines whose marks
+differ in more bits are too far apart.
+
+All lines take part that are not blank.  Edits count between lines of at least ``least``
+characters (blanks at the ends of a line not counted); a shorter one is only equal to itself,
+as few characters leave no room for edits.  Lines linked by edits, directly or through others,
+are one class; the first of a class stays: smallest doc_id, then first in the text.
 """
 
 from __future__ import annotations
@@ -23,46 +26,70 @@ from alertloom.session import written
 
 EDITS = 2
 LEAST = 20
-SMALL_ROWS = 300_000
+SMALL_BYTES = 8_000_000
+SALTS = 16
+
+
+def is_small(df: DataFrame, width: Column | None = None, most: int = SMALL_BYTES) -> bool:
+    """Whether the rows of a written frame, of ``width`` bytes each, have at most ``most`` together."""
+    return (df.agg(F.sum(F.lit(32) if width is None else width)).first()[0] or 0) <= most
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """A written frame of a few narrow columns, to be broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """A written frame, to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, width) else df
 
 
-def text_lines(documents: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_key, place, line of all lines that are long enough, without blanks at their ends."""
+def text_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, place, line, node of all lines that are not blank, without blanks at their ends."""
+    text = F.when(F.col("text").rlike("[\r\t]"), F.translate("text", "\r\t", "  ")).otherwise(F.col("text"))
     return (
-        keyed(documents).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-        .select("doc_id", "text_key", "place", F.trim(F.translate("raw", "\r\t", "  ")).alias("line"))
-        .filter(F.length("line") >= least).withColumn("node", F.xxhash64("line"))
+        keyed(documents).select("doc_id", "text_key", F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+        .select("doc_id", "text_key", "place", F.trim("raw").alias("line"))
+        .filter(F.length("line") > 0).withColumn("node", F.xxhash64("line"))
     )
 
 
-def segment(length: Column, parts: int, number: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment: the last ones are one longer where it does not come out even."""
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    before = F.greatest(F.lit(number) - (F.lit(parts) - longer), F.lit(0))
-    return short * number + before, short + (F.lit(number) >= F.lit(parts) - longer).cast("int")
+def shapes(edits: int) -> list[tuple[int, int, int]]:
+    """(number, less, shift): for every segment and indexed length the shifts at which a match can lie."""
+    return [(number, less, shift) for less in range(edits + 1) for number in range(edits + 1)
+            for shift in range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)]
 
 
-def posted_keys(edits: int) -> Column:
-    """Array of (key, own) of a line: for every indexed length, segment and allowed shift."""
+def posted_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """node, key, own of the ``lines`` (node, line) under every shape.
+
+    The last segments are one longer where the length does not come out even.  The shapes are rows
+    of a constant array, so that one short expression makes all keys.
+    """
     parts = edits + 1
-    length = F.length("line")
-    keys = []
-    for less in range(edits + 1):
-        indexed = length - less
-        for number in range(parts):
-            start, size = segment(indexed, parts, number)
-            low = max(-number, less - (edits - number))
-            high = min(number, less + (edits - number))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(number), indexed, F.substring("line", start + shift + 1, size))
-                keys.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*keys)
+    every = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(k).alias("less"), F.lit(d).alias("shift")) for n, k, d in shapes(edits)])
+    each = lines.select("node", "line", F.length("line").alias("length")).select("*", F.explode(every).alias("shape"))
+    number, less, shift = (F.col(f"shape.{name}") for name in ("number", "less", "shift"))
+    indexed = F.col("length") - less
+    size, evens = F.floor(indexed / parts).cast("int"), F.lit(parts) - (indexed % parts).cast("int")
+    start = size * number + F.greatest(number - evens, F.lit(0))
+    part = F.substring(F.col("line"), start + shift + 1, size + (number >= evens).cast("int"))
+    return each.select("node", F.xxhash64(number, indexed, part).alias("key"), ((less == 0) & (shift == 0)).alias("own"))
+
+
+def mark(line: str) -> Column:
+    """Two words of parities: of the characters of a line and of its pairs of neighbours, by hash."""
+    def parity(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda bits, part: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(part).bitwiseAND(F.lit(63)).cast("int"))))
+
+    letters = F.split(line, "")
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.length(line)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array(parity(letters), parity(pairs))
+
+
+def marks_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether marks differ in no more bits than ``edits`` edits can change."""
+    def apart(word: int) -> Column:
+        return F.bit_count(F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word))))
+
+    return (apart(0) <= 2 * edits) & (apart(1) <= 4 * edits)
 
 
 def within(a: str, b: str, edits: int) -> Column:
@@ -121,33 +148,42 @@ def within(a: str, b: str, edits: int) -> Column:
 
 def near_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """node and component of distinct lines that have another one within ``edits`` edits."""
-    lines = text_lines(documents, least)
-    posts = lines.select("node", F.inline(posted_keys(edits)))
+    lines = written(text_lines(documents).filter(F.length("line") >= least).select("node", "line").distinct(), "lines")
+    posts = posted_keys(lines, edits)
     met = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("own").alias("own"))
     keys = small(written(met.filter("own AND low < high").select("key"), "line_keys"))
     posts = written(posts.select("node", "key").join(keys, "key", "left_semi").distinct(), "line_posts")
     nodes = small(written(posts.select("node").distinct(), "line_nodes"))
-    texts = written(lines.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line_texts")
+    texts = written(lines.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "line", mark("line").alias("mark")),
+                    "line_texts")
+    posts = written(posts.join(texts.select("node", "mark"), "node").select("node", "key", "mark", F.lit(0).alias("place")), "marked_posts")
 
     def look(pairs: DataFrame) -> DataFrame:
-        of = {n: texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b")}
+        of = {n: texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"), F.col("mark").alias(f"mark_{n}")) for n in ("a", "b")}
         both = pairs.join(of["b"], "b").join(of["a"], "a").filter(F.abs(F.length("line_a") - F.length("line_b")) <= edits)
-        return both.filter(within("line_a", "line_b", edits)).select("a", "b")
+        near = both.filter(marks_near(F.col("mark_a"), F.col("mark_b"), edits))
+        return near.filter(within("line_a", "line_b", edits)).select("a", "b")
 
-    return linked(posts, look)
+    return linked(posts, look, alike=lambda a, b, place: marks_near(a, b, edits))
 
 
 def dropped_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, text_key and the sorted places of dropped lines, for documents that lose any."""
     classes = written(near_lines(documents, edits, least), "line_classes")
-    lines = text_lines(documents, least).select("doc_id", "text_key", "place", "node", F.xxhash64(F.lit(1), "line").alias("proof"))
+    lines = text_lines(documents).select("doc_id", "text_key", "place", "node", F.xxhash64(F.lit(1), "line").alias("proof"))
     joined = lines.join(small(classes), "node", "left").select(
         "doc_id", "text_key", "place", F.coalesce("component", "node").alias("class"),
         F.when(F.col("component").isNull(), F.col("proof")).otherwise(F.lit(0)).alias("proof"))
     joined = written(joined, "line_rows")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")
-    firsts = joined.groupBy("class", "proof").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    drops = joined.join(firsts, ["class", "proof"]).filter(at != F.col("first")).select("doc_id", "text_key", "place")
+    firsts = written(joined.groupBy("class", "proof").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line_firsts")
+    if is_small(firsts, F.lit(64)):
+        both = joined.join(F.broadcast(firsts), ["class", "proof"])
+    else:  # a class may hold a large part of all lines
+        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = joined.withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int")).join(
+            salted, ["class", "proof", "salt"])
+    drops = both.filter(at != F.col("first")).select("doc_id", "text_key", "place")
     return drops.distinct().groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
@@ -158,7 +194,7 @@ def without_repeats(documents: DataFrame, edits: int = EDITS, least: int = LEAST
     stay null, empty ones empty; a null doc_id comes after all others.  Documents keep
     their row even if no line is left.
     """
-    drops = small(written(dropped_lines(documents, edits, least), "line_drops"))
+    drops = small(written(dropped_lines(documents, edits, least), "line_drops"), 32 + 4 * F.size("places"))
     own = drops.select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("places").alias("_cut"))
     key = documents["doc_id"].cast("long").eqNullSafe(own["_cut_id"]) & (F.xxhash64(documents["text"]) == own["_cut_key"])
     joined = documents.join(own, key, "left")
@@ -180,7 +216,7 @@ def kept_lines(text: str, places: str) -> Column:
 
 def line_report(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """A row per row of ``documents``: doc_id, n_lines, n_dropped, kept_sha256 of the text that is left."""
-    drops = small(written(dropped_lines(documents, edits, least), "line_drops"))
+    drops = small(written(dropped_lines(documents, edits, least), "line_drops"), 32 + 4 * F.size("places"))
     left = keyed(documents)
     joined = left.join(drops.withColumnRenamed("doc_id", "cut_id").withColumnRenamed("text_key", "cut_key"),
                        left["doc_id"].eqNullSafe(F.col("cut_id")) & (left["text_key"] == F.col("cut_key")), "left")

@@ -26,14 +26,14 @@ def brute(rows, edits=2, least=20):
     for _, text in rows:
         for line in (text or "").split("\n"):
             plain = line.replace("\r", " ").replace("\t", " ").strip(" ")
-            lines.append(plain if len(plain) >= least else None)
+            lines.append(plain or None)
     distinct = list(dict.fromkeys(x for x in lines if x is not None))
     # pairs by the edit distance of another engine, which counts bytes: one byte per character
     byte = {ord(c): k + 1 for k, c in enumerate(sorted(set("".join(distinct))))}
     assert len(byte) < 128
     bare = pd.DataFrame({"i": range(len(distinct)), "x": [x.translate(byte) for x in distinct]})
     pairs = duckdb.sql(f"""SELECT a.i, b.i FROM bare a JOIN bare b ON abs(length(a.x) - length(b.x)) <= {edits} AND a.i < b.i
-                           WHERE levenshtein(a.x, b.x) <= {edits}""").fetchall() if distinct else []
+                           WHERE least(length(a.x), length(b.x)) >= {least} AND levenshtein(a.x, b.x) <= {edits}""").fetchall() if distinct else []
     top = {x: x for x in distinct}
 
     def find(x):
@@ -49,7 +49,7 @@ def brute(rows, edits=2, least=20):
         kept, dropped = [], 0
         for line in (text or "").split("\n"):
             plain = line.replace("\r", " ").replace("\t", " ").strip(" ")
-            if len(plain) >= least:
+            if plain:
                 if of[plain] in seen:
                     dropped += 1
                     continue
@@ -113,4 +113,4 @@ def test_odd_rows(docs_of, odd_texts):
     assert line_dedup.line_report(docs_of([])).count() == 0
     line = "the same line of some length"
     kept = line_dedup.without_repeats(docs_of([(None, line), (5, f"{line}\nx"), (5, f"{line}\nx"), (4, f"{line} \nx\n{line}"), (6, None)])).collect()
-    assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", f"{line} \nx"), ("5", "x"), ("5", "x"), ("6", None), ("None", "")]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", f"{line} \nx"), ("5", ""), ("5", ""), ("6", None), ("None", "")]
