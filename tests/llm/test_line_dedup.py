@@ -31,9 +31,9 @@ def brute(rows, edits=2, least=20):
     # pairs by the edit distance of another engine, which counts bytes: one byte per character
     byte = {ord(c): k + 1 for k, c in enumerate(sorted(set("".join(distinct))))}
     assert len(byte) < 128
-    bare = pd.DataFrame({"i": range(len(distinct)), "x": [x.translate(byte) for x in distinct]})
+    bare = pd.DataFrame([(i, x.translate(byte)) for i, x in enumerate(distinct) if len(x) >= least], columns=["i", "x"])
     pairs = duckdb.sql(f"""SELECT a.i, b.i FROM bare a JOIN bare b ON abs(length(a.x) - length(b.x)) <= {edits} AND a.i < b.i
-                           WHERE least(length(a.x), length(b.x)) >= {least} AND levenshtein(a.x, b.x) <= {edits}""").fetchall() if distinct else []
+                           WHERE levenshtein(a.x, b.x) <= {edits}""").fetchall() if len(bare) else []
     top = {x: x for x in distinct}
 
     def find(x):
