@@ -69,23 +69,33 @@ def text_of(texts: Column, e: Column) -> Column:
     return F.array_join(F.slice(texts, e.t0 + 1, e.tn), " ")
 
 
-def is_under(e: Column, boxes: Column) -> Column:
-    """True when one of ``boxes`` is an ancestor of ``e``."""
-    return F.exists(boxes, lambda b: (b.pos < e.pos) & (b.pos + b.span >= e.pos))
-
-
-def nearest(e: Column, boxes: Column) -> Column:
-    """The closest ancestor of ``e`` among ``boxes``; they come in document order."""
-    return F.element_at(
-        F.concat(
-            F.array(F.lit(None).cast("struct<pos:int,span:int,t0:int,tn:int>")),
-            F.transform(
-                F.filter(boxes, lambda b: (b.pos < e.pos) & (b.pos + b.span >= e.pos)),
-                lambda b: F.struct(b.pos.alias("pos"), b.span.alias("span"), b.t0.alias("t0"), b.tn.alias("tn")),
-            ),
-        ),
-        -1,
+def enclosing(els: Column, test: Test) -> Column:
+    """For every element of a page the place of its nearest ancestor that passes, -1 when none does.
+
+    An element points to itself if it passes, else to its parent.  Following all pointers
+    at once doubles what each spans, so a page of n elements takes n log n steps however
+    deep it is nested and however many elements pass.  Null when no element passes.
+    """
+    nowhere = F.lit(-1)
+    start = F.transform(els, lambda e: F.when(test(e), e.pos).otherwise(e.up))
+    doublings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(els) + 1)).cast("int"))
+    at = F.aggregate(
+        doublings, start,
+        lambda at, _: F.transform(at, lambda p: F.when(p < 0, p).otherwise(F.get(at, p))),
+        lambda at: F.transform(els, lambda e: F.when(e.up < 0, nowhere).otherwise(F.get(at, e.up))),
     )
+    return F.when(F.exists(els, test), at)
+
+
+def is_under(e: Column, around: Column) -> Column:
+    """True when ``e`` has an ancestor that passes; ``around`` comes from ``enclosing``."""
+    return F.coalesce(F.get(around, e.pos) >= 0, F.lit(False))
+
+
+def nearest(els: Column, e: Column, around: Column) -> Column:
+    """The closest ancestor of ``e`` that passes, null when none does."""
+    place = F.get(around, e.pos)
+    return F.when(place >= 0, F.get(els, place))
 
 
 def value_of(texts: Column, e: Column) -> Column:

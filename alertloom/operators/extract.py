@@ -145,18 +145,17 @@ def generic_cards(page: Page) -> Column:
     dates = [D.tag("time"), lambda e: D.has(e, "datetime"), D.holds("class", "date"),
              D.holds("class", "time"), D.holds("class", "posted")]
 
-    def is_card(lists: Column) -> D.Test:
-        def in_list(list_class: str, item_class: str) -> D.Test:
-            boxes = F.filter(lists, D.css_class(list_class))
-            return lambda e: D.css_class(item_class)(e) & D.is_under(e, boxes)
+    def is_card(around: Column) -> D.Test:
+        def in_list(number: int, item_class: str) -> D.Test:
+            return lambda e: D.css_class(item_class)(e) & D.is_under(e, F.get(around, F.lit(number)))
 
         return D.any_of(
             lambda e: D.has(e, "data-job-id"),
             D.holds("data-testid", "job"),
             *[D.css_class(name) for name in CARD_CLASSES],
             lambda e: (e.tag == "div") & (D.holds("class", "job-card")(e) | D.holds("class", "offer-card")(e)),
-            in_list("list-jobs", "item"),
-            in_list("jobs-list", "job-item"),
+            in_list(0, "item"),
+            in_list(1, "job-item"),
         )
 
     def row(card: Column, inner: Column, text: Column) -> Column:
@@ -173,8 +172,8 @@ def generic_cards(page: Page) -> Column:
         kept = let(full, lambda d: F.when(F.length(d.title) >= MIN_CARD_TITLE, d))
         return F.when(F.exists(inner, D.link()), kept)
 
-    list_boxes = F.filter(page.els, D.any_of(D.css_class("list-jobs"), D.css_class("jobs-list")))
-    return let(list_boxes, lambda lists: _keep(_cards(page, is_card(lists), row)))
+    lists = F.array(*[D.enclosing(page.els, D.css_class(name)) for name in ("list-jobs", "jobs-list")])
+    return let(lists, lambda around: _keep(_cards(page, is_card(around), row)))
 
 
 def generic(page: Page) -> Column:
@@ -211,7 +210,7 @@ def wordpress(page: Page) -> Column:
     heading = D.any_of(D.tag("h1", "h2", "h3"), D.css_class("entry-title"))
     excerpt = D.any_of(D.css_class("entry-summary"), D.css_class("jeg_post_excerpt"), D.tag("p"))
 
-    def row(heads: Column) -> Callable:
+    def row(around: Column) -> Callable:
         def build(card: Column, inner: Column, text: Column) -> Column:
             def read(v: Column) -> Column:
                 title, summary = D.text_of(page.texts, v.link), D.text_of(page.texts, v.excerpt)
@@ -237,7 +236,7 @@ def wordpress(page: Page) -> Column:
 
             return let(
                 F.struct(
-                    D.first(inner, lambda e: D.link()(e) & D.is_under(e, heads)).alias("link"),
+                    D.first(inner, lambda e: D.link()(e) & D.is_under(e, around)).alias("link"),
                     D.first(inner, excerpt).alias("excerpt"),
                     D.first(inner, D.tag("time")).alias("time"),
                 ),
@@ -247,8 +246,8 @@ def wordpress(page: Page) -> Column:
         return build
 
     return let(
-        F.filter(page.els, heading),
-        lambda heads: _keep(_cards(page, D.tag("article"), row(heads))),
+        D.enclosing(page.els, heading),
+        lambda around: _keep(_cards(page, D.tag("article"), row(around))),
     )
 
 
@@ -345,9 +344,9 @@ def talent(page: Page) -> Column:
 def boxed_anchors(page: Page, part: str = "JobDetail") -> Column:
     """Links to a detail page; the box around a link tells the rest."""
 
-    def row(boxes: Column) -> Callable:
+    def row(around: Column) -> Callable:
         def build(a: Column) -> Column:
-            text = F.coalesce(let(D.nearest(a, boxes), lambda b: D.text_of(page.texts, b)), F.lit(""))
+            text = F.coalesce(let(D.nearest(page.els, a, around), lambda b: D.text_of(page.texts, b)), F.lit(""))
             return let(
                 text,
                 lambda t: draft(
@@ -364,7 +363,8 @@ def boxed_anchors(page: Page, part: str = "JobDetail") -> Column:
 
     long_enough = F.filter(_anchors(page, part), lambda a: F.length(a.text) >= MIN_TITLE)
     unique = let(long_enough, lambda rows: D.first_per(rows, lambda a: a.href))
-    return let(F.filter(page.els, D.tag("li", "div", "tr", "article")), lambda boxes: F.transform(unique, row(boxes)))
+    boxes = D.enclosing(page.els, D.tag("li", "div", "tr", "article"))
+    return let(boxes, lambda around: F.transform(unique, row(around)))
 
 
 def successfactors(page: Page) -> Column:
