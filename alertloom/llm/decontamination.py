@@ -8,20 +8,27 @@ kept and verified by banded alignment.
 
 Passages are cut into overlapping windows, so that a document that holds a good part of
 one is found too.  White space is one blank and A-Z count as a-z on both sides.
+
+With q = 10 and edits of 5 % the bound is at least one for all passages of 20 characters or
+more, so none of them gets fewer edits than the others.  Shorter ones are not looked for: two or
+three everyday words would make clean documents count as contaminated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import narrow, text_function, whole
+from alertloom.session import written
 
-Q = 12
+Q = 10
 ERROR = 0.05
 WINDOW = 120
-LEAST_CHARS = 40
+LEAST_CHARS = 20
 TABLE_BITS = 22
 PART_CHARS = 5_000_000
 CHUNK = 1 << 20
@@ -75,8 +82,8 @@ class Passages:
             size = len(passage) if len(starts) == 1 else window
             for start in dict.fromkeys(starts):
                 part = passage[start:start + size]
-                edits = min(int(error * len(part)), (len(part) + 1 - 2 * q) // q)
-                self.windows.append((item, codes_of(part), max(0, edits)))
+                edits = min(int(error * len(part)), len(part) // q - 1)  # the bound is one at least
+                self.windows.append((item, codes_of(part), edits))
         hashes = [gram_hashes(codes, q) for _, codes, _ in self.windows]
         flat = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
@@ -109,14 +116,11 @@ class Passages:
         windows, diagonals = self.shared(codes)
         if not len(windows):
             return []
-        step = self.edits[windows] + 1
-        found = []
-        for shift in (0, 1):  # each hit lies in two overlapping bands of twice the step
-            band = diagonals // step - shift
-            pairs, counts = np.unique(np.stack([windows, band]), axis=1, return_counts=True)
-            full = counts >= self.bounds[pairs[0]]
-            found += [(int(w), int(b * (self.edits[w] + 1)), int((b + 2) * (self.edits[w] + 1)) - 1) for w, b in pairs[:, full].T]
-        return sorted(set(found))
+        band = diagonals // (self.edits[windows] + 1)
+        both = np.stack([np.concatenate([windows, windows]), np.concatenate([band, band - 1])])  # a hit lies in two bands
+        pairs, counts = np.unique(both, axis=1, return_counts=True)
+        full = counts >= self.bounds[pairs[0]]
+        return [(int(w), int(b * (self.edits[w] + 1)), int((b + 2) * (self.edits[w] + 1)) - 1) for w, b in pairs[:, full].T]
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of verified places in the plain text."""
@@ -179,24 +183,43 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, q: int = Q, error:
     searched each; null ids are carried along; other columns are ignored.
 
     Every task gets the passages, so their size is checked: they are searched for in parts
-    of about ``PART_CHARS`` characters.
+    of about ``PART_CHARS`` characters, one after another.
     """
-    places = F.concat(*[passages_in(p)("text") for p in passage_parts(benchmark, (q, error, window, least))])
-    found = narrow(documents).select("doc_id", whole().alias("text")).select("doc_id", places.alias("places"))
+    none = F.array().cast("array<struct<item_id: long, start: long, end: long, edits: long>>")
+    found = narrow(documents).select("doc_id", whole().alias("text"), none.alias("places"))
+    parts = PassageParts(benchmark, (q, error, window, least))
+    for passages in parts:
+        places = F.concat("places", passages_in(passages)("text"))
+        found = parts.cut(found.select("doc_id", "text", places.alias("places")))
     return found.select(
         "doc_id", (F.size("places") > 0).alias("contaminated"), F.size("places").cast("long").alias("n_places"),
         F.array_sort(F.array_distinct(F.transform("places", lambda p: p["item_id"]))).alias("item_ids"), "places")
 
 
-def passage_parts(benchmark: DataFrame, options: tuple = (Q, ERROR, WINDOW, LEAST_CHARS)) -> list[Passages]:
-    """The passages in parts of a checked size; one part unless the benchmark is very large."""
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).filter(
-        "text IS NOT NULL").dropDuplicates()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(1, -(-size // PART_CHARS))
-    mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [Passages([(r.item_id, r.text) for r in items.filter(mine == part).orderBy("item_id", "text").collect()], *options)
-            for part in range(parts)]
+class PassageParts:
+    """The passages of a benchmark in parts of a checked size; one part unless it is very large.
+
+    A part is collected when its turn comes, and what was found with it is written before
+    the next one, so that the driver and a plan hold one part at a time.
+    """
+
+    def __init__(self, benchmark: DataFrame, options: tuple = (Q, ERROR, WINDOW, LEAST_CHARS)):
+        self.options = options
+        self.items = benchmark.select(
+            benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).filter(
+            "text IS NOT NULL").dropDuplicates()
+        size = self.items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+        self.number = max(1, -(-size // PART_CHARS))
+
+    def __iter__(self) -> Iterator[Passages]:
+        mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.number))
+        for part in range(self.number):
+            rows = self.items.filter(mine == part).orderBy("item_id", "text").collect()
+            yield Passages([(r.item_id, r.text) for r in rows], *self.options)
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """``rows``, written if there is more than one part."""
+        return rows if self.number == 1 else written(rows, "decontamination")
 
 
 def passages_in(passages: Passages):
@@ -216,6 +239,7 @@ def holds_passage(passages: Passages):
 
 def without_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that hold no benchmark passage, with all their columns."""
-    for passages in passage_parts(benchmark):
-        documents = documents.filter(~holds_passage(passages)(whole(documents["text"])))
+    parts = PassageParts(benchmark)
+    for passages in parts:
+        documents = parts.cut(documents.filter(~holds_passage(passages)(whole(documents["text"]))))
     return documents

@@ -66,3 +66,42 @@ def test_odd_rows(spark, docs_of, odd_texts):
     assert kept.count() == len(odd_texts) and kept.columns == docs_of(rows).columns
     assert decontamination.find_passages(docs_of([]), benchmark).count() == 0
     assert not any(r.contaminated for r in decontamination.find_passages(docs_of(rows), benchmark.limit(0)).collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_passages_equal_brute_force(seed):
+    """Passages of 20 to 50 characters keep their 5 % of edits."""
+    rng = random.Random(seed)
+    items = [(k, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(18, 50)))) for k in range(12)]
+    passages = decontamination.Passages(items)
+    assert all(edits == int(decontamination.ERROR * len(part)) for _, part, edits in passages.windows)
+    assert {item for item, _, _ in passages.windows} == {k for k, t in items if len(decontamination.plain(t)) >= 20}
+    found = 0
+    for _ in range(12):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(40))
+        for _, passage in rng.sample(items, 3):
+            part = list(passage)
+            for _ in range(rng.randrange(4)):
+                place = rng.randrange(len(part))
+                part[place:place + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+            text += "".join(part) + "".join(rng.choice("abcdefgh ") for _ in range(20))
+        got = sorted({hit[0] for hit in passages.hits(text)})
+        assert got == brute(items, text)
+        found += len(got)
+    assert found
+
+
+def test_parts_one_after_another(spark, docs_of, monkeypatch):
+    rng = random.Random(3)
+    items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))) for k in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"before {items[k][1]} and {items[(k + 4) % 9][1]} after") for k in range(0, 9, 2)] + [(20, "clean"), (21, None)]
+    whole = decontamination.find_passages(docs_of(rows), benchmark).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontamination, "PART_CHARS", 200)
+    parts = decontamination.PassageParts(benchmark)
+    assert parts.number > 2 and sum(len({w[0] for w in p.windows}) for p in parts) == 9
+    got = decontamination.find_passages(docs_of(rows), benchmark).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.item_ids, sorted(r.places)) for r in got] == [(r.doc_id, r.item_ids, sorted(r.places)) for r in whole]
+    assert [r.item_ids for r in got[:2]] == [[0, 4], [2, 6]]
+    kept = decontamination.without_passages(docs_of(rows), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == [20, 21]
