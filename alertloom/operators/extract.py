@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import dom as D
-from alertloom.functions.dates import date_places, first_date
+from alertloom.functions.dates import date_places, first_date, parse_date
 from alertloom.functions.text import SPACE_CLASS, collapse, let, strip, strip_html, url_join
 from alertloom.sources.dom import with_dom
 from alertloom.sources.feeds import feed_entries, feed_error, parsed_feed
@@ -453,8 +453,8 @@ def extract_listings(
     rows = trees.select(
         "task_id", "source", "kind", "page_url", F.posexplode(drafts_of(pages.sparkSession, extractors or EXTRACTORS)).alias("pos", "d")
     )
-    places = F.concat(F.array(F.col("d.date_text")), date_places(F.col("d.infer_text")))
-    posted = first_date(places, as_of, day_first)
+    # the running text is only looked through where no date is stated
+    posted = F.coalesce(parse_date(F.col("d.date_text"), as_of, day_first), first_date(date_places(F.col("d.infer_text")), as_of, day_first))
     # an entry of a feed without an address is not found at the feed's own
     unaddressed = (F.col("kind") == "rss") & (F.col("d.href") == "")
     return rows.select(
