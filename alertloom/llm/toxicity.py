@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,14 @@ STANDS_FOR = {
 AS_LETTER, SIGN_OUT, APART_OUT, REPEAT_OUT, GAP = 1.0, 12.0, 0.2, 0.7, 12.0
 COUNTED_AT_ONCE = 2_000_000
 SMOOTH = 0.01
+LAST_TWO = (1 << 42) - 1
 
 # letters, digits and signs, each set apart by blanks or by one separator; a mark at the end belongs to the sentence
 SPACED = re.compile(r"(?<![^\s\"'\u2018\u201c\u00ab(\[{<])(?:[^\W_]|[@$!|+€])(?:(?:[ \t]+|[.*_-])(?:[^\W_]|[@$!|+(€]))+"
                     r"(?:[ \t]+|[.*_-])(?:[^\W_]|[@$€])(?![^\W_])")
+# what every such stretch begins with, after a blank in front of the text, in classes that are fast to look for
+MAYBE_SPACED = re.compile(r"[\x00-\x20\"'(\[{<\x80-\U0010ffff][A-Za-z0-9@$!|+\x80-\U0010ffff][ \t.*_-]+"
+                          r"[A-Za-z0-9@$!|+(\x80-\U0010ffff][ \t.*_-]")
 SEPARATORS = " \t.*_-"
 TWICE = re.compile(r"([^\W\d_])\1")
 DISGUISED = re.compile(r"[0-9@$!|+(€]|[^\W\d_][*._-]+[^\W\d_]|([^\W\d_])\1")
@@ -70,7 +75,7 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
 
     def setup():
         asker = Asker()
-        known: set[str] = set()
+        lattices = Told(asker, lambda word: None)
 
         def flushed(parts: list[np.ndarray]) -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -88,11 +93,7 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
                 if len(codes) > 2:
                     parts.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
                     held += len(codes)
-                for token in set(asker.joined(text).split()) - known:
-                    asker.word(token)
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known.add(token)
+                lattices.among(set(asker.joined(text).split()))
                 if held + len(asker.asked) > COUNTED_AT_ONCE:
                     yield flushed(parts)
                     parts, held = [np.zeros(0, np.int64)], 0
@@ -133,45 +134,80 @@ class Restorer:
             for gram, n in counts.items():
                 self.before[gram >> 21] = self.before.get(gram >> 21, 0) + n
         self.letters = max(2, len({gram & 0x1FFFFF for gram in counts}) if letters is None else letters)
+        self.costs: dict[int, float] = {}
+
+    def cost_of(self, gram: int) -> float:
+        """The cost of a trigram, kept for the next time."""
+        if len(self.costs) >= COUNTED_AT_ONCE:
+            self.costs.clear()
+        self.costs[gram] = cost = self.cost(gram >> 21, gram & 0x1FFFFF)
+        return cost
 
     def cost(self, two: int, letter: int) -> float:
         n = self.counts.get(two << 21 | letter, 0)
         return -math.log((n + SMOOTH) / (self.before.get(two, 0) + SMOOTH * self.letters))
 
+    @staticmethod
+    def choices(char: str, before: str) -> list[tuple[str, float]]:
+        """What a character may stand for (a letter, nothing, a gap) and the channel's cost."""
+        if char.isalpha():
+            return [(char, 0.0), ("", REPEAT_OUT)] if char == before else [(char, 0.0)]
+        choices = [(letter, AS_LETTER) for letter in STANDS_FOR.get(char, "")]
+        return [*choices, ("", SIGN_OUT if choices else APART_OUT), (" ", GAP)]
+
     @staticmethod
     def options(text: str) -> list[list[tuple[str, float]]]:
-        """For every character what it may stand for (a letter, nothing, a gap) and the channel's cost."""
+        """For every character what it may stand for."""
         lattice, before = [], ""
         for char in text:
-            if char.isalpha():
-                choices = [(char, 0.0)]
-                if char == before:
-                    choices.append(("", REPEAT_OUT))
-            else:
-                choices = [(letter, AS_LETTER) for letter in STANDS_FOR.get(char, "")]
-                choices += [("", SIGN_OUT if choices else APART_OUT), (" ", GAP)]
-            lattice.append(choices)
+            lattice.append(Restorer.choices(char, before))
             if char not in SEPARATORS:
                 before = char
         return lattice
 
     def read(self, text: str) -> str:
         """The likeliest reading of a stretch of lower-case text, by Viterbi over the last two letters."""
+        costs = self.costs
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for choices in self.options(text):
+        before, at = "", 0
+        while at < len(text):
+            char = text[at]
+            if len(states) == 1 and char != before and char.isalpha():  # a run without a choice
+                [(two, (total, said))] = states.items()
+                start = at
+                while char and char != before and char.isalpha():
+                    gram = two << 21 | ord(char)
+                    cost = costs.get(gram)
+                    total += self.cost_of(gram) if cost is None else cost
+                    two, before, at = gram & LAST_TWO, char, at + 1
+                    char = text[at:at + 1]
+                states = {two: (total, (said, text[start:at]))}
+                continue
             following: dict[int, tuple[float, tuple]] = {}
+            choices = self.choices(char, before)
             for two, (total, said) in states.items():
                 for out, price in choices:
                     if not out or (out == " " and not two & 0x1FFFFF):
                         state, cost, told = two, total + price, said
                     else:
-                        letter = 0 if out == " " else ord(out)
-                        state = (two << 21 | letter) & (1 << 42) - 1
-                        cost, told = total + price + self.cost(two, letter), (said, out)
+                        gram = two << 21 | (0 if out == " " else ord(out))
+                        cost = costs.get(gram)
+                        cost = total + price + (self.cost_of(gram) if cost is None else cost)
+                        state, told = gram & LAST_TWO, (said, out)
                     if state not in following or cost < following[state][0]:
                         following[state] = (cost, told)
             states = following
-        best = min(((total + self.cost(two, 0), said) for two, (total, said) in states.items()), key=lambda s: s[0])[1]
+            at += 1
+            if char not in SEPARATORS:
+                before = char
+            if len(states) == 1 and (rest := text[at:]).isalpha() and rest[0] != before and not TWICE.search(rest):
+                [(two, (total, said))] = states.items()  # one reading is left, so what it costs does not matter
+                states = {two: (total, (said, rest))}
+                break
+        if len(states) == 1:
+            [(_, best)] = states.values()
+        else:
+            best = min(((total + self.cost(two, 0), said) for two, (total, said) in states.items()), key=lambda s: s[0])[1]
         out = []
         while best:
             best, letter = best
@@ -180,10 +216,15 @@ class Restorer:
 
     def word(self, token: str) -> str:
         """What a blank-separated token says: stripped of signs at its edges, read if it is disguised."""
-        if READ in token:
-            return token.split(READ)[1]
-        low = token.lower()
-        core = low.lstrip(EDGES).rstrip(EDGES + MARKS)
+        return token.split(READ)[1] if READ in token else self.core_word(self.core(token))
+
+    @staticmethod
+    def core(token: str) -> str:
+        """A token in lower case without the signs at its edges."""
+        return token.lower().lstrip(EDGES).rstrip(EDGES + MARKS)
+
+    def core_word(self, core: str) -> str:
+        """What a core says: read if it is disguised."""
         if core.isalpha() and not TWICE.search(core):
             return core
         shape = core.rstrip(SIGNS)
@@ -201,7 +242,8 @@ class Restorer:
 
     def joined(self, text: str) -> str:
         """The text with letters that were set apart put together again."""
-        return SPACED.sub(self.together, text.replace(READ, ""))
+        text = text.replace(READ, "")
+        return SPACED.sub(self.together, text) if MAYBE_SPACED.search(f" {text}") else text
 
     def together(self, found: re.Match) -> str:
         """The word that letters set apart make; sums, tables and numbers stay."""
@@ -225,36 +267,77 @@ class Asker(Restorer):
         return 0.0
 
 
+class Told:
+    """Which tokens tell something, worked out once by ``find`` from their word while they are in use.
+
+    Tokens and cores are kept in two generations of about ``KEPT_WORDS``: what does not come again
+    while the younger one fills up is forgotten.  ``values`` has the tokens for which ``find`` gave anything.
+    """
+
+    def __init__(self, restorer: Restorer, find: Callable[[str], Any]):
+        self.restorer, self.find = restorer, find
+        self.young: set[str] = set()
+        self.old: set[str] = set()
+        self.cores: dict[str, Any] = {}
+        self.old_cores: dict[str, Any] = {}
+        self.values: dict[str, Any] = {}
+        self.told: set[str] = set()
+
+    def among(self, tokens: set[str]) -> set[str]:
+        """The tokens that tell something; their values are in ``values`` until the next call."""
+        new = tokens - self.young
+        if new:
+            for token in new - self.old:
+                if value := self.value(token):
+                    self.values[token] = value
+                    self.told.add(token)
+            self.young |= new
+            if len(self.young) >= KEPT_WORDS:
+                self.old, self.young = self.young, set()
+                self.old_cores, self.cores = self.cores, {}
+                self.told &= self.old
+                self.values = {token: self.values[token] for token in self.told}
+        return tokens & self.told
+
+    def value(self, token: str) -> Any:
+        if READ in token:
+            return self.find(self.restorer.word(token))
+        core = self.restorer.core(token)
+        if core not in self.cores:
+            self.cores[core] = self.old_cores[core] if core in self.old_cores else self.find(self.restorer.core_word(core))
+        return self.cores[core]
+
+
+def whole_feature(part: str) -> int:
+    return xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) >> 1
+
+
+def start_feature(part: str, n: int) -> int:
+    return xxh3_64_intdigest(part[:n].encode("utf-8", "surrogatepass"), n) >> 1
+
+
+def part_features(part: str) -> list[int]:
+    """64-bit hashes of a word and its beginnings."""
+    return [whole_feature(part), *[start_feature(part, n) for n in STARTS if len(part) > n]]
+
+
 def word_features(word: str) -> tuple[int, ...]:
-    """64-bit hashes of what a token says: its words and their beginnings."""
-    found = []
-    for part in word.split():
-        data = part.encode("utf-8", "surrogatepass")
-        found.append(xxh3_64_intdigest(data) >> 1)
-        found += [xxh3_64_intdigest(part[:n].encode("utf-8", "surrogatepass"), n) >> 1 for n in STARTS if len(part) > n]
-    return tuple(found)
+    """The features of what a token says, which may be several words."""
+    return tuple(f for part in word.split() for f in part_features(part))
 
 
 def feature_counts(labelled: DataFrame, restorer: Restorer, among: frozenset[int] | None = None) -> DataFrame:
     """Documents by feature, counted inside tasks first; all features, or those of ``among``."""
 
     def setup():
-        known: dict[str, tuple[int, ...]] = {}
+        known = Told(restorer, word_features if among is None else lambda word: tuple(f for f in word_features(word) if f in among))
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             counts: Counter[int] = Counter()
             for value in batch.column(0):
                 ids: set[int] = set()
-                for token in set(restorer.joined(value.as_py()).split()):
-                    features = known.get(token)
-                    if features is None:
-                        if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        features = word_features(restorer.word(token))
-                        if among is not None:
-                            features = tuple(f for f in features if f in among)
-                        known[token] = features
-                    ids.update(features)
+                for token in known.among(set(restorer.joined(value.as_py()).split())):
+                    ids.update(known.values[token])
                 counts.update(ids)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
                                              ["feature", "n"])
@@ -301,24 +384,31 @@ class Judge:
 
     def __init__(self, restorer: Restorer, telling: dict[int, float]):
         self.restorer, self.telling = restorer, telling
-        self.known: dict[str, float] = {}
-
-    def weight(self, token: str) -> float:
-        if len(self.known) >= KEPT_WORDS:
-            self.known.clear()
-        share = max((self.telling.get(f, 0.0) for f in word_features(self.restorer.word(token))), default=0.0)
-        self.known[token] = weight = -math.log1p(-min(share, 0.9999)) if share else 0.0
-        return weight
+        self.known = Told(restorer, self.weight)
+        self.beginnings: dict[str, float] = {}
+
+    def part_share(self, part: str) -> float:
+        """The largest share of a word and its beginnings; those of longer words are worked out once for all with the same."""
+        if len(part) <= STARTS[-1]:
+            return max(self.telling.get(f, 0.0) for f in part_features(part))
+        begin = part[:STARTS[-1]]
+        share = self.beginnings.get(begin)
+        if share is None:
+            if len(self.beginnings) >= KEPT_WORDS:
+                self.beginnings.clear()
+            share = self.beginnings[begin] = max(self.telling.get(start_feature(begin, n), 0.0) for n in STARTS)
+        return max(share, self.telling.get(whole_feature(part), 0.0))
+
+    def weight(self, word: str) -> float:
+        share = max(map(self.part_share, word.split()), default=0.0)
+        return -math.log1p(-min(share, 0.9999)) if share else 0.0
 
     def facts(self, text: str) -> tuple[float, float, float, float]:
         tokens = self.restorer.joined(text).split()
-        weights = [w for t, w in zip(tokens, map(self.known.get, tokens)) if w != 0.0]
-        if None in weights:
-            missing = [t for t in tokens if self.known.get(t) is None]
-            for token in set(missing):
-                self.weight(token)
-            weights = [self.known.get(t) or 0.0 for t in tokens]
-            weights = [w for w in weights if w]
+        weights = []
+        if self.known.among(set(tokens)):
+            values = self.known.values
+            weights = [values[t] for t in tokens if t in values]
         return sum(weights), len(weights), max(weights, default=0.0), len(tokens)
 
 

@@ -104,3 +104,17 @@ def test_model_has_all_that_lattices_ask_for(spark, docs_of):
     for gram in asker.asked:
         two, letter = gram >> 21, gram & 0x1FFFFF
         assert got.cost(two, letter) == whole.cost(two, letter)
+
+
+def test_words_in_use_stay_known(monkeypatch):
+    """A full cache loses no word of the text at hand, and no word that every text has is read again."""
+    texts = [f"w0rthle$$ n{i}xx fo0l {'abcdefghij'[i % 10]}{i}zz 1d10t" for i in range(60)]
+    restorer = model(["worthless fool idiot"])
+    telling = {f: 0.9 for f in toxicity.word_features("worthless") + toxicity.word_features("idiot")}
+    want = [toxicity.Judge(restorer, telling).facts(text) for text in texts]
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 8)
+    judge, read = toxicity.Judge(restorer, telling), []
+    monkeypatch.setattr(restorer, "read", lambda text: read.append(text) or toxicity.Restorer.read(restorer, text))
+    assert [judge.facts(text) for text in texts] == want and all(w[1] == 2 for w in want)
+    assert read.count("w0rthle$$") == read.count("1d10t") == 1
+    assert len(judge.known.young) + len(judge.known.old) < 30
