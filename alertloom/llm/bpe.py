@@ -22,6 +22,7 @@ parts do not belong together raises an error.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -41,18 +42,21 @@ from alertloom.llm.common import narrow, whole
 BLOCK_WORDS = 5_000_000
 ROUTES = 1 << 14
 ROWS = 5_000
+AT_ONCE = 500_000
+PACKS_AT_ONCE = 1_000
 SENT = "route long, block long, place long, doc_id long, numbers binary, sizes binary, data binary"
 NAMES = ["route", "block", "place", "doc_id", "numbers", "sizes", "data"]
 
 # Fixed: how the tokenizer cuts a text into words, for the characters that COMMON lets through.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+"
-                   r"| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+WORDS = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+"
+                   r"| ?[0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 RARE = re.compile("[^\t\n\r -~¡-ɏ]")
 
 
 def load(tokenizer_path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -119,6 +123,33 @@ def numbers_as_bytes(values) -> bytes:
     return to_bytes(np.fromiter(values, np.int64))[0].tobytes()
 
 
+def counts_of(last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many numbers every value holds, from the places of their last bytes and the sizes of the values."""
+    return np.diff(np.searchsorted(last, np.concatenate([[0], np.cumsum(sizes)])))
+
+
+def binary_column(data, ends: np.ndarray) -> pa.Array:
+    """A binary column whose values lie one after another."""
+    starts = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(data)])
+
+
+def runs_as_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column with the numbers of every run as bytes; ``ends`` says where runs end."""
+    data, size = to_bytes(values)
+    return binary_column(data, np.concatenate([[0], np.cumsum(size)])[ends])
+
+
+def parts_up_to(ends: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """First and last row (excluded) of parts of at most ``rows`` rows whose items, ended by ``ends``, are at most ``most`` or one row's."""
+    first = 0
+    while first < len(ends):
+        low = ends[first - 1] if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, low + most, "right"))))
+        yield first, last
+        first = last
+
+
 def block_rows(block: int, docs: list[tuple[int | None, int]], words: list[str], codes: array) -> Iterator[pa.RecordBatch]:
     """The rows of a block: its distinct words in packs, and its documents, which have no ``block``.
 
@@ -128,34 +159,29 @@ def block_rows(block: int, docs: list[tuple[int | None, int]], words: list[str],
     order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words), dtype=np.int32)
-    mark, packs = 0, defaultdict(lambda: ([], []))
-    for number, i in enumerate(order.tolist()):
-        word = words[i].encode()
-        mark = zlib.crc32(word, mark)
-        numbers, held = packs[zlib.crc32(word) % ROUTES]
-        numbers.append(number)
-        held.append(word)
-    routes = sorted(packs)
-    for first in range(0, len(routes), ROWS):
-        part = routes[first:first + ROWS]
-        n, rows = len(part), []
-        for numbers, held in map(packs.pop, part):
-            gaps = np.diff(np.array(numbers), prepend=0)
-            rows.append((numbers_as_bytes(gaps), numbers_as_bytes(map(len, held)), b"".join(held)))
+    held = [words[i].encode() for i in order.tolist()]
+    mark = struct.pack("<I", zlib.crc32(b"".join(held)))
+    route = np.fromiter(map(zlib.crc32, held), np.int64, len(held)) % ROUTES
+    by_route = np.argsort(route, kind="stable")
+    starts = np.flatnonzero(np.diff(route[by_route], prepend=-1))
+    gaps = np.diff(by_route, prepend=0)
+    gaps[starts] = by_route[starts]
+    ends = np.append(starts[1:], len(held)) if len(held) else starts
+    for first in range(0, len(starts), ROWS):
+        low, own_ends = starts[first], ends[first:first + ROWS]
+        part = [held[i] for i in by_route[low:own_ends[-1]].tolist()]
+        sizes, n = np.fromiter(map(len, part), np.int64, len(part)), len(own_ends)
         yield pa.RecordBatch.from_arrays([
-            pa.array(part, pa.int64()), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-            *(pa.array(c, pa.binary()) for c in zip(*rows))], NAMES)
-    low, mark = 0, struct.pack("<I", mark)
-    for first in range(0, len(docs), ROWS):
-        part = docs[first:first + ROWS]
-        n, numbers = len(part), []
-        for _, length in part:
-            numbers.append(numbers_as_bytes(rank[code[low:low + length]]))
-            low += length
+            pa.array(route[by_route[starts[first:first + ROWS]]]), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+            runs_as_bytes(gaps[low:own_ends[-1]], own_ends - low), runs_as_bytes(sizes, own_ends - low),
+            binary_column(b"".join(part), np.cumsum(sizes)[own_ends - low - 1])], NAMES)
+    ends = np.cumsum(np.array([n for _, n in docs], np.int64))
+    for first, last in parts_up_to(ends, AT_ONCE, ROWS):
+        low, n = ends[first - 1] if first else 0, last - first
         yield pa.RecordBatch.from_arrays([
-            pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(first, first + n), pa.int64()),
-            pa.array([d for d, _ in part], pa.int64()), pa.array(numbers, pa.binary()), pa.nulls(n, pa.binary()),
-            pa.array([mark] * n, pa.binary())], NAMES)
+            pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(first, last), pa.int64()),
+            pa.array([d for d, _ in docs[first:last]], pa.int64()), runs_as_bytes(rank[code[low:ends[last - 1]]], ends[first:last] - low),
+            pa.nulls(n, pa.binary()), pa.array([mark] * n, pa.binary())], NAMES)
 
 
 def words_by_block(documents: DataFrame, tokenizer_path: str, block_words: int) -> DataFrame:
@@ -192,22 +218,27 @@ def encoded_words(packs: DataFrame, tokenizer_path: str) -> DataFrame:
         tokenizer = load(tokenizer_path)
         share, known = None, {}
         for batch in batches:
-            rows = []
-            for route, gaps, sizes, data in zip(*(batch.column(NAMES.index(c)).to_pylist() for c in ("route", "numbers", "sizes", "data"))):
-                if route != share:
-                    share, known = route, {}
-                at, found = 0, []
-                for size in from_bytes(np.frombuffer(sizes, np.uint8))[0].tolist():
-                    word = data[at:at + size]
-                    at += size
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                    found.append(ids)
-                rows.append((gaps, numbers_as_bytes(map(len, found)), numbers_as_bytes(chain.from_iterable(found))))
-            block, none = batch.column(NAMES.index("block")), pa.nulls(batch.num_rows, pa.int64())
-            if rows:
-                yield pa.RecordBatch.from_arrays([block, block, none, none, *(pa.array(c, pa.binary()) for c in zip(*rows))], NAMES)
+            for first in range(0, batch.num_rows, PACKS_AT_ONCE):
+                part = batch.slice(first, PACKS_AT_ONCE)
+                route, block, gaps, sizes, data = (part.column(NAMES.index(c)) for c in ("route", "block", "numbers", "sizes", "data"))
+                route = route.to_numpy()
+                lengths, last = from_bytes((joined := parts_of(sizes))[0])
+                ends = np.cumsum(counts_of(last, joined[1]))
+                data, cuts = b"".join(data.to_pylist()), np.cumsum(lengths).tolist()
+                words = [data[a:b] for a, b in zip([0, *cuts], cuts)]
+                if route[0] != share:
+                    known = {}
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                for word, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                    known[word] = found.ids
+                ids = list(map(known.__getitem__, words))
+                counts = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+                share, none = route[-1], pa.nulls(part.num_rows, pa.int64())
+                if route[0] != share:  # words of other shares do not come again
+                    known = {w: known[w] for w in words[ends[np.searchsorted(route, share) - 1]:]}
+                yield pa.RecordBatch.from_arrays([block, block, none, none, gaps, runs_as_bytes(counts, ends), runs_as_bytes(
+                    flat, np.concatenate([[0], np.cumsum(counts)])[ends])], NAMES)
 
     return packs.sortWithinPartitions("route").mapInArrow(run, SENT)
 
@@ -216,24 +247,29 @@ def fill(pieces: list[bytes], docs: pa.Table, packs: pa.Table) -> pa.Table:
     """doc_id and ids of the documents of a block."""
     gaps, held = parts_of(packs["numbers"])
     gaps, last = from_bytes(gaps)
-    in_pack = np.diff(np.searchsorted(last, np.concatenate([[0], np.cumsum(held)])))
+    in_pack = counts_of(last, held)
     ended = np.cumsum(gaps)
     number = ended - np.repeat(np.concatenate([[0], ended])[np.cumsum(in_pack) - in_pack], in_pack)
     flat, sizes = from_bytes(parts_of(packs["data"])[0])[0], from_bytes(parts_of(packs["sizes"])[0])[0]
     lengths, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     lengths[number], start[number] = sizes, np.cumsum(sizes) - sizes
-    mark = 0
-    for a, n in zip(start.tolist(), lengths.tolist()):
-        mark = zlib.crc32(b"".join(map(pieces.__getitem__, flat[a:a + n].tolist())), mark)
-    mark, out = struct.pack("<I", mark), []
-    for numbers, own_mark in zip(docs["numbers"], docs["data"]):
-        if own_mark.as_py() != mark:
-            raise ValueError("a block's words are not those of its documents; write documents to files first")
-        numbers, _ = from_bytes(np.frombuffer(numbers.as_py(), np.uint8))
+    flat, start = flat[places(start, lengths)], np.cumsum(lengths) - lengths  # in the order of the numbers
+    mark = struct.pack("<I", zlib.crc32(b"".join(map(pieces.__getitem__, flat.tolist()))))
+    if any(own != mark for own in docs["data"].to_pylist()):
+        raise ValueError("a block's words are not those of its documents; write documents to files first")
+    texts, out = docs["numbers"].to_pylist(), []
+    for first, last in parts_up_to(np.cumsum(np.array(list(map(len, texts)), np.int64)), AT_ONCE, ROWS):
+        part = texts[first:last]
+        numbers, ends = from_bytes(np.frombuffer(b"".join(part), np.uint8))
         own = lengths[numbers]
-        before = np.cumsum(own) - own
-        out.append(flat[np.repeat(start[numbers] - before, own) + np.arange(own.sum())].astype("<u4").tobytes())
-    return pa.table({"doc_id": docs["doc_id"], "ids": pa.array(out, pa.binary())})
+        ends = np.cumsum(counts_of(ends, np.array(list(map(len, part)))))
+        out.append(binary_column(flat[places(start[numbers], own)].astype("<u4"), 4 * np.concatenate([[0], np.cumsum(own)])[ends]))
+    return pa.table({"doc_id": docs["doc_id"], "ids": pa.chunked_array(out, pa.binary())})
+
+
+def places(start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``start``, one run after another."""
+    return np.repeat(start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 def encode(documents: DataFrame, tokenizer_path: str, block_words: int = BLOCK_WORDS) -> DataFrame:

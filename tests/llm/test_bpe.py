@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from alertloom.llm import bpe
@@ -109,3 +111,25 @@ def test_decode_of_broken_bytes(spark):
     frame = spark.createDataFrame([(1, bytearray(np.array(ids, "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
     got = {r.doc_id: r.text for r in bpe.decode(frame, PATH).collect()}
     assert got == {1: tokenizer.decode(ids, skip_special_tokens=False), 2: ""}
+
+
+def test_bytes_are_made_for_many_rows_at_once(monkeypatch):
+    """Neither packs nor documents cost a call each."""
+    calls, plain = [], bpe.to_bytes
+    monkeypatch.setattr(bpe, "to_bytes", lambda values: calls.append(len(values)) or plain(values))
+    words = [f" w{i}" for i in range(3000)]
+    codes = bpe.array("i", [i % 3000 for i in range(40_000)])
+    rows = pa.Table.from_batches(bpe.block_rows(7, [(d, 40) for d in range(1000)], words, codes))
+    assert len(calls) < 10
+    docs, packs = rows.filter(pc.is_null(rows["block"])), rows.filter(pc.is_valid(rows["block"]))
+    assert docs.num_rows == 1000 and packs["route"].to_pylist() == sorted(set(packs["route"].to_pylist()))
+    pieces = [w.encode() for w in words]
+    ids = {w: i for i, w in enumerate(pieces)}
+    back = []
+    for sizes, data in zip(packs["sizes"].to_pylist(), packs["data"].to_pylist()):
+        ends = np.cumsum(bpe.from_bytes(np.frombuffer(sizes, np.uint8))[0]).tolist()
+        own = np.array([ids[data[a:b]] for a, b in zip([0, *ends], ends)])
+        back.append((plain(np.ones(len(own), np.int64))[0].tobytes(), plain(own)[0].tobytes()))
+    packs = packs.set_column(5, "sizes", pa.array([b[0] for b in back])).set_column(6, "data", pa.array([b[1] for b in back]))
+    got = bpe.fill(pieces, docs, packs)
+    assert b"".join(got["ids"].to_pylist()) == np.array(codes, "<u4").tobytes() and got["doc_id"].to_pylist() == list(range(1000))
