@@ -7,7 +7,8 @@ since their nodes are already linked through others:
 1. every node is compared with the smallest node of each of its keys;
 2. under keys where several components are left, with another leader per key and turn;
 3. under keys where several are left still, every node outside the largest component
-   of its key is compared with all nodes of the key that are in another component.
+   of its key is compared with all nodes of the key that are in another component.  For
+   this step nodes can be marked in more detail (``sharpen``), since few are left.
 
 So no pair of different components that shares a key stays unlooked at, and what a round
 emits follows the posts and not the squares of groups, as long as groups are linked.
@@ -27,12 +28,15 @@ LEADER_ROUNDS = 2
 
 
 def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS,
-           alike: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+           alike: Callable[[Column, Column, Column], Column] | None = None,
+           sharpen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node and component of the nodes of ``posts`` (node long, key long) that have a link.
 
     ``look`` takes distinct pairs (a, b: long) and returns those that are linked.  ``alike``
     tells from the nodes' ``mark`` and the key's ``place``, two further columns of ``posts``, which
-    pairs are worth a look under this key; the last step then emits no others.
+    pairs are worth a look under this key; the last step then emits no others.  ``sharpen`` takes the
+    posts that are open in the last step (node, key, mark, place, component) and gives them the marks
+    that ``alike`` reads; it may add keys, as long as all pairs that are alike meet under some key.
     """
     carried = ["mark", "place"] if alike else []
     links: list[DataFrame] = []
@@ -66,6 +70,8 @@ def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int
         still = still_open(still)
     if still.isEmpty():
         return found
+    if sharpen:
+        still = written(sharpen(still), "sharp_posts")
     shares = still.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most")).select(
         "key", F.col("most.component").alias("largest"))

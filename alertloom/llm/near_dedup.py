@@ -13,6 +13,11 @@ minima, and is posted under each (coordinate, value) pair.
 * Skipping: pairs whose classes are already linked through others need no look, see
   ``linking``.  No candidate between different components is left out.
 
+* Rare shingles: a large group of copies that are near, but not near enough, would leave all its pairs
+  to be looked at.  Pairs that are left at the end and share a shingle that few of the classes left have meet
+  under it; of all others each class can share no more than its other shingles, and pairs for which
+  that is too little are not linked.  This loses no link.
+
 Links are confirmed on the full sets of words.
 """
 
@@ -36,6 +41,7 @@ COORDINATES = 24
 MATCHES = 11
 SEED = 9
 KEPT_SETS = 2000
+RARE = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = 0xD6E8FEB86659FD93
 
@@ -147,6 +153,41 @@ def agreeing(a: Column, b: Column, matches: int) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= matches
 
 
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """node and the shingles of its text, as long numbers."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [shingle_set(value.as_py(), words).view(np.int64) for value in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return batches(texts.select("node", "text"), work, "node long, shingles array<long>")
+
+
+def with_rare_shingles(still: DataFrame, texts: DataFrame, words: int, rare: int = RARE) -> DataFrame:
+    """The posts with marks (sig, size, shared, common), and under every rare shingle, at place -1, the nodes that have it.
+
+    ``shared`` counts the shingles of a node that another one of ``still`` has, ``common`` those that more than ``rare`` have.
+    """
+    nodes = still.select("node", "component", "mark").dropDuplicates(["node"])
+    sets = written(shingle_rows(texts.withColumnRenamed("rep", "node").join(nodes.select("node"), "node", "left_semi"), words), "open_sets")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    few = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare)
+    held = written(each.join(few, "shingle").select("node", "shingle", "n"), "rare_shingles")
+    counts = held.groupBy("node").agg(F.count(F.lit(1)).alias("rare"), F.count(F.when(F.col("n") == 1, 1)).alias("alone"))
+    size = F.size("shingles").cast("long")
+    facts = sets.join(counts, "node", "left").select(
+        "node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"), (size - F.coalesce("rare", F.lit(0))).alias("common"))
+    nodes = nodes.join(facts, "node").select("node", "component", F.struct(F.col("mark").alias("sig"), "size", "shared", "common").alias("mark"))
+    posts = still.select("node", "key", "place").union(
+        held.filter("n > 1").select("node", F.xxhash64(F.lit(-1), "shingle"), F.lit(-1)))
+    return posts.join(nodes, "node").select("node", "key", "component", "mark", "place")
+
+
+def can_reach(a: Column, b: Column, shingles: str, percent: int) -> Column:
+    """Whether sets that have no more than ``shingles`` in common can be similar enough."""
+    return (100 + percent) * F.least(a[shingles], b[shingles]) >= percent * (a["size"] + b["size"])
+
+
 def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES,
                 matches: int | None = None) -> DataFrame:
     """A row per row of ``documents``: doc_id, n_shingles, component_id, kept.
@@ -187,11 +228,14 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, coordin
     posts = suspects.select(F.col("rep").alias("node"), F.col("sig").alias("mark"), F.posexplode(F.slice("sig", 1, prefix)).alias("place", "value"))
 
     def first_met(a: Column, b: Column, place: Column) -> Column:
-        """Enough coordinates agree, and this is the first of them, so that a pair is met once."""
-        return agreeing(a, b, matches) & (F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) == place + 1)
+        """Enough coordinates agree, and this is the first of them, so that a pair is met once; or a rare shingle is shared."""
+        same = F.zip_with(a["sig"], b["sig"], lambda x, y: x == y)
+        here = F.when(place < 0, can_reach(a, b, "shared", percent)).otherwise(
+            can_reach(a, b, "common", percent) & (F.array_position(same, True) == place + 1))
+        return here & agreeing(a["sig"], b["sig"], matches)
 
     found = linked(written(posts.select("node", F.xxhash64("place", "value").alias("key"), "mark", "place"), "posts"), look,
-                   alike=first_met)
+                   alike=first_met, sharpen=lambda still: with_rare_shingles(still, texts, words))
     named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
     result = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(

@@ -77,3 +77,29 @@ def test_odd_rows(docs_of, odd_texts):
 
 def test_missed_is_small():
     assert near_dedup.missed(85) < 2e-6
+
+
+def test_loose_copies_are_not_looked_at_in_pairs(docs_of, monkeypatch):
+    """A group of copies that are all too far apart: shingles that few have rule their pairs out, and lose no link."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 6):
+            words[at] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 20 == 0:  # shares its own rare words with the one before
+            words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+            rows.append((1000 + i, " ".join(words)))
+    looked, plain = [], near_dedup.linked
+
+    def counted(posts, look, **more):
+        def count(pairs):
+            looked.append(pairs.count())
+            return look(pairs)
+        return plain(posts, count, **more)
+
+    monkeypatch.setattr(near_dedup, "linked", counted)
+    assert got(near_dedup.near_groups(docs_of(rows), 3, 85)) == brute(rows, 3, 85)
+    assert len(looked) == 4 and looked[-1] < 200
