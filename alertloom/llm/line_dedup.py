@@ -7,7 +7,8 @@ allows.  Keys are hashes of segment number, indexed length and substring; whatev
 under a key is verified by banded bit-parallel edit distance, whose band of
 ``2 * edits + 1`` diagonals fits one word.  Before that, marks are compared: an edit changes
 the parity of at most two characters and four pairs of characters, so lines whose marks
-differ in more bits are too far apart.
+differ in more bits are too far apart.  Where a crowded key leaves many lines in different classes, the
+last step compares their lengths and the parities of their triples of characters, too.
 
 All lines take part that are not blank.  Edits count between lines of at least ``least``
 characters (blanks at the ends of a line not counted); a shorter one is only equal to itself,
@@ -27,7 +28,7 @@ from alertloom.session import written
 EDITS = 2
 LEAST = 20
 SMALL_BYTES = 8_000_000
-SALTS = 16
+OFTEN = 1000
 
 
 def is_small(df: DataFrame, width: Column | None = None, most: int = SMALL_BYTES) -> bool:
@@ -42,7 +43,7 @@ def small(df: DataFrame, width: Column | None = None) -> DataFrame:
 
 def text_lines(documents: DataFrame) -> DataFrame:
     """doc_id, text_key, place, line, node of all lines that are not blank, without blanks at their ends."""
-    text = F.when(F.col("text").rlike("[\r\t]"), F.translate("text", "\r\t", "  ")).otherwise(F.col("text"))
+    text = F.when(F.contains("text", F.lit("\r")) | F.contains("text", F.lit("\t")), F.translate("text", "\r\t", "  ")).otherwise(F.col("text"))
     return (
         keyed(documents).select("doc_id", "text_key", F.posexplode(F.split(text, "\n")).alias("place", "raw"))
         .select("doc_id", "text_key", "place", F.trim("raw").alias("line"))
@@ -60,17 +61,21 @@ def posted_keys(lines: DataFrame, edits: int) -> DataFrame:
     """node, key, own of the ``lines`` (node, line) under every shape.
 
     The last segments are one longer where the length does not come out even.  The shapes are rows
-    of a constant array, so that one short expression makes all keys.
+    of a constant array, so that one short expression makes all keys.  Of lines with one byte per
+    character the bytes are cut, which hash alike and need no search for the place of a character.
     """
     parts = edits + 1
     every = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(k).alias("less"), F.lit(d).alias("shift")) for n, k, d in shapes(edits)])
-    each = lines.select("node", "line", F.length("line").alias("length")).select("*", F.explode(every).alias("shape"))
+    each = lines.select("node", "line", F.length("line").alias("length"), F.octet_length("line").alias("bytes")).select(
+        "*", F.explode(every).alias("shape"))
     number, less, shift = (F.col(f"shape.{name}") for name in ("number", "less", "shift"))
     indexed = F.col("length") - less
     size, evens = F.floor(indexed / parts).cast("int"), F.lit(parts) - (indexed % parts).cast("int")
     start = size * number + F.greatest(number - evens, F.lit(0))
-    part = F.substring(F.col("line"), start + shift + 1, size + (number >= evens).cast("int"))
-    return each.select("node", F.xxhash64(number, indexed, part).alias("key"), ((less == 0) & (shift == 0)).alias("own"))
+    at, width = start + shift + 1, size + (number >= evens).cast("int")
+    key = F.when(F.col("bytes") == F.col("length"), F.xxhash64(number, indexed, F.substring(F.col("line").cast("binary"), at, width))).otherwise(
+        F.xxhash64(number, indexed, F.substring(F.col("line"), at, width)))
+    return each.select("node", key.alias("key"), ((less == 0) & (shift == 0)).alias("own"))
 
 
 def mark(line: str) -> Column:
@@ -92,6 +97,30 @@ def marks_near(a: Column, b: Column, edits: int) -> Column:
     return (apart(0) <= 2 * edits) & (apart(1) <= 4 * edits)
 
 
+def triple_marks(lines: DataFrame) -> DataFrame:
+    """node and sharp: the length of a line and four words of parities of its triples of neighbouring characters."""
+    letters = F.split("line", "")
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.length("line")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    hashes = F.zip_with(pairs, F.slice(letters, 3, F.length("line")), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
+    hashed = lines.select("node", F.length("line").cast("long").alias("length"), hashes.alias("hashes"))
+
+    def parity(word: int) -> Column:
+        return F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, h: F.when(
+            F.shiftright(h, 6).bitwiseAND(F.lit(3)) == word,
+            bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits))
+
+    return hashed.select("node", F.array("length", *map(parity, range(4))).alias("sharp"))
+
+
+def sharp_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether length and triples differ by no more than ``edits`` edits can change: six triples each."""
+    def word(mark: Column, k: int) -> Column:
+        return F.get(mark, F.lit(k))
+
+    apart = sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(2, 5)), F.bit_count(word(a, 1).bitwiseXOR(word(b, 1))))
+    return (F.abs(word(a, 0) - word(b, 0)) <= edits) & (apart <= 6 * edits)
+
+
 def within(a: str, b: str, edits: int) -> Column:
     """Whether two texts are within ``edits`` edits: bit vectors of a band of 2 * edits + 1 rows.
 
@@ -168,7 +197,15 @@ def near_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) ->
         near = both.filter(marks_near(F.col("mark_a"), F.col("mark_b"), edits))
         return near.filter(within("line_a", "line_b", edits)).select("a", "b")
 
-    return linked(posts, look, alike=lambda a, b, place: marks_near(a, b, edits))
+    def sharpen(still: DataFrame) -> DataFrame:
+        """Marks with those of the triples behind them."""
+        sharp = triple_marks(texts.join(still.select("node").distinct(), "node", "left_semi"))
+        return still.join(sharp, "node").select("node", "key", "component", F.struct("mark", "sharp").alias("mark"), "place")
+
+    def alike(a: Column, b: Column, place: Column) -> Column:
+        return marks_near(a["mark"], b["mark"], edits) & sharp_near(a["sharp"], b["sharp"], edits)
+
+    return linked(posts, look, alike=alike, sharpen=sharpen)
 
 
 def dropped_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -183,10 +220,11 @@ def dropped_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST)
     firsts = written(joined.groupBy("class", "proof").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line_firsts")
     if is_small(firsts, F.lit(64)):
         both = joined.join(F.broadcast(firsts), ["class", "proof"])
-    else:  # a class may hold a large part of all lines
-        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = joined.withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int")).join(
-            salted, ["class", "proof", "salt"])
+    else:  # a class may hold a large part of all lines: the few large ones are broadcast, so that no task gets all their rows
+        large = firsts.filter(F.col("n") >= OFTEN).select("class", "proof", F.col("first").alias("large_first"))
+        marked = joined.join(small(large, F.lit(64)), ["class", "proof"], "left")
+        rest = marked.filter("large_first IS NULL").drop("large_first").join(firsts.filter(F.col("n") < OFTEN), ["class", "proof"])
+        both = rest.drop("n").union(marked.filter("large_first IS NOT NULL").withColumnRenamed("large_first", "first"))
     drops = both.filter(at != F.col("first")).select("doc_id", "text_key", "place")
     return drops.distinct().groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("place")).alias("places"))
 

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from alertloom.llm import line_dedup
 from alertloom.llm.queries import op3_line_dedup
@@ -114,3 +115,43 @@ def test_odd_rows(docs_of, odd_texts):
     line = "the same line of some length"
     kept = line_dedup.without_repeats(docs_of([(None, line), (5, f"{line}\nx"), (5, f"{line}\nx"), (4, f"{line} \nx\n{line}"), (6, None)])).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", f"{line} \nx"), ("5", ""), ("5", ""), ("6", None), ("None", "")]
+
+
+def test_triples_tell_lines_apart(spark):
+    """Two edits never change too many triples; three letters put in at different places almost always do."""
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzé "
+
+    def edited(line, kinds):
+        for kind in kinds:
+            at = draw.randrange(len(line))
+            line = line[:at] + (draw.choice(letters) if kind != "out" else "") + line[at + (kind != "in"):]
+        return line
+
+    rows = []
+    for _ in range(300):
+        line = "".join(draw.choices(letters, k=draw.randint(20, 120)))
+        rows.append((0, line, edited(line, draw.choices(["in", "out", "other"], k=2))))
+    line = "".join(draw.choices(letters, k=150))
+    far = [edited(line, ["in"]) for _ in range(30)], [edited(line, ["in", "in", "in"])[::1] for _ in range(30)]
+    rows += [(1, a, b) for a, b in zip(*far)]
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, *r) for i, r in enumerate(rows)], "a long, b long, kind int, x string, y string")
+    marks = line_dedup.triple_marks(pairs.select(F.col("a").alias("node"), F.col("x").alias("line")).union(pairs.select("b", "y")))
+    both = pairs.join(marks.toDF("a", "left"), "a").join(marks.toDF("b", "right"), "b")
+    near = both.select("kind", line_dedup.sharp_near(F.col("left"), F.col("right"), 2).alias("near")).groupBy("kind").agg(
+        F.count_if("near").alias("near")).collect()
+    found = {r.kind: r.near for r in near}
+    assert found[0] == 300 and found[1] <= 3
+
+
+def test_many_repeats_without_broadcast(docs_of, monkeypatch):
+    """A class of very many lines is not dealt to one task, and gives what small tables give."""
+    rows = [(i, "\n".join(["a line that all documents have", f"line {i % 7} of some documents, as long", f"{i} own line {i * i * 7919}"]))
+            for i in range(60)]
+    want = sorted(map(tuple, line_dedup.line_report(docs_of(rows)).collect()))
+    monkeypatch.setattr(line_dedup, "SMALL_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "is_small", lambda df, width=None, most=0: False)
+    monkeypatch.setattr(line_dedup, "OFTEN", 20)
+    dropped = line_dedup.dropped_lines(docs_of(rows))
+    assert sorted(map(tuple, line_dedup.line_report(docs_of(rows)).collect())) == want
+    assert "sequence" not in dropped._jdf.queryExecution().toString()  # the classes are not copied for every salt
