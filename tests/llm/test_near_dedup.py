@@ -92,6 +92,7 @@ def test_loose_copies_are_not_looked_at_in_pairs(docs_of, monkeypatch):
         if i % 20 == 0:  # shares its own rare words with the one before
             words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
             rows.append((1000 + i, " ".join(words)))
+    rows.sort()
     looked, plain = [], near_dedup.linked
 
     def counted(posts, look, **more):
