@@ -30,21 +30,36 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, dimensions, np.int8) * 2 - 1
 
 
+PLAIN_LETTERS = bytes(code if 97 <= code <= 122 else code + 32 if 65 <= code <= 90 else 32 for code in range(256))
+
+
+ALPHABETS: list[np.ndarray] = []
+
+
+def alphabet() -> np.ndarray:
+    """Whether a code point is a letter, made once in a process."""
+    if not ALPHABETS:
+        ALPHABETS.append(np.fromiter((chr(code).isalpha() for code in range(0x110000)), bool, 0x110000))
+    return ALPHABETS[0]
+
+
 def letter_codes(text: str) -> np.ndarray:
     """Code points of the text in lower case; every run of other characters is one 0, at both ends too."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    if not len(codes):
+    if text.isascii():
+        words = text.encode().translate(PLAIN_LETTERS).split()
+        codes = np.frombuffer(b" ".join([b"", *words, b""] if words else []), np.uint8).astype(np.int64)
+        codes[codes == 32] = 0
         return codes
-    plain = codes < 128
-    letters = (codes >= 97) & (codes <= 122)
-    if not plain.all():
-        for code in np.unique(codes[~plain]):
-            if chr(code).isalpha():
-                letters |= codes == code
-    if not letters.any():
-        return codes[:0]
-    codes = np.concatenate([[0], np.where(letters, codes, 0), [0]])
-    return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    found = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letters = np.zeros(len(found) + 2, bool)
+    letters[1:-1] = alphabet()[found]
+    kept = letters.copy()
+    kept[0] = True
+    kept[1:] |= letters[:-1]
+    codes = np.zeros(len(letters), np.int64)
+    codes[1:-1] = found
+    codes[~letters] = 0
+    return codes[kept] if letters.any() else codes[:0]
 
 
 class Encoder:

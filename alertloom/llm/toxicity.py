@@ -50,6 +50,7 @@ MAYBE_SPACED = re.compile(r"[\x00-\x20\"'(\[{<\x80-\U0010ffff][A-Za-z0-9@$!|+\x8
                           r"[A-Za-z0-9@$!|+(\x80-\U0010ffff][ \t.*_-]")
 SEPARATORS = " \t.*_-"
 TWICE = re.compile(r"([^\W\d_])\1")
+REPEATS = re.compile(r"([^\W\d_])\1+")
 DISGUISED = re.compile(r"[0-9@$!|+(€]|[^\W\d_][*._-]+[^\W\d_]|([^\W\d_])\1")
 APOSTROPHE = re.compile(r"(['\u2019])")
 READ = "\ue001"  # around a word that has been read already
@@ -93,7 +94,7 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
                 if len(codes) > 2:
                     parts.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
                     held += len(codes)
-                lattices.among(set(asker.joined(text).split()))
+                lattices.among(set(asker.tokens(text)))
                 if held + len(asker.asked) > COUNTED_AT_ONCE:
                     yield flushed(parts)
                     parts, held = [np.zeros(0, np.int64)], 0
@@ -135,6 +136,7 @@ class Restorer:
                 self.before[gram >> 21] = self.before.get(gram >> 21, 0) + n
         self.letters = max(2, len({gram & 0x1FFFFF for gram in counts}) if letters is None else letters)
         self.costs: dict[int, float] = {}
+        self.runs: dict[str, str] = {}
 
     def cost_of(self, gram: int) -> float:
         """The cost of a trigram, kept for the next time."""
@@ -172,16 +174,13 @@ class Restorer:
         before, at = "", 0
         while at < len(text):
             char = text[at]
-            if len(states) == 1 and char != before and char.isalpha():  # a run without a choice
-                [(two, (total, said))] = states.items()
+            if len(states) == 1 and char != before and char.isalpha():  # a run without a choice, so its cost does not matter
+                [(two, (_, said))] = states.items()
                 start = at
                 while char and char != before and char.isalpha():
-                    gram = two << 21 | ord(char)
-                    cost = costs.get(gram)
-                    total += self.cost_of(gram) if cost is None else cost
-                    two, before, at = gram & LAST_TWO, char, at + 1
+                    two, before, at = (two << 21 | ord(char)) & LAST_TWO, char, at + 1
                     char = text[at:at + 1]
-                states = {two: (total, (said, text[start:at]))}
+                states = {two: (0.0, (said, text[start:at]))}
                 continue
             following: dict[int, tuple[float, tuple]] = {}
             choices = self.choices(char, before)
@@ -214,6 +213,34 @@ class Restorer:
             out.append(letter)
         return "".join(reversed(out)).strip()
 
+    def read_letters(self, text: str) -> str:
+        """What ``read`` gives for letters alone: a run of equal letters is read by the letters beside it only.
+
+        The letter after a run is the same in every reading and so are the last two from there on.
+        """
+        return REPEATS.sub(self.run, text)
+
+    def run(self, found: re.Match) -> str:
+        start, end = found.span()
+        key = found.string[max(start - 1, 0):end + 1] if start else " " + found.string[:end + 1]
+        said = self.runs.get(key)
+        if said is None:
+            if len(self.runs) >= KEPT_WORDS:
+                self.runs.clear()
+            letter = found.string[start]
+            said = self.runs[key] = letter * self.repeats(
+                ord(found.string[start - 1]) if start else 0, ord(letter), end - start, ord(found.string[end]) if end < len(found.string) else 0)
+        return said
+
+    def repeats(self, before: int, letter: int, n: int, after: int) -> int:
+        """How many of ``n`` equal letters are meant, between two others: one, two or all, as each after the second costs the same."""
+        once, twice = before << 21 | letter, letter << 21 | letter
+        second, end = self.cost(once, letter), self.cost(twice, after)
+        prices = [((n - 2) * REPEAT_OUT + second + end, 2), ((n - 1) * REPEAT_OUT + self.cost(once, after), 1)]
+        if n > 2:
+            prices.insert(0, (second + (n - 2) * self.cost(twice, letter) + end, n))
+        return min(prices, key=lambda p: p[0])[1]
+
     def word(self, token: str) -> str:
         """What a blank-separated token says: stripped of signs at its edges, read if it is disguised."""
         return token.split(READ)[1] if READ in token else self.core_word(self.core(token))
@@ -225,8 +252,8 @@ class Restorer:
 
     def core_word(self, core: str) -> str:
         """What a core says: read if it is disguised."""
-        if core.isalpha() and not TWICE.search(core):
-            return core
+        if core.isalpha():
+            return self.read_letters(core)
         shape = core.rstrip(SIGNS)
         if len(core) - len(shape) <= 2:
             shape = core
@@ -238,7 +265,11 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The whole text as it is meant."""
-        return " ".join(filter(None, map(self.word, self.joined(text).split())))
+        return " ".join(filter(None, map(self.word, self.tokens(text))))
+
+    def tokens(self, text: str) -> list[str]:
+        """What blanks set apart, in lower case, with letters that were set apart put together again."""
+        return self.joined(text).lower().split()
 
     def joined(self, text: str) -> str:
         """The text with letters that were set apart put together again."""
@@ -287,8 +318,9 @@ class Told:
         """The tokens that tell something; their values are in ``values`` until the next call."""
         new = tokens - self.young
         if new:
+            cores = self.cores
             for token in new - self.old:
-                if value := self.value(token):
+                if value := cores[token] if token in cores else self.value(token):
                     self.values[token] = value
                     self.told.add(token)
             self.young |= new
@@ -302,7 +334,7 @@ class Told:
     def value(self, token: str) -> Any:
         if READ in token:
             return self.find(self.restorer.word(token))
-        core = self.restorer.core(token)
+        core = token if token.isalpha() else self.restorer.core(token)
         if core not in self.cores:
             self.cores[core] = self.old_cores[core] if core in self.old_cores else self.find(self.restorer.core_word(core))
         return self.cores[core]
@@ -336,7 +368,7 @@ def feature_counts(labelled: DataFrame, restorer: Restorer, among: frozenset[int
             counts: Counter[int] = Counter()
             for value in batch.column(0):
                 ids: set[int] = set()
-                for token in known.among(set(restorer.joined(value.as_py()).split())):
+                for token in known.among(set(restorer.tokens(value.as_py()))):
                     ids.update(known.values[token])
                 counts.update(ids)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
@@ -404,7 +436,7 @@ class Judge:
         return -math.log1p(-min(share, 0.9999)) if share else 0.0
 
     def facts(self, text: str) -> tuple[float, float, float, float]:
-        tokens = self.restorer.joined(text).split()
+        tokens = self.restorer.tokens(text)
         weights = []
         if self.known.among(set(tokens)):
             values = self.known.values

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
 from alertloom.llm import toxicity
@@ -118,3 +120,29 @@ def test_words_in_use_stay_known(monkeypatch):
     assert [judge.facts(text) for text in texts] == want and all(w[1] == 2 for w in want)
     assert read.count("w0rthle$$") == read.count("1d10t") == 1
     assert len(judge.known.young) + len(judge.known.old) < 30
+
+
+def test_letters_alone_are_read_run_by_run(monkeypatch):
+    """Letters alone give what Viterbi reads, without it: a run is worked out once for the letters beside it."""
+    restorer = model(["aba bab abba cabb", "baab éab caa"] * 3)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    words += ["b" + "a" * n + end for n in range(1, 30) for end in ("", "b", "cc")]
+    want = [restorer.read(word) for word in words]
+    monkeypatch.setattr(restorer, "read", lambda word: 1 / 0)
+    assert [restorer.core_word(word) for word in words] == want
+    asker, asked = toxicity.Asker(), []
+    monkeypatch.setattr(asker, "cost", lambda two, letter: asked.append((two, letter)) or 0.0)
+    asker.restore(" ".join(f"x{word}x" for word in words))
+    first = len(asked)
+    asker.restore(" ".join(f"x{one}x{other}x" for one, other in zip(words, words[7:])))
+    assert first == len(asked) > 0
+
+
+def test_letter_codes_are_runs_of_letters():
+    for text in ("", "A", " a  b ", "1 2", "ab..CD\x00e", "É x\tÜ!", "İ ß²Ⅷ", "日本 語1", "\x1cq\ud800", "´´"):
+        want = [0] if any(map(str.isalpha, text.lower())) else []
+        for char in text.lower() + " " if want else "":
+            if char.isalpha() or want[-1]:
+                want.append(ord(char) if char.isalpha() else 0)
+        assert toxicity.letter_codes(text).tolist() == want, text
