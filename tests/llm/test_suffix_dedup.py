@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from alertloom.llm import suffix_dedup
 from alertloom.llm.queries import op2_suffix_dedup
@@ -73,3 +74,28 @@ def test_order_is_the_suffix_order():
     for before, here, common in zip(order, order[1:], found.neighbours(order)[1:]):
         a, b = text[before], text[here]
         assert common == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+def test_windows_of_hot_anchors_are_counted_together(spark, docs_of, monkeypatch):
+    """Near copies with anchors that have many blocks: the right bytes go, and far fewer rows are made than there are windows."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    texts = []
+    for k in range(60):
+        at = rng.randrange(3000)
+        texts.append(f"{base[:at]}<{k}>{base[at + rng.randrange(9):]}")
+    made = []
+
+    def counted(df, name):
+        out = written(df, name)
+        made.extend([out.count()] if name == "windows" else [])
+        return out
+
+    written = suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    got = suffix_dedup.without_repeats(docs_of(list(enumerate(texts))), most_blocks=1)
+    assert rows_of(got) == [(i, *b) for i, b in enumerate(brute(texts, 400))]
+    windows = suffix_dedup.anchors(docs_of(list(enumerate(texts))), 400, suffix_dedup.SEED).groupBy("anchor").agg(
+        F.count_distinct("digest").alias("kinds"), F.sum(F.expr("last - first + 1")).alias("n")).filter("kinds > 1").agg(
+        F.sum("n").alias("n")).first().n
+    assert 0 < 4 * sum(made) < windows
