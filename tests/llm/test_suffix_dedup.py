@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,3 +100,17 @@ def test_windows_of_hot_anchors_are_counted_together(spark, docs_of, monkeypatch
         F.count_distinct("digest").alias("kinds"), F.sum(F.expr("last - first + 1")).alias("n")).filter("kinds > 1").agg(
         F.sum("n").alias("n")).first().n
     assert 0 < 4 * sum(made) < windows
+
+
+def test_a_sort_of_blocks_takes_few_bytes_for_each_of_theirs():
+    """Hashes of prefixes are kept in 32 bits, and powers only as far as the longest block."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(97, 123, 500, np.uint8).tobytes()
+    blocks = [rng.integers(97, 123, 100, np.uint8).tobytes() + shared + rng.integers(97, 123, 100, np.uint8).tobytes() for _ in range(700)]
+    at, count = np.full(700, 250), np.full(700, 301)
+    tracemalloc.start()
+    flags = suffix_dedup.repeated_windows(blocks, at, count, np.arange(700) // 100, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(f[100:201].all() and not f[:95].any() and not f[206:].any() for f in flags)
+    assert peak < 40 * sum(map(len, blocks))
