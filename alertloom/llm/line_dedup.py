@@ -66,14 +66,15 @@ def posted_keys(lines: DataFrame, edits: int) -> DataFrame:
     """
     parts = edits + 1
     every = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(k).alias("less"), F.lit(d).alias("shift")) for n, k, d in shapes(edits)])
-    each = lines.select("node", "line", F.length("line").alias("length"), F.octet_length("line").alias("bytes")).select(
-        "*", F.explode(every).alias("shape"))
+    # the bytes are taken once for each line, as a cast copies them
+    each = lines.select("node", "line", F.col("line").cast("binary").alias("plain"), F.length("line").alias("length"),
+                        F.octet_length("line").alias("bytes")).select("*", F.explode(every).alias("shape"))
     number, less, shift = (F.col(f"shape.{name}") for name in ("number", "less", "shift"))
     indexed = F.col("length") - less
     size, evens = F.floor(indexed / parts).cast("int"), F.lit(parts) - (indexed % parts).cast("int")
     start = size * number + F.greatest(number - evens, F.lit(0))
     at, width = start + shift + 1, size + (number >= evens).cast("int")
-    key = F.when(F.col("bytes") == F.col("length"), F.xxhash64(number, indexed, F.substring(F.col("line").cast("binary"), at, width))).otherwise(
+    key = F.when(F.col("bytes") == F.col("length"), F.xxhash64(number, indexed, F.substring("plain", at, width))).otherwise(
         F.xxhash64(number, indexed, F.substring(F.col("line"), at, width)))
     return each.select("node", key.alias("key"), ((less == 0) & (shift == 0)).alias("own"))
 
@@ -250,10 +251,13 @@ def without_repeats(documents: DataFrame, edits: int = EDITS, least: int = LEAST
 
 def kept_lines(text: str, places: str) -> Column:
     """Lines of a text without those at the sorted places: the runs between them, put together."""
-    lines = F.split(text, "\n")
-    ends = F.concat(F.col(places), F.array(F.size(lines)))
     starts = F.concat(F.array(F.lit(0)), F.transform(F.col(places), lambda p: p + 1))
-    return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
+
+    def runs(lines: Column) -> Column:
+        return F.zip_with(starts, F.concat(F.col(places), F.array(F.size(lines))), lambda s, e: F.slice(lines, s + 1, e - s))
+
+    # bound once for each text: inside the inner lambda the text would be split again for every run
+    return F.flatten(F.get(F.transform(F.array(F.split(text, "\n")), runs), F.lit(0)))
 
 
 def line_report(documents: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

@@ -155,3 +155,11 @@ def test_many_repeats_without_broadcast(docs_of, monkeypatch):
     dropped = line_dedup.dropped_lines(docs_of(rows))
     assert sorted(map(tuple, line_dedup.line_report(docs_of(rows)).collect())) == want
     assert "sequence" not in dropped._jdf.queryExecution().toString()  # the classes are not copied for every salt
+
+
+def test_a_text_is_split_once_however_many_runs_are_kept(spark):
+    rows = [("a\nb\n\nc\nd", [1, 3]), ("a", [0]), ("a\nb", []), ("\na\n", [0, 2]), (None, [0])]
+    cut = line_dedup.kept_lines("text", "places")
+    got = spark.createDataFrame(rows, "text string, places array<int>").select(cut.alias("k")).collect()
+    assert [r.k for r in got] == [["a", "", "d"], [], ["a", "b"], ["a"], None]
+    assert str(cut).count("split(") == 1
