@@ -180,9 +180,10 @@ def near_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     """node and component of distinct lines that have another one within ``edits`` edits.
 
     Repeats are left to the grouping of keys and posts, which combines them before the shuffle: to
-    make lines distinct first would move all their texts.
+    make lines distinct first would move all their texts.  Lines are cut from the texts again where they
+    are read, as a written copy of them all would stay on disk.
     """
-    lines = written(text_lines(documents).filter(F.length("line") >= least).select("node", "line"), "lines")
+    lines = text_lines(documents).filter(F.length("line") >= least).select("node", "line")
     posts = posted_keys(lines, edits)
     met = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("own").alias("own"))
     keys = small(written(met.filter("own AND low < high").select("key"), "line_keys"))

@@ -76,10 +76,11 @@ def linked(posts: DataFrame, look: Callable[[DataFrame], DataFrame], rounds: int
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most")).select(
         "key", F.col("most.component").alias("largest"))
     outside = still.join(largest, "key").filter("component <> largest").select(
-        "key", F.col("node").alias("other"), F.col("component").alias("apart"), *[F.col("mark").alias("other_mark")] * bool(alike))
+        "key", F.col("node").alias("other"), F.col("component").alias("apart"), *[F.col(c).alias(f"other_{c}") for c in carried])
     met = (still["key"] == outside["key"]) & (F.col("component") != F.col("apart"))
     if alike:
-        met = met & alike(F.col("mark"), F.col("other_mark"), F.col("place"))
+        # the place, equal for all of a key, is read from both sides: with the same columns the wide posts are shuffled once
+        met = met & alike(F.col("mark"), F.col("other_mark"), F.least("place", "other_place"))
     compare(still.join(outside, met).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     return found

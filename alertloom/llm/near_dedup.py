@@ -164,22 +164,25 @@ def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
 
 
 def with_rare_shingles(still: DataFrame, texts: DataFrame, words: int, rare: int = RARE) -> DataFrame:
-    """The posts with marks (sig, size, shared, common), and under every rare shingle, at place -1, the nodes that have it.
+    """The posts with marks (sig, size, shared, common), and under rare shingles, at place -1, the nodes that have them.
 
+    A shingle that only nodes of one component have makes no key, as they need no look; the wide marks are joined after that.
     ``shared`` counts the shingles of a node that another one of ``still`` has, ``common`` those that more than ``rare`` have.
     """
     nodes = still.select("node", "component", "mark").dropDuplicates(["node"])
-    sets = written(shingle_rows(texts.withColumnRenamed("rep", "node").join(nodes.select("node"), "node", "left_semi"), words), "open_sets")
-    each = sets.select("node", F.explode("shingles").alias("shingle"))
-    few = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare)
-    held = written(each.join(few, "shingle").select("node", "shingle", "n"), "rare_shingles")
-    counts = held.groupBy("node").agg(F.count(F.lit(1)).alias("rare"), F.count(F.when(F.col("n") == 1, 1)).alias("alone"))
+    texts = texts.withColumnRenamed("rep", "node")
+    sets = written(shingle_rows(texts.join(nodes.select("node"), "node", "left_semi"), words).join(nodes.select("node", "component"), "node"), "open_sets")
+    each = sets.select("node", "component", F.explode("shingles").alias("shingle"))
+    few = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter(
+        F.col("n") <= rare).select("shingle", (F.col("n") == 1).alias("alone"), (F.col("low") < F.col("high")).alias("open"))
+    held = written(each.select("node", "shingle").join(few, "shingle").select(
+        "node", "alone", F.when(F.col("open"), F.xxhash64(F.lit(-1), "shingle")).alias("key")), "rare_shingles")
+    counts = held.groupBy("node").agg(F.count(F.lit(1)).alias("rare"), F.count(F.when(F.col("alone"), 1)).alias("alone"))
     size = F.size("shingles").cast("long")
     facts = sets.join(counts, "node", "left").select(
         "node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"), (size - F.coalesce("rare", F.lit(0))).alias("common"))
     nodes = nodes.join(facts, "node").select("node", "component", F.struct(F.col("mark").alias("sig"), "size", "shared", "common").alias("mark"))
-    posts = still.select("node", "key", "place").union(
-        held.filter("n > 1").select("node", F.xxhash64(F.lit(-1), "shingle"), F.lit(-1)))
+    posts = still.select("node", "key", "place").union(held.filter("key IS NOT NULL").select("node", "key", F.lit(-1)))
     return posts.join(nodes, "node").select("node", "key", "component", "mark", "place")
 
 

@@ -157,6 +157,26 @@ def test_many_repeats_without_broadcast(docs_of, monkeypatch):
     assert "sequence" not in dropped._jdf.queryExecution().toString()  # the classes are not copied for every salt
 
 
+def test_no_copy_of_all_lines_is_written(docs_of, monkeypatch):
+    """Only lines that meet another one are written with their characters."""
+    rng = random.Random(12)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(5))) for i in range(40)]
+    rows.append((50, rows[0][1].split("\n")[0][:-1] + "k"))
+    held, plain = [], line_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if "line" in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    out = line_dedup.line_report(docs_of(rows))
+    assert sorted((r.doc_id, r.n_dropped, r.kept_sha256) for r in out.collect()) == [
+        (i, n, hashlib.sha256(t.encode()).hexdigest()) for i, t, n in brute(rows)]
+    assert held and max(held) < 20
+
+
 def test_a_text_is_split_once_however_many_runs_are_kept(spark):
     rows = [("a\nb\n\nc\nd", [1, 3]), ("a", [0]), ("a\nb", []), ("\na\n", [0, 2]), (None, [0])]
     cut = line_dedup.kept_lines("text", "places")

@@ -104,3 +104,17 @@ def test_loose_copies_are_not_looked_at_in_pairs(docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "linked", counted)
     assert got(near_dedup.near_groups(docs_of(rows), 3, 85)) == brute(rows, 3, 85)
     assert len(looked) == 4 and looked[-1] < 200
+
+
+def test_rare_shingles_of_one_component_make_no_key(spark):
+    """Copies that are linked already share many shingles, under none of which a pair is left to be looked at."""
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f"), (3, "x y c d e"), (4, "p q r s")], "rep long, text string")
+    still = spark.createDataFrame([(1, 7, 1, [1], 0), (2, 7, 1, [2], 0), (3, 7, 3, [3], 0), (4, 7, 4, [4], 0)],
+                                  "node long, key long, component long, mark array<int>, place int")
+    sharp = near_dedup.with_rare_shingles(still, texts, 3).collect()
+    met = {}
+    for r in sharp:
+        if r.place == -1:
+            met.setdefault(r.key, set()).add(r.node)
+    assert list(met.values()) == [{1, 3}]  # c d e; not a b c and b c d, which only 1 and 2 have
+    assert {(r.node, r.mark["size"], r.mark["shared"], r.mark["common"]) for r in sharp} == {(1, 3, 3, 0), (2, 3, 2, 0), (3, 3, 1, 0), (4, 2, 0, 0)}
